@@ -23,6 +23,19 @@ from voxtide.session import cut_lineage
 Step = Callable[[pd.DataFrame, Any, bool], tuple[list[tuple], Any]]
 
 
+def _whole_keys(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], output: StructType, step: Step, columns: Sequence[str]
+) -> DataFrame:
+    schema = StructType([*[df.schema[k] for k in keys], *output.fields])
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        emitted, _ = step(rows.sort_values(list(order), kind="stable"), None, True)
+        return pd.DataFrame([(*key, *row) for row in emitted], columns=schema.names)
+
+    needed = list(dict.fromkeys([*keys, *order, *columns]))
+    return df.select(*needed).groupBy(*keys).applyInPandas(run, schema)
+
+
 def encode_state(state: Any) -> str:
     return json.dumps(state, separators=(",", ":"))
 
@@ -30,7 +43,7 @@ def encode_state(state: Any) -> str:
 def blocked_fold(
     df: DataFrame,
     keys: Sequence[str],
-    block: str,
+    block: str | None,
     order: Sequence[str],
     output: StructType,
     step: Step,
@@ -40,7 +53,10 @@ def blocked_fold(
 
     ``step(rows, state, last)`` gets one block's rows sorted by ``order``, the state before them (None at the start of
     the key) and whether the block is the key's last; it returns the emitted tuples and the state after the block.
+    Without a block every key is one group, and the plan stays lazy.
     """
+    if block is None:
+        return _whole_keys(df, keys, order, output, step, columns)
     key_fields = [df.schema[k] for k in (*keys, block)]
     names = [f.name for f in key_fields]
     schema = StructType(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxtide.functions.scalars import FULL_SCALE, classify_frame, dbfs_from_rms
 from voxtide.functions.timecode import int_div
-from voxtide.operators.ordered import BLOCK, block_of, previous_row
+from voxtide.operators.ordered import BLOCK, block_of, blocked_by, previous_row
 from voxtide.options import DetectorOptions
 
 
@@ -86,10 +86,10 @@ def pcm_blocks(recordings: DataFrame, block_samples: int = 320 * 4_096) -> DataF
     return rows.select("file_id", int_div(F.col("_at"), 2).alias("first_sample"), F.substring("content", begin, length).alias("pcm"))
 
 
-def check_frames(frames: DataFrame, block_size: int = BLOCK) -> DataFrame:
+def check_frames(frames: DataFrame, block_size: int | None = None) -> DataFrame:
     """Violations: frames that do not follow each other without gap, are empty, or have an impossible level."""
-    rows = frames.withColumn("_b", block_of(F.col("frame_idx"), block_size))
-    rows = previous_row(rows, ["file_id"], "_b", ["frame_idx"], ["end_sample"], "_prev")
+    rows, block = blocked_by(frames, ["file_id"], block_of(F.col("frame_idx"), block_size or BLOCK), force=bool(block_size))
+    rows = previous_row(rows, ["file_id"], block, ["frame_idx"], ["end_sample"], "_prev")
     expected = F.coalesce(F.col("_prev.end_sample"), F.lit(0))
     rule = (
         F.when(F.col("end_sample") <= F.col("start_sample"), F.lit("empty"))

@@ -10,20 +10,20 @@ from pyspark.sql import functions as F
 
 from voxtide.functions.scalars import overlap_length, safe_percent
 from voxtide.functions.timecode import int_div
-from voxtide.operators.ordered import BLOCK, block_of, previous_row
+from voxtide.operators.ordered import BLOCK, block_of, blocked_by, previous_row, running_sum
 from voxtide.options import SAMPLE_RATE
 
 # Width of the overlap-join buckets: thirty seconds, a few intervals each.
 BUCKET = 480_000
 
 
-def check_sequence(intervals: DataFrame, totals: DataFrame | None = None, block_size: int = BLOCK) -> DataFrame:
+def check_sequence(intervals: DataFrame, totals: DataFrame | None = None, block_size: int | None = None) -> DataFrame:
     """Violations of an interval list taken in list order: out of bounds, empty, or starting before the last end.
 
     ``totals(file_id, total_samples)`` gives the timeline lengths; without it there is no upper bound.
     """
-    rows = intervals.withColumn("_b", block_of(F.col("idx"), block_size))
-    rows = previous_row(rows, ["file_id"], "_b", ["idx"], ["end_sample"], "_prev")
+    rows, block = blocked_by(intervals, ["file_id"], block_of(F.col("idx"), block_size or BLOCK), force=bool(block_size))
+    rows = previous_row(rows, ["file_id"], block, ["idx"], ["end_sample"], "_prev")
     out_of_bounds = (F.col("start_sample") < 0) | (F.col("end_sample") <= F.col("start_sample"))
     if totals is not None:
         rows = rows.join(totals, "file_id", "left")
@@ -229,14 +229,11 @@ def chunk_intervals(intervals: DataFrame, chunk: int = 1_600) -> DataFrame:
     )
 
 
-def stage_timeline(intervals: DataFrame, block_size: int = BLOCK) -> DataFrame:
+def stage_timeline(intervals: DataFrame, block_size: int | None = None) -> DataFrame:
     """File progress before and after recognising each interval: 0.45 to 0.95 by share of speech samples."""
-    from voxtide.operators.ordered import running_sum
-
-    rows = intervals.withColumn("_b", block_of(F.col("idx"), block_size)).withColumn(
-        "_len", F.col("end_sample") - F.col("start_sample")
-    )
-    done = running_sum(rows, ["file_id"], "_b", ["idx"], F.col("_len"), "_done")
+    rows = intervals.withColumn("_len", F.col("end_sample") - F.col("start_sample"))
+    rows, block = blocked_by(rows, ["file_id"], block_of(F.col("idx"), block_size or BLOCK), force=bool(block_size))
+    done = running_sum(rows, ["file_id"], block, ["idx"], F.col("_len"), "_done")
     totals = total_length(intervals)
     share = lambda n: F.lit(0.45) + F.lit(0.50) * n / F.col("total_samples")
     return done.join(totals, "file_id").select(

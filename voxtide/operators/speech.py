@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from voxtide.functions.timecode import int_div
 from voxtide.operators.folds import blocked_fold
@@ -17,12 +18,15 @@ from voxtide.operators.frames import classify
 from voxtide.operators.ordered import (
     BLOCK,
     block_of,
+    fits_one_task,
     local_window,
     next_row,
     previous_row,
+    row_index,
     running_last,
     running_max,
     running_sum,
+    settle,
     with_halo,
 )
 from voxtide.operators.scanner import FORCED, NATURAL, TAIL, FrameScan, Merger
@@ -45,22 +49,24 @@ PIECES = StructType(
 )
 
 
-def latch_edges(frames: DataFrame, options: DetectorOptions, block_size: int = BLOCK) -> DataFrame:
+def latch_edges(frames: DataFrame, options: DetectorOptions, block_size: int | None = None) -> DataFrame:
     """Frames on which a loud run reaches the onset length or a quiet run the silence length.
 
     A look-back over that many frames decides both, so each block only needs a halo of the frames before it. Edges
-    carry the first sample of the loud run and the end of the last frame before the quiet run.
+    carry the first sample of the loud run and the end of the last frame before the quiet run; on the plain plan also
+    the recording's end, its last frame that is not quiet, and its last index.
     """
     seg = options.segmenter
     n, k = seg.onset_frames, seg.silence_frames
-    rows = with_halo(
-        frames.select("file_id", "frame_idx", "start_sample", "end_sample", "above", "below"),
-        "frame_idx",
-        "_b",
-        block_size,
-        max(n, k),
-    )
-    w = local_window(["file_id"], "_b", ["frame_idx"])
+    rows = frames.select("file_id", "frame_idx", "start_sample", "end_sample", "above", "below")
+    block, ends = None, []
+    if block_size:
+        block = "_b"
+        rows = with_halo(rows, "frame_idx", block, block_size, max(n, k))
+    else:
+        rows = rows.withColumn("halo", F.lit(False))
+        ends = [c.over(Window.partitionBy("file_id")).alias(name) for name, c in _file_ends().items()]
+    w = local_window(["file_id"], block, ["frame_idx"])
 
     def reaches(flag: str, count: int):
         full = F.sum(F.col(flag).cast("int")).over(w.rowsBetween(1 - count, 0)) == count
@@ -72,32 +78,43 @@ def latch_edges(frames: DataFrame, options: DetectorOptions, block_size: int = B
         reaches("below", k).alias("_off"),
         F.lag("start_sample", n - 1).over(w).alias("core_start"),
         F.lag("end_sample", k).over(w).alias("voiced_end"),
+        *ends,
     )
+    kept = ["_b"] if block_size else list(_file_ends())
     return marked.filter("NOT halo AND (_on OR _off)").select(
-        "file_id", "frame_idx", "_b", F.col("_on").alias("on"), "core_start", "voiced_end", "end_sample"
+        "file_id", "frame_idx", F.col("_on").alias("on"), "core_start", "voiced_end", "end_sample", *kept
     )
 
 
-def latch(frames: DataFrame, options: DetectorOptions, block_size: int = BLOCK) -> DataFrame:
+def _file_ends() -> dict:
+    return {
+        "_total": F.max("end_sample"),
+        "_voiced": F.max(F.when(~F.col("below"), F.col("end_sample"))),
+        "_last": F.max("frame_idx"),
+    }
+
+
+def latch(frames: DataFrame, options: DetectorOptions, block_size: int | None = None) -> DataFrame:
     """Speech state after every frame (frames need ``above`` and ``below``)."""
     edges = latch_edges(frames, options, block_size).select("file_id", "frame_idx", F.col("on").alias("_event"))
-    rows = frames.join(edges, ["file_id", "frame_idx"], "left").withColumn("_b", block_of(F.col("frame_idx"), block_size))
-    rows = running_last(rows, ["file_id"], "_b", ["frame_idx"], F.col("_event"), "_state")
+    rows = frames.join(edges, ["file_id", "frame_idx"], "left")
+    block = None
+    if block_size:
+        block = "_b"
+        rows = rows.withColumn(block, block_of(F.col("frame_idx"), block_size))
+    rows = running_last(rows, ["file_id"], block, ["frame_idx"], F.col("_event"), "_state")
     return rows.withColumn("in_speech", F.coalesce("_state", F.lit(False))).drop("_b", "_event", "_state")
 
 
-def islands(frames: DataFrame, options: DetectorOptions, block_size: int = BLOCK) -> DataFrame:
+def islands(frames: DataFrame, options: DetectorOptions, block_size: int | None = None) -> DataFrame:
     """Stretches of speech: core start, end of the last frame that was not quiet, and the sample of closing."""
-    key, order = ["file_id"], ["frame_idx"]
-    edges = previous_row(latch_edges(frames, options, block_size), key, "_b", order, ["on"], "_prev")
+    key, order, block = ["file_id"], ["frame_idx"], "_b" if block_size else None
+    edges = settle(latch_edges(frames, options, block_size), block)
+    edges = previous_row(edges, key, block, order, ["on"], "_prev")
     toggles = edges.filter(F.col("on") != F.coalesce(F.col("_prev.on"), F.lit(False))).drop("_prev")
-    opened = next_row(toggles, key, "_b", order, ["frame_idx", "voiced_end", "end_sample"], "_close").filter("on")
-    ends = frames.groupBy("file_id").agg(
-        F.max("end_sample").alias("_total"),
-        F.max(F.when(~F.col("below"), F.col("end_sample"))).alias("_voiced"),
-        F.max("frame_idx").alias("_last"),
-    )
-    rows = opened.join(ends, "file_id")
+    rows = next_row(toggles, key, block, order, ["frame_idx", "voiced_end", "end_sample"], "_close").filter("on")
+    if block_size:
+        rows = rows.join(frames.groupBy("file_id").agg(*[c.alias(n) for n, c in _file_ends().items()]), "file_id")
     return rows.select(
         "file_id",
         F.col("core_start"),
@@ -134,9 +151,12 @@ def natural_pieces(stretches: DataFrame, options: DetectorOptions) -> DataFrame:
     )
 
 
-def split_pieces(frames: DataFrame, stretches: DataFrame, options: DetectorOptions, block_size: int = SCAN_BLOCK) -> DataFrame:
+def split_pieces(
+    frames: DataFrame, stretches: DataFrame, options: DetectorOptions, block_size: int | None = SCAN_BLOCK
+) -> DataFrame:
     """Pieces of the over-long stretches, cut at the quietest frame near each limit."""
     frame = options.frame_samples
+    block, block_size = ("_b", block_size) if block_size else (None, SCAN_BLOCK)
     long = _padded(stretches, options).filter(_over_long(options))
     first = F.greatest(int_div(F.col("core_start"), frame), F.lit(0))
     spans = long.select(
@@ -159,7 +179,7 @@ def split_pieces(frames: DataFrame, stretches: DataFrame, options: DetectorOptio
     return blocked_fold(
         rows,
         ["file_id", "_island"],
-        "_b",
+        block,
         ["frame_idx"],
         PIECES,
         step,
@@ -167,7 +187,7 @@ def split_pieces(frames: DataFrame, stretches: DataFrame, options: DetectorOptio
     ).drop("_island")
 
 
-def adaptive_pieces(frames: DataFrame, options: DetectorOptions, block_size: int = SCAN_BLOCK) -> DataFrame:
+def adaptive_pieces(frames: DataFrame, options: DetectorOptions, block_size: int | None = None) -> DataFrame:
     """Pieces found with the noise floor following the quiet frames."""
 
     def step(block: pd.DataFrame, state, last: bool):
@@ -177,11 +197,13 @@ def adaptive_pieces(frames: DataFrame, options: DetectorOptions, block_size: int
             scan.finish()
         return scan.pieces, scan.state()
 
-    rows = frames.withColumn("_b", block_of(F.col("frame_idx"), block_size))
-    return blocked_fold(rows, ["file_id"], "_b", ["frame_idx"], PIECES, step, ["start_sample", "end_sample", "dbfs"])
+    rows, block = frames, None
+    if block_size:
+        rows, block = frames.withColumn("_b", block_of(F.col("frame_idx"), block_size)), "_b"
+    return blocked_fold(rows, ["file_id"], block, ["frame_idx"], PIECES, step, ["start_sample", "end_sample", "dbfs"])
 
 
-def merge_pieces(pieces: DataFrame, options: DetectorOptions, block_samples: int = BLOCK * 320) -> DataFrame:
+def merge_pieces(pieces: DataFrame, options: DetectorOptions, block_samples: int | None = None) -> DataFrame:
     """Final intervals ``file_id, start_sample, end_sample``.
 
     A piece starts a new chain where it cannot merge with what came before whatever the lengths; a chain within the
@@ -189,32 +211,45 @@ def merge_pieces(pieces: DataFrame, options: DetectorOptions, block_samples: int
     """
     seg = options.segmenter
     key, order = ["file_id"], ["island", "k"]
-    rows = pieces.withColumn("_b", int_div(F.col("island"), block_samples))
-    rows = running_max(rows, key, "_b", order, F.col("end_sample"), "_upto", inclusive=False)
+    capped = seg.max_segment < NO_CAP
+    rows, block = pieces, None
+    if block_samples:
+        rows, block = pieces.withColumn("_b", int_div(F.col("island"), block_samples)), "_b"
+    rows = running_max(settle(rows, block), key, block, order, F.col("end_sample"), "_upto", inclusive=False)
     begin = F.greatest("start_sample", "_upto")
     empty = F.col("end_sample") <= F.coalesce("_upto", F.lit(-1))
     failed = None
-    if options.forced_piece_can_fail and seg.max_segment < NO_CAP:
+    if options.forced_piece_can_fail and capped:
         failed = rows.filter((F.col("kind") == FORCED) & empty).select("file_id").distinct()
     rows = rows.filter(~(F.col("kind").isin(FORCED, TAIL) & empty))
     fresh = (F.col("kind") != NATURAL) | F.col("_upto").isNull() | (F.col("start_sample") > F.col("_upto") + seg.merge_gap)
     rows = rows.withColumn("_fresh", fresh).withColumn("start_sample", F.when(F.col("_fresh"), begin).otherwise(F.col("start_sample")))
-    rows = running_sum(rows, key, "_b", order, F.col("_fresh").cast("bigint"), "_chain")
-    chains = rows.groupBy("file_id", "_chain").agg(
+    rows = running_sum(rows, key, block, order, F.col("_fresh").cast("bigint"), "_chain")
+    if not capped:
+        return _plain_chains(rows, order).select("file_id", "start_sample", "end_sample")
+    result = _short_and_long_chains(rows, order, options, block)
+    return result if failed is None else result.join(failed, "file_id", "left_anti")
+
+
+def _plain_chains(rows: DataFrame, order: list[str]) -> DataFrame:
+    return rows.groupBy("file_id", "_chain").agg(
         F.min_by("start_sample", F.struct(*order)).alias("start_sample"), F.max("end_sample").alias("end_sample")
     )
-    length = F.col("end_sample") - F.col("start_sample")
-    result = chains.filter(length <= seg.max_segment).select("file_id", "start_sample", "end_sample")
-    if seg.max_segment < NO_CAP:
-        long = chains.filter(length > seg.max_segment).select("file_id", "_chain")
-        if not long.isEmpty():
-            result = result.unionByName(_fold_chains(rows.join(long, ["file_id", "_chain"]), options))
-    if failed is not None:
-        result = result.join(failed, "file_id", "left_anti")
-    return result
-
-
-def _fold_chains(rows: DataFrame, options: DetectorOptions) -> DataFrame:
+
+
+def _short_and_long_chains(rows: DataFrame, order: list[str], options: DetectorOptions, block: str | None) -> DataFrame:
+    if block is None:
+        return _fold_chains(rows, options, None)
+    chains = _plain_chains(rows, order)
+    fits = F.col("end_sample") - F.col("start_sample") <= options.segmenter.max_segment
+    result = chains.filter(fits).select("file_id", "start_sample", "end_sample")
+    long = cut_lineage(chains.filter(~fits).select("file_id", "_chain"))
+    if long.isEmpty():
+        return result
+    return result.unionByName(_fold_chains(rows.join(long, ["file_id", "_chain"]), options, block))
+
+
+def _fold_chains(rows: DataFrame, options: DetectorOptions, block: str | None) -> DataFrame:
     def step(block: pd.DataFrame, state, last: bool):
         merger = Merger(options, state)
         for start, end, kind in zip(block["start_sample"].tolist(), block["end_sample"].tolist(), block["kind"].tolist()):
@@ -225,39 +260,41 @@ def _fold_chains(rows: DataFrame, options: DetectorOptions) -> DataFrame:
         return merger.done, held
 
     output = StructType([StructField("start_sample", LongType()), StructField("end_sample", LongType())])
-    return blocked_fold(
-        rows, ["file_id", "_chain"], "_b", ["island", "k"], output, step, ["start_sample", "end_sample", "kind"]
-    ).drop("_chain")
+    keys = ["file_id", "_chain"] if block else ["file_id"]
+    folded = blocked_fold(rows, keys, block, ["island", "k"], output, step, ["start_sample", "end_sample", "kind"])
+    return folded.select("file_id", "start_sample", "end_sample")
 
 
-def failed_files(pieces: DataFrame, options: DetectorOptions, block_samples: int = BLOCK * 320) -> DataFrame:
+def failed_files(pieces: DataFrame, options: DetectorOptions, block_samples: int | None = None) -> DataFrame:
     """Files whose forced pieces vanish behind an earlier interval; such a recording counts as failed."""
-    rows = pieces.withColumn("_b", int_div(F.col("island"), block_samples))
-    rows = running_max(rows, ["file_id"], "_b", ["island", "k"], F.col("end_sample"), "_upto", inclusive=False)
+    rows, block = pieces, None
+    if block_samples:
+        rows, block = pieces.withColumn("_b", int_div(F.col("island"), block_samples)), "_b"
+    rows = running_max(rows, ["file_id"], block, ["island", "k"], F.col("end_sample"), "_upto", inclusive=False)
     lost = (F.col("kind") == FORCED) & (F.col("end_sample") <= F.col("_upto"))
     return rows.filter(lost).select("file_id", F.lit("a maximum-length split produced an empty interval").alias("error")).distinct()
 
 
-def numbered(intervals: DataFrame) -> DataFrame:
-    """Adds ``idx``, the position within the file, without gathering a file in one task."""
-    from voxtide.operators.ordered import row_index
-
-    rows = intervals.withColumn("_b", int_div(F.col("start_sample"), BLOCK * 320))
-    return row_index(rows, ["file_id"], "_b", ["start_sample"], "idx").drop("_b")
+def numbered(intervals: DataFrame, block_samples: int | None = None) -> DataFrame:
+    """Adds ``idx``, the position within the file."""
+    rows, block = intervals, None
+    if block_samples:
+        rows, block = intervals.withColumn("_b", int_div(F.col("start_sample"), block_samples)), "_b"
+    return row_index(rows, ["file_id"], block, ["start_sample"], "idx").drop("_b")
 
 
 def speech_pieces(frames: DataFrame, options: DetectorOptions, adaptive: bool = True, block_size: int | None = None) -> DataFrame:
     if adaptive:
-        return adaptive_pieces(frames, options, block_size or SCAN_BLOCK)
+        return adaptive_pieces(frames, options, block_size)
     marked = frames if "above" in frames.columns else classify(frames, options)
-    stretches = islands(marked, options, block_size or BLOCK)
+    stretches = islands(marked, options, block_size)
     if options.segmenter.max_segment >= NO_CAP:
         return natural_pieces(stretches, options)
     stretches = cut_lineage(stretches)
     pieces = natural_pieces(stretches, options)
     if _padded(stretches, options).filter(_over_long(options)).isEmpty():
         return pieces
-    return pieces.unionByName(split_pieces(marked, stretches, options, block_size or SCAN_BLOCK))
+    return pieces.unionByName(split_pieces(marked, stretches, options, block_size))
 
 
 def detect_speech(
@@ -266,6 +303,13 @@ def detect_speech(
     adaptive: bool = True,
     block_size: int | None = None,
 ) -> DataFrame:
-    """Speech intervals ``file_id, start_sample, end_sample`` of every recording."""
+    """Speech intervals ``file_id, start_sample, end_sample`` of every recording.
+
+    With ``block_size`` frames per block a recording may be spread over many tasks; by default that happens only where
+    some recording is too long for one.
+    """
     options = options or DetectorOptions()
-    return merge_pieces(speech_pieces(frames, options, adaptive, block_size), options)
+    if block_size is None and not fits_one_task(frames, ["file_id"]):
+        block_size = SCAN_BLOCK if adaptive else BLOCK
+    pieces = speech_pieces(frames, options, adaptive, block_size)
+    return merge_pieces(pieces, options, block_size and block_size * options.frame_samples)
