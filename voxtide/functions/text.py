@@ -70,8 +70,9 @@ def normalize_text(text: Column, normalized: bool = False) -> Column:
 
 
 def tokenize(text: Column, normalized: bool = False) -> Column:
-    words = F.split(normalize_text(F.coalesce(text, F.lit("")), normalized), " ")
-    return F.filter(words, lambda w: w != "")
+    """Words of the comparison form; a blank text has none."""
+    flat = normalize_text(F.coalesce(text, F.lit("")), normalized)
+    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
 
 
 def compact_message(text: Column) -> Column:
