@@ -68,7 +68,7 @@ def best_matches(expected: DataFrame, detected: DataFrame, tolerance_ms: int = 2
     """Each expected interval with the detected one it shares most samples with.
 
     Ties go to the earlier start, then the earlier end; an expected interval without any overlap keeps nulls. Errors
-    are detected minus expected.
+    are detected minus expected; ``shared_samples`` counts the overlap with all detected intervals together.
     """
     overlap = overlap_length(*[F.col(c) for c in ("a_start_sample", "a_end_sample", "b_start_sample", "b_end_sample")])
     ranked = F.struct(
@@ -79,7 +79,7 @@ def best_matches(expected: DataFrame, detected: DataFrame, tolerance_ms: int = 2
     best = (
         overlap_pairs(expected, detected, width)
         .groupBy("file_id", F.col("a_idx").alias("idx"))
-        .agg(F.max(ranked).alias("_best"))
+        .agg(F.max(ranked).alias("_best"), F.sum(overlap).alias("_shared"))
     )
     rows = expected.select("file_id", "idx", "start_sample", "end_sample").join(best, ["file_id", "idx"], "left")
     start_error = -F.col("_best.s") - F.col("start_sample")
@@ -94,6 +94,7 @@ def best_matches(expected: DataFrame, detected: DataFrame, tolerance_ms: int = 2
         (-F.col("_best.s")).alias("detected_start"),
         (-F.col("_best.e")).alias("detected_end"),
         F.coalesce("_best.overlap", F.lit(0)).alias("overlap_samples"),
+        F.coalesce("_shared", F.lit(0)).alias("shared_samples"),
         start_error.alias("start_error"),
         end_error.alias("end_error"),
         F.abs(start_error).alias("abs_start_error"),
@@ -163,8 +164,8 @@ def detection_metrics(
 ) -> DataFrame:
     """Detection quality per file; ``roll_up`` adds the corpus row (null file).
 
-    Corpus percentages come from the sums and corpus medians from all matches together. Counts, lengths, overlaps and
-    matches are stacked as rows of one shape, so that one aggregation serves them all.
+    Corpus percentages come from the sums and corpus medians from all matches together. Matches and detected lengths
+    are stacked as rows of one shape, so that one join and one aggregation serve all figures.
     """
     zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
 
@@ -186,13 +187,13 @@ def detection_metrics(
         expected_count=F.lit(1),
         matched_count=F.col("detected_start").isNotNull(),
         expected_samples=length,
+        true_positive_samples=F.col("shared_samples"),
         within_tolerance_count=F.col("within_tolerance"),
         abs_start_error=F.col("abs_start_error"),
         abs_end_error=F.col("abs_end_error"),
     )
     found = shape(detected, detected_count=F.lit(1), detected_samples=length, at_max_count=length == max_segment)
-    shared = shape(overlap_samples(expected, detected, width), true_positive_samples=F.col("overlap_samples"))
-    rows = matched.unionByName(found).unionByName(shared)
+    rows = matched.unionByName(found)
     grouped = rows.rollup("file_id") if roll_up else rows.groupBy("file_id")
     return _finish(grouped.agg(*_sums(rows)))
 

@@ -51,9 +51,11 @@ VIEWS = {
                array_to_string(string_split(text, ' ')[len(string_split(text, ' ')) // 2 + 1:], ' ')
         FROM det0 WHERE cut""",
     "matched": """
-        SELECT file_id, idx, s, e, ds, de, ov FROM (
+        SELECT file_id, idx, s, e, ds, de, ov, sh FROM (
             SELECT u.file_id, u.idx, u.s, u.e, d.s AS ds, d.e AS de,
-                   least(u.e, d.e) - greatest(u.s, d.s) AS ov,
+                   CASE WHEN d.s IS NOT NULL THEN least(u.e, d.e) - greatest(u.s, d.s) END AS ov,
+                   coalesce(sum(CASE WHEN d.s IS NOT NULL THEN least(u.e, d.e) - greatest(u.s, d.s) END)
+                            OVER (PARTITION BY u.file_id, u.idx), 0)::BIGINT AS sh,
                    row_number() OVER (PARTITION BY u.file_id, u.idx
                                       ORDER BY least(u.e, d.e) - greatest(u.s, d.s) DESC, d.s, d.e) AS rn
             FROM utt u LEFT JOIN det d ON d.file_id = u.file_id AND u.s < d.e AND u.e > d.s) WHERE rn = 1""",
@@ -169,7 +171,7 @@ VIEWS = {
         FROM job_rows""",
     "fix": """
         SELECT file_id, max(e) AS top, count(*) AS n, max(e) + (file_id % 5) * 10000 AS total,
-               (file_id % 5) * 10000 + CASE WHEN file_id % 9 = 0 THEN 1 ELSE 0 END AS trailing,
+               (file_id % 5) * 10000 + CASE WHEN file_id % 9 = 0 THEN 1 ELSE 0 END AS tail_gap,
                printf('rec-%08d', file_id) AS name
         FROM utt GROUP BY file_id""",
     "man": f"""
@@ -204,11 +206,8 @@ def _with(body: str, *names: str) -> str:
     return f"WITH {recursive}" + ", ".join(f"{n} AS ({VIEWS[n]})" for n in needed) + " " + body
 
 
-_NORMAL = f"trim(regexp_replace(regexp_replace(lower({{0}}), '\\pP', '', 'g'), '{_W}+', ' ', 'g'))"
-
-
 def _normal(text: str) -> str:
-    return _NORMAL.format(text)
+    return f"trim(regexp_replace(regexp_replace(lower({text}), '\\pP', '', 'g'), '{_W}+', ' ', 'g'))"
 
 
 def _stamp(ms: str) -> str:
@@ -342,7 +341,7 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["best_matches"] = _with(
         """SELECT file_id, idx, s AS start_sample, e AS end_sample, ds AS detected_start, de AS detected_end,
-                  coalesce(ov, 0) AS overlap_samples, ds - s AS start_error, de - e AS end_error,
+                  coalesce(ov, 0) AS overlap_samples, sh AS shared_samples, ds - s AS start_error, de - e AS end_error,
                   abs(ds - s) AS abs_start_error, abs(de - e) AS abs_end_error,
                   coalesce(abs(ds - s) <= 1600 AND abs(de - e) <= 1600, false) AS within_tolerance FROM matched""",
         "matched",
@@ -555,12 +554,12 @@ def oracle_sql() -> dict[str, str]:
               FROM d WHERE duration_ms > 0)
         SELECT batch_id, seq, duration_ms, remaining, mean_ms, mean_ms * greatest(remaining, 0) AS eta_ms FROM m"""
     sql["throttled_events"] = """
-        WITH RECURSIVE e AS (SELECT user_id % 8 AS batch_id, event_id AS seq, epoch_us(ts) AS at, event_id % 11 = 0 AS forced,
+        WITH RECURSIVE e AS (SELECT user_id % 8 AS batch_id, event_id AS seq, epoch_us(ts) AS us, event_id % 11 = 0 AS forced,
                                     row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS i FROM events),
-        p AS (SELECT batch_id, seq, i, at AS published, true AS kept FROM e WHERE i = 1
+        p AS (SELECT batch_id, seq, i, us AS published, true AS kept FROM e WHERE i = 1
               UNION ALL
-              SELECT e.batch_id, e.seq, e.i, CASE WHEN e.forced OR e.at - p.published >= 600000000 THEN e.at ELSE p.published END,
-                     e.forced OR e.at - p.published >= 600000000
+              SELECT e.batch_id, e.seq, e.i, CASE WHEN e.forced OR e.us - p.published >= 600000000 THEN e.us ELSE p.published END,
+                     e.forced OR e.us - p.published >= 600000000
               FROM p JOIN e ON e.batch_id = p.batch_id AND e.i = p.i + 1)
         SELECT batch_id, seq FROM p WHERE kept"""
     sql["latest_snapshots"] = _with(
@@ -680,8 +679,8 @@ def oracle_sql() -> dict[str, str]:
                CASE WHEN s <> true_s OR idx = 3 THEN ['seconds'] ELSE [] END)) AS rule FROM man
            UNION ALL
            SELECT file_id, NULL, unnest(list_concat(
-               CASE WHEN trailing > 32000 THEN ['trailing silence'] ELSE [] END,
-               CASE WHEN top + trailing <> total THEN ['fill'] ELSE [] END,
+               CASE WHEN tail_gap > 32000 THEN ['trailing silence'] ELSE [] END,
+               CASE WHEN top + tail_gap <> total THEN ['fill'] ELSE [] END,
                CASE WHEN n < 2 THEN ['too few utterances'] ELSE [] END)) FROM fix""",
         "fix", "man",
     )
@@ -700,8 +699,8 @@ def oracle_sql() -> dict[str, str]:
     )
 
     sql["slack_allocation"] = """
-        SELECT file_id, slack, total FROM (SELECT conv_id AS file_id, least(count(*) * 20000, 90000) AS slack,
-               least(count(*) * 20000, 90000) AS total FROM conversations GROUP BY conv_id)"""
+        SELECT conv_id AS file_id, least(count(*) * 20000, 90000) AS slack, least(count(*) * 20000, 90000) AS total,
+               true AS within_bounds FROM conversations GROUP BY conv_id"""
     sql["stratified_depths"] = "SELECT count(*) AS placed, 3 AS strata, 1 AS lowest FROM documents"
     sql["filled_durations"] = """
         WITH p AS (SELECT p_partkey AS file_id, (p_size * 1000 + 500)::BIGINT AS u, floor(p_retailprice * 40)::BIGINT AS t FROM part),

@@ -762,7 +762,7 @@ def slack_allocation(spark, sf):
     """Extra silence spread over the gaps of every conversation."""
     rows = views.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("file_id")).agg(F.count(F.lit(1)).alias("n"))
     rows = rows.select("file_id", F.least(F.col("n") * 20_000, F.lit(90_000)).cast("bigint").alias("slack"), F.array_repeat(F.lit(36_000).cast("bigint"), F.col("n").cast("int")).alias("capacities"))
-    return synth.allocate_slack(rows, seed=7).select("file_id", "slack", F.aggregate("extra", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.array_max("extra").alias("largest"))
+    return synth.allocate_slack(rows, seed=7).select("file_id", "slack", F.aggregate("extra", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.forall("extra", lambda x: x.between(0, 36_000)).alias("within_bounds"))
 
 
 @query
