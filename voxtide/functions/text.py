@@ -59,20 +59,24 @@ def sanitize_text(text: Column, normalized: bool = False) -> Column:
     return collapse_whitespace(F.replace(normal, F.lit("-->"), F.lit("→")))
 
 
-def normalize_text(text: Column, normalized: bool = False) -> Column:
-    """Comparison form of a transcript: NFKC, lower case, no punctuation, single spaces.
+def _bare(text: Column, normalized: bool) -> Column:
+    """NFKC, lower case, without punctuation.
 
     Capital sigma is mapped first because lower-casing here is one character at a time, whatever its place.
     """
     normal = text if normalized else unicode_normal(text, "NFKC")
     lowered = F.lower(F.replace(normal, F.lit("Σ"), F.lit("σ")))
-    return collapse_whitespace(F.regexp_replace(lowered, r"\p{P}", ""))
+    return F.regexp_replace(lowered, r"\p{P}", "")
+
+
+def normalize_text(text: Column, normalized: bool = False) -> Column:
+    """Comparison form of a transcript: NFKC, lower case, no punctuation, single spaces."""
+    return collapse_whitespace(_bare(text, normalized))
 
 
 def tokenize(text: Column, normalized: bool = False) -> Column:
     """Words of the comparison form; a blank text has none."""
-    flat = normalize_text(F.coalesce(text, F.lit("")), normalized)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.array_remove(F.split(_bare(F.coalesce(text, F.lit("")), normalized), WHITESPACE), "")
 
 
 def compact_message(text: Column) -> Column:

@@ -15,7 +15,6 @@ from voxtide.functions.timecode import samples_to_ms
 from voxtide.operators.intervals import BUCKET, without_overlap
 from voxtide.operators.ordered import BLOCK, block_of, blocked_by, row_index, rows_to_here
 
-
 def count_edits(a: list, b: list) -> int:
     """Levenshtein distance of two token lists, one bit per token of the shorter list.
 
@@ -36,33 +35,27 @@ def count_edits(a: list, b: list) -> int:
     where: dict = {}
     for i, token in enumerate(a):
         where[token] = where.get(token, 0) | 1 << i
-    full, final = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    rise, fall, distance = full, 0, len(a)
+    full = (1 << len(a)) - 1
+    rise, fall, get = full, 0, where.get
     for token in b:
-        same = where.get(token, 0)
-        diagonal = (((same & rise) + rise) ^ rise) | same | fall
-        up = fall | (full & ~(diagonal | rise))
-        down = rise & diagonal
-        if up & final:
-            distance += 1
-        elif down & final:
-            distance -= 1
-        up = ((up << 1) | 1) & full
-        rise = ((down << 1) & full) | (full & ~(diagonal | up))
-        fall = up & diagonal
-    return distance
+        same = get(token, 0) | fall
+        diagonal = (((same & rise) + rise) ^ rise) | same
+        up = ((fall | (full & ~(diagonal | rise))) << 1) | 1
+        rise = full & (((rise & diagonal) << 1) | ~(diagonal | up))
+        fall = full & up & diagonal
+    return len(b) + rise.bit_count() - fall.bit_count()
 
 
 @F.pandas_udf(LongType())
 def _word_edits(expected: pd.Series, actual: pd.Series) -> pd.Series:
-    return pd.Series([count_edits(list(a), list(b)) for a, b in zip(expected, actual)], dtype="int64")
+    return pd.Series([count_edits(a.tolist(), b.tolist()) for a, b in zip(expected, actual)], dtype="int64")
 
 
 def word_edits(expected: Column, actual: Column) -> Column:
     """Levenshtein distance over two token arrays, with unit costs.
 
-    In Python because the built-in string distance takes time in the product of the lengths, which whole transcripts
-    make the cost of the job; this one is some fifty times below it there.
+    In Python because the built-in string distance takes time in the product of the lengths: spelling words as
+    characters and using it was measured slower on short texts and takes minutes on a long one.
     """
     return _word_edits(expected, actual)
 
