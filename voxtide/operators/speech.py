@@ -290,6 +290,8 @@ def speech_pieces(frames: DataFrame, options: DetectorOptions, adaptive: bool =
     stretches = islands(marked, options, block_size)
     if options.segmenter.max_segment >= NO_CAP:
         return natural_pieces(stretches, options)
+    if not block_size:
+        return natural_pieces(stretches, options).unionByName(split_pieces(marked, stretches, options, None))
     stretches = cut_lineage(stretches)
     pieces = natural_pieces(stretches, options)
     if _padded(stretches, options).filter(_over_long(options)).isEmpty():

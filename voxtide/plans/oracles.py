@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from voxtide.options import DetectorOptions
+from voxtide.plans import views
+
 _W = r"[\pZ\t-\r\x{85}]"
 
 VIEWS = {
@@ -218,6 +221,72 @@ def _words(text: str) -> str:
     return f"len(list_filter(string_split({_normal(text)}, ' '), lambda w: w <> ''))"
 
 
+def _scan(o: DetectorOptions) -> str:
+    """The detector frame by frame: one recursion step per frame, at most one cut in each."""
+    t = o.segmenter
+    return f"""
+        WITH RECURSIVE f AS (SELECT file_id, frame_idx AS i, frame_idx * 320 AS s, (frame_idx + 1) * 320 AS e, dbfs AS l FROM ({VIEWS["frames"]})),
+        scan AS (
+          SELECT file_id, -1::BIGINT AS i, {o.initial_floor}::DOUBLE AS nf, 0 AS ar, 0 AS br, 0::BIGINT AS onset, false AS speech,
+                 0::BIGINT AS core, 0::BIGINT AS o, 0::BIGINT AS v, false AS follows, []::STRUCT(s BIGINT, l DOUBLE)[] AS c,
+                 0::BIGINT AS island, false AS cut, 0::BIGINT AS cs, 0::BIGINT AS ce, false AS closed, 0::BIGINT AS ks, 0::BIGINT AS ke,
+                 false AS tail, 0::BIGINT AS e
+          FROM (SELECT DISTINCT file_id FROM f)
+          UNION ALL
+          SELECT file_id, i,
+                 CASE WHEN b AND (NOT speech OR closes) THEN
+                   least(greatest(nf + {o.adaptation}::DOUBLE * (CASE WHEN isinf(l) THEN {o.min_floor}::DOUBLE ELSE l END - nf), {o.min_floor}::DOUBLE), {o.max_floor}::DOUBLE)
+                   ELSE nf END,
+                 ar, br, onset, speech AND NOT closes, core, o, v, follows, CASE WHEN closes THEN [] ELSE c END, island, cut, cs, ce,
+                 closes AND least(e, v + {t.post_roll}, o + {t.max_segment}) > o AND (follows OR v - core >= {t.min_speech}),
+                 o, least(e, v + {t.post_roll}, o + {t.max_segment}), follows, e
+          FROM (
+            SELECT * REPLACE (CASE WHEN cut THEN ce ELSE core END AS core, CASE WHEN cut THEN ce ELSE o END AS o,
+                              follows OR cut AS follows, CASE WHEN cut THEN [] ELSE c END AS c),
+                   was AND br >= {t.silence_frames} AS closes
+            FROM (
+              SELECT *, speech AND least(e, v + {t.post_roll}) > o + {t.max_segment} AS cut, o AS cs,
+                     list_reduce(list_prepend({{'s': o + {t.max_segment}, 'l': 'infinity'::DOUBLE}}, list_filter(c, lambda x: x.s > o
+                       AND x.s <= o + {t.max_segment} AND x.s >= greatest(0, o + {t.max_segment} - {t.split_search}))),
+                       lambda x, y: CASE WHEN y.l <= x.l THEN y ELSE x END).s AS ce
+              FROM (
+                SELECT file_id, i, s, e, l, a, b, nf, ar, br, onset, speech AS was, speech OR ar >= {t.onset_frames} AS speech,
+                       CASE WHEN opens THEN onset ELSE core END AS core,
+                       CASE WHEN opens THEN greatest(0, onset - {t.pre_roll}) ELSE o END AS o,
+                       CASE WHEN opens OR (speech AND NOT b) THEN e ELSE v END AS v, NOT opens AND follows AS follows,
+                       CASE WHEN opens THEN onset ELSE island END AS island,
+                       list_filter(c, lambda x: x.s >= s - {t.split_search}) AS c
+                FROM (
+                  SELECT *, NOT speech AND ar >= {t.onset_frames} AS opens FROM (
+                    SELECT * REPLACE (CASE WHEN a THEN ar + 1 ELSE 0 END AS ar, CASE WHEN b THEN br + 1 ELSE 0 END AS br,
+                                      CASE WHEN NOT speech AND a AND ar = 0 THEN s ELSE onset END AS onset,
+                                      CASE WHEN speech OR (a AND ar > 0) THEN list_append(c, {{'s': s, 'l': l}})
+                                           WHEN a THEN [{{'s': s, 'l': l}}] ELSE [] END AS c)
+                    FROM (
+                      SELECT f.file_id, f.i, f.s, f.e, f.l, nf, ar, br, onset, speech, core, o, v, follows, c, island,
+                             f.l >= greatest({o.min_on}::DOUBLE, nf + {o.on_margin}::DOUBLE) AS a,
+                             f.l < greatest({o.min_off}::DOUBLE, nf + {o.off_margin}::DOUBLE) AS b
+                      FROM scan JOIN f ON f.file_id = scan.file_id AND f.i = scan.i + 1))))))),
+        ends AS (SELECT * FROM scan QUALIFY i = max(i) OVER (PARTITION BY file_id)),
+        found AS (
+          SELECT file_id, i * 2 AS pos, island, cs AS s, ce AS e, 'forced' AS kind FROM scan WHERE cut
+          UNION ALL SELECT file_id, i * 2 + 1, island, ks, ke, CASE WHEN tail THEN 'tail' ELSE 'natural' END FROM scan WHERE closed
+          UNION ALL SELECT file_id, i * 2 + 1, island, o, least(e, v + {t.post_roll}, o + {t.max_segment}), CASE WHEN follows THEN 'tail' ELSE 'natural' END
+          FROM ends WHERE speech AND least(e, v + {t.post_roll}, o + {t.max_segment}) > o AND (follows OR v - core >= {t.min_speech})),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY file_id, island ORDER BY pos) - 1 AS k FROM found),
+        folded AS (
+          SELECT file_id, list_reduce(list([{{'s': s, 'e': e, 'kind': kind}}] ORDER BY pos), lambda x, y:
+            CASE WHEN y[1].kind = 'natural' AND y[1].s <= x[-1].e + {t.merge_gap}
+                      AND greatest(x[-1].e, y[1].e) - x[-1].s <= {t.max_segment}
+                 THEN list_append(x[1:len(x) - 1], {{'s': x[-1].s, 'e': greatest(x[-1].e, y[1].e), 'kind': x[-1].kind}})
+                 WHEN y[1].e > greatest(y[1].s, x[-1].e)
+                 THEN list_append(x, {{'s': greatest(y[1].s, x[-1].e), 'e': y[1].e, 'kind': y[1].kind}})
+                 ELSE x END) AS p
+          FROM found GROUP BY file_id)"""
+
+
+_MERGED = " SELECT file_id, p.s AS start_sample, p.e AS end_sample FROM (SELECT file_id, unnest(p) AS p FROM folded)"
+
 _STAMP_RE = "^[0-9]{2,}:[0-5][0-9]:[0-5][0-9]\\.[0-9]{3}$"
 
 
@@ -710,4 +779,23 @@ def oracle_sql() -> dict[str, str]:
     sql["manifest_flat_map"] = _with(
         "SELECT file_id, idx AS position, s AS start_sample, e AS end_sample FROM utt", "utt"
     )
-    return {name: text.replace(") , ", "), ") for name, text in sql.items()}
+    sql["stream_transcripts"] = sql["accumulated_transcripts"]
+    sql["stream_throttle"] = sql["throttled_events"]
+    sql["stream_transitions"] = _with(
+        """SELECT job_id, seq, state, CASE WHEN r = 2 THEN 'after terminal' ELSE 'backwards' END AS verdict
+           FROM reached WHERE r = 2 OR (r = 1 AND state = 'Pending')""",
+        "reached",
+    )
+    sql["stream_snapshots"] = sql["batch_snapshots"]
+    sql["stream_latest"] = sql["latest_snapshots"]
+    sql["stream_incremental"] = sql["pending_skip"]
+    for name, options in (("detect_capped", views.CAPPED), ("detect_adaptive", views.ADAPTIVE)):
+        sql[name] = _scan(options) + _MERGED
+    sql["stream_detect"] = sql["detect_adaptive"]
+    sql["split_pieces"] = _scan(views.CAPPED) + """
+        SELECT p.file_id, p.island, p.k, p.s AS start_sample, p.e AS end_sample, p.kind FROM numbered p WHERE kind <> 'natural'"""
+    sql["failed_recordings"] = _scan(views.CAPPED) + """
+        SELECT DISTINCT file_id, 'a maximum-length split produced an empty interval' AS error FROM (
+          SELECT *, max(e) OVER (PARTITION BY file_id ORDER BY pos, kind <> 'forced' ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe
+          FROM numbered) WHERE kind = 'forced' AND e <= pe"""
+    return sql

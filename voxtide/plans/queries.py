@@ -13,7 +13,9 @@ from voxtide.functions import text as ft
 from voxtide.functions import timecode as tc
 from voxtide.operators import audit, frames, intervals, jobs, listing, quality, speech, synth, transcripts
 from voxtide.operators import cues as cue_ops
+from voxtide.operators.ordered import blocked_by, row_index
 from voxtide.plans import evaluate, views
+from voxtide.streaming import runs, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -806,3 +808,61 @@ def manifest_flat_map(spark, sf):
 def worst_recording(spark, sf):
     rows = evaluate.evaluate_transcripts(views.utterances(spark, sf), views.detected(spark, sf), normalized=True)
     return rows.orderBy(F.desc("word_edit_percent"), "file_id").limit(1).select("file_id", "word_edits", "word_edit_percent")
+
+
+# --- streams ----------------------------------------------------------------------------------------------------
+
+
+@query
+def stream_detect(spark, sf):
+    """The adaptive detector fed frame by frame; its result is that of the batch detector."""
+    rows = views.frames(spark, sf)
+    ends = rows.groupBy("file_id").agg(F.max("frame_idx").alias("_last"))
+    rows = rows.join(ends, "file_id").select("file_id", "start_sample", "end_sample", "dbfs", (F.col("frame_idx") == F.col("_last")).alias("is_last"))
+    stream = runs.land(rows, "frames")
+    return runs.drain(stateful.stream_detect(stream, views.ADAPTIVE), "detected")
+
+
+@query
+def stream_transcripts(spark, sf):
+    rows = views.responses(spark, sf)
+    ends = rows.groupBy("session_id").agg(F.max("seq").alias("_last"))
+    rows = rows.join(ends, "session_id").select("session_id", "seq", "text", (F.col("seq") == F.col("_last")).alias("is_last"))
+    return runs.drain(stateful.stream_transcripts(runs.land(rows, "responses")), "transcripts")
+
+
+def _positions(spark, sf, key):
+    rows, block = blocked_by(views.job_events(spark, sf), [key], F.floor(F.col("seq") / 65_536))
+    return row_index(rows, [key], block, ["seq"], "position")
+
+
+@query
+def stream_throttle(spark, sf):
+    rows = _positions(spark, sf, "batch_id").select(
+        "batch_id", "position", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), (F.col("seq") % 11 == 0).alias("forced")
+    )
+    return runs.drain(stateful.stream_throttle(runs.land(rows, "events"), 600_000), "published")
+
+
+@query
+def stream_transitions(spark, sf):
+    rows = _positions(spark, sf, "job_id").select("job_id", "position", "seq", "state")
+    verdicts = runs.drain(stateful.stream_transitions(runs.land(rows, "states")), "verdicts")
+    return verdicts.filter("verdict <> 'ok'")
+
+
+@query
+def stream_snapshots(spark, sf):
+    return runs.batch_snapshots(views.as_job_events(runs.table_stream(spark, sf, "events")), "snapshots")
+
+
+@query
+def stream_latest(spark, sf):
+    events = views.as_job_events(runs.table_stream(spark, sf, "events")).filter("seq % 3 = 2")
+    return runs.latest_by_key(events, ["job_id"], ["state", "stage"], "seq", "latest")
+
+
+@query
+def stream_incremental(spark, sf):
+    stream = runs.land(views.work(spark, sf), "work")
+    return runs.incremental(stream, views.outputs(spark, sf), "skip", "pending")

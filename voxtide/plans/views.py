@@ -167,6 +167,11 @@ def _mapped(values: dict[str, str]):
 
 
 def job_events(spark: SparkSession, sf: str) -> DataFrame:
+    return as_job_events(table(spark, sf, "events"))
+
+
+def as_job_events(events: DataFrame) -> DataFrame:
+    """Events, batch or stream, as job events with reports that are missing, infinite or not a number."""
     odd = F.col("event_id") % 50
     progress = (
         F.when(odd == 0, F.lit(float("nan")))
@@ -174,7 +179,7 @@ def job_events(spark: SparkSession, sf: str) -> DataFrame:
         .when(odd == 2, F.lit(None).cast("double"))
         .otherwise(F.col("value") / 400)
     )
-    return table(spark, sf, "events").select(
+    return events.select(
         (F.col("user_id") % 8).alias("batch_id"),
         F.col("user_id").alias("job_id"),
         F.col("event_id").alias("seq"),
