@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.functions.scalars import FULL_SCALE, classify_frame, dbfs_from_rms
@@ -36,7 +36,7 @@ def frame_samples(samples: DataFrame, frame: int = 320) -> DataFrame:
     )
 
 
-FRAME_SCHEMA = "file_id bigint, frame_idx bigint, start_sample bigint, end_sample bigint, rms double, dbfs double"
+FRAME_SCHEMA = "frame_idx bigint, start_sample bigint, end_sample bigint, rms double, dbfs double"
 
 
 def frame_blocks(blocks: DataFrame, frame: int = 320) -> DataFrame:
@@ -63,7 +63,7 @@ def frame_blocks(blocks: DataFrame, frame: int = 320) -> DataFrame:
                 start = first + cuts
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(cuts.size, file_id, dtype=np.int64)),
+                        pa.array([file_id] * cuts.size, type=batch.schema.field(0).type),
                         pa.array(start // frame),
                         pa.array(start),
                         pa.array(start + sizes),
@@ -73,17 +73,25 @@ def frame_blocks(blocks: DataFrame, frame: int = 320) -> DataFrame:
                     names=["file_id", "frame_idx", "start_sample", "end_sample", "rms", "dbfs"],
                 )
 
-    return blocks.select("file_id", "first_sample", "pcm").mapInArrow(score, FRAME_SCHEMA)
+    kind = blocks.schema["file_id"].dataType.simpleString()
+    return blocks.select("file_id", "first_sample", "pcm").mapInArrow(score, f"file_id {kind}, {FRAME_SCHEMA}")
 
 
 def pcm_blocks(recordings: DataFrame, block_samples: int = 320 * 4_096) -> DataFrame:
-    """Equal blocks of each recording's PCM data: ``recordings(file_id, content, data_offset, data_length)``."""
+    """Equal blocks of each recording's PCM data: ``recordings(file_id, content, data_offset, data_length)``.
+
+    The pieces are cut inside the row before it is exploded, so that no exploded row carries the whole file.
+    """
     size = block_samples * 2
     offsets = F.sequence(F.lit(0).cast("bigint"), F.col("data_length") - 1, F.lit(size).cast("bigint"))
-    rows = recordings.filter("data_length > 0").select("file_id", "content", "data_offset", "data_length", F.explode(offsets).alias("_at"))
-    begin = (F.col("data_offset") + F.col("_at") + 1).cast("int")
-    length = F.least(F.lit(size), F.col("data_length") - F.col("_at")).cast("int")
-    return rows.select("file_id", int_div(F.col("_at"), 2).alias("first_sample"), F.substring("content", begin, length).alias("pcm"))
+
+    def piece(at: Column) -> Column:
+        begin = (F.col("data_offset") + at + 1).cast("int")
+        length = F.least(F.lit(size).cast("bigint"), F.col("data_length") - at).cast("int")
+        return F.struct(int_div(at, 2).alias("first_sample"), F.substring("content", begin, length).alias("pcm"))
+
+    rows = recordings.filter("data_length > 0").select("file_id", F.explode(F.transform(offsets, piece)).alias("p"))
+    return rows.select("file_id", "p.first_sample", "p.pcm")
 
 
 def check_frames(frames: DataFrame, block_size: int | None = None) -> DataFrame:
