@@ -27,11 +27,11 @@ SMALL_INPUT = 64 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate, where the session can tell."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:
+    """The optimizer's size estimate; None on a session without a local JVM, where it cannot be asked for."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
         return None
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits_one_task(df: DataFrame, keys: Sequence[str], limit: int = KEY_ROWS) -> bool:
