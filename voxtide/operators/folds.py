@@ -9,31 +9,53 @@ in order. Keys that fit one block need one pass; the state must be small and mus
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from voxtide.session import cut_lineage
 
-Step = Callable[[pd.DataFrame, Any, bool], tuple[list[tuple], Any]]
+# step(columns as lists, state, last) -> (emitted tuples, state)
+Step = Callable[[dict[str, list], Any, bool], tuple[list[tuple], Any]]
 
 
 def _whole_keys(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], output: StructType, step: Step, columns: Sequence[str]
 ) -> DataFrame:
-    schema = StructType([*[df.schema[k] for k in keys], *output.fields])
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        emitted, _ = step(rows.sort_values(list(order), kind="stable"), None, True)
-        return pd.DataFrame([(*key, *row) for row in emitted], columns=schema.names)
+    """One pass over each partition in key order, the state carried from batch to batch.
 
+    The window marks the last row of each key; it also is what brings a key together and in order, sharing the shuffle
+    of windows before it. No key is ever held whole.
+    """
+    schema = StructType([*[df.schema[k] for k in keys], *output.fields])
+    arrow = to_arrow_schema(schema)
     needed = list(dict.fromkeys([*keys, *order, *columns]))
-    return df.select(*needed).groupBy(*keys).applyInPandas(run, schema)
+    window = Window.partitionBy(*keys).orderBy(*order)
+    rows = df.select(*needed, F.lead(F.lit(True)).over(window).isNull().alias("_last"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            data = {name: batch.column(i).to_pylist() for i, name in enumerate(needed)}
+            ends = [i + 1 for i, last in enumerate(batch.column(len(needed)).to_pylist()) if last]
+            begin, out = 0, []
+            for end in dict.fromkeys([*ends, batch.num_rows]):
+                last = bool(ends) and end <= ends[-1]
+                emitted, state = step({name: data[name][begin:end] for name in columns}, state, last)
+                key = [data[k][begin] for k in keys]
+                out.extend((*key, *row) for row in emitted)
+                begin, state = end, None if last else state
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def encode_state(state: Any) -> str:
@@ -51,9 +73,9 @@ def blocked_fold(
 ) -> DataFrame:
     """Rows that ``step`` emits over each key's rows in order, plus the key columns.
 
-    ``step(rows, state, last)`` gets one block's rows sorted by ``order``, the state before them (None at the start of
-    the key) and whether the block is the key's last; it returns the emitted tuples and the state after the block.
-    Without a block every key is one group, and the plan stays lazy.
+    ``step(columns, state, last)`` gets consecutive rows in ``order`` as lists per column, the state before them (None
+    at the start of the key) and whether the key ends with them; it returns the emitted tuples and the state after.
+    Without a block every key is folded in one pass, and the plan stays lazy.
     """
     if block is None:
         return _whole_keys(df, keys, order, output, step, columns)
@@ -74,7 +96,9 @@ def blocked_fold(
         start = rows["_state_in"].iat[0]
         start = None if pd.isna(start) else start
         last = bool(rows["_last"].iat[0])
-        emitted, state = step(rows.sort_values(order, kind="stable"), None if start is None else json.loads(start), last)
+        rows = rows.sort_values(order, kind="stable")
+        lists = {name: rows[name].tolist() for name in columns}
+        emitted, state = step(lists, None if start is None else json.loads(start), last)
         end = encode_state(state)
         head = (*key, start)
         table = [(*head, end, True, *([None] * len(out_names)))]

@@ -5,7 +5,6 @@ Events have ``batch_id, job_id, seq, ts, state, stage, progress, detail, cue_cou
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -138,9 +137,9 @@ def throttle(events: DataFrame, interval_ms: int = PUBLISH_MS, block_size: int |
     """Events that are published: forced ones, and those at least the interval after the last published one."""
     interval = interval_ms * 1_000
 
-    def step(rows: pd.DataFrame, state, last: bool):
+    def step(rows: dict[str, list], state, last: bool):
         kept = []
-        for seq, at, forced in zip(rows["seq"].tolist(), rows["_at"].tolist(), rows["forced"].tolist()):
+        for seq, at, forced in zip(rows["seq"], rows["_at"], rows["forced"]):
             if forced or state is None or at - state >= interval:
                 state = at
                 kept.append((seq,))
@@ -148,7 +147,7 @@ def throttle(events: DataFrame, interval_ms: int = PUBLISH_MS, block_size: int |
 
     rows, block = _blocked(events.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp"))), ["batch_id"], block_size)
     output = StructType([StructField("seq", LongType())])
-    return blocked_fold(rows, ["batch_id"], block, ["seq"], output, step, ["_at", "forced"])
+    return blocked_fold(rows, ["batch_id"], block, ["seq"], output, step, ["seq", "_at", "forced"])
 
 
 def latest_snapshots(snapshots: DataFrame, keys: list[str], values: list[str], generation: int | None = None) -> DataFrame:

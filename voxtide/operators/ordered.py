@@ -42,6 +42,15 @@ def fits_one_task(df: DataFrame, keys: Sequence[str], limit: int = KEY_ROWS) ->
     return df.groupBy(*keys).count().filter(F.col("count") > limit).isEmpty()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Divides a narrow input over all cores ahead of row-wise work that is heavy on the processor.
+
+    Files with few row groups give fewer tasks than there are cores; an input that fills the cluster is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def block_of(index: Column, size: int = BLOCK) -> Column:
     """Block of a dense, non-negative index."""
     return int_div(index.cast("bigint"), size)

@@ -6,7 +6,6 @@ With fixed thresholds everything is windows and joins. Only the two rules with a
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -151,12 +150,31 @@ def natural_pieces(stretches: DataFrame, options: DetectorOptions) -> DataFrame:
     )
 
 
-def split_pieces(
-    frames: DataFrame, stretches: DataFrame, options: DetectorOptions, block_size: int | None = SCAN_BLOCK
-) -> DataFrame:
-    """Pieces of the over-long stretches, cut at the quietest frame near each limit."""
+def _fixed_step(options: DetectorOptions):
+    def step(block: dict[str, list], state, last: bool):
+        scan = FrameScan(options, state)
+        scan.feed(*(block[c] for c in _FIXED_COLUMNS))
+        if last:
+            scan.finish()
+        return scan.pieces, scan.state()
+
+    return step
+
+
+_FIXED_COLUMNS = ["start_sample", "end_sample", "dbfs", "above", "below"]
+
+
+def scanned_pieces(frames: DataFrame, options: DetectorOptions) -> DataFrame:
+    """All pieces from one ordered pass over frames that are classified already."""
+    return blocked_fold(frames, ["file_id"], None, ["frame_idx"], PIECES, _fixed_step(options), _FIXED_COLUMNS)
+
+
+def split_pieces(frames: DataFrame, stretches: DataFrame, options: DetectorOptions, block_size: int = SCAN_BLOCK) -> DataFrame:
+    """Pieces of the over-long stretches, cut at the quietest frame near each limit.
+
+    Only frames of such stretches are read back: they are found by (file, block), so a long recording stays divided.
+    """
     frame = options.frame_samples
-    block, block_size = ("_b", block_size) if block_size else (None, SCAN_BLOCK)
     long = _padded(stretches, options).filter(_over_long(options))
     first = F.greatest(int_div(F.col("core_start"), frame), F.lit(0))
     spans = long.select(
@@ -167,32 +185,16 @@ def split_pieces(
     )
     rows = frames.withColumn("_b", block_of(F.col("frame_idx"), block_size)).join(spans, ["file_id", "_b"])
     rows = rows.filter((F.col("start_sample") >= F.col("_island")) & (F.col("frame_idx") <= F.col("close_idx")))
-
-    def step(block: pd.DataFrame, state, last: bool):
-        scan = FrameScan(options, state)
-        columns = ("start_sample", "end_sample", "dbfs", "above", "below")
-        scan.feed(*(block[c].tolist() for c in columns))
-        if last:
-            scan.finish()
-        return scan.pieces, scan.state()
-
-    return blocked_fold(
-        rows,
-        ["file_id", "_island"],
-        block,
-        ["frame_idx"],
-        PIECES,
-        step,
-        ["start_sample", "end_sample", "dbfs", "above", "below"],
-    ).drop("_island")
+    keys = ["file_id", "_island"]
+    return blocked_fold(rows, keys, "_b", ["frame_idx"], PIECES, _fixed_step(options), _FIXED_COLUMNS).drop("_island")
 
 
 def adaptive_pieces(frames: DataFrame, options: DetectorOptions, block_size: int | None = None) -> DataFrame:
     """Pieces found with the noise floor following the quiet frames."""
 
-    def step(block: pd.DataFrame, state, last: bool):
+    def step(block: dict[str, list], state, last: bool):
         scan = FrameScan(options, state)
-        scan.feed(*(block[c].tolist() for c in ("start_sample", "end_sample", "dbfs")))
+        scan.feed(*(block[c] for c in ("start_sample", "end_sample", "dbfs")))
         if last:
             scan.finish()
         return scan.pieces, scan.state()
@@ -250,9 +252,9 @@ def _short_and_long_chains(rows: DataFrame, order: list[str], options: DetectorO
 
 
 def _fold_chains(rows: DataFrame, options: DetectorOptions, block: str | None) -> DataFrame:
-    def step(block: pd.DataFrame, state, last: bool):
+    def step(block: dict[str, list], state, last: bool):
         merger = Merger(options, state)
-        for start, end, kind in zip(block["start_sample"].tolist(), block["end_sample"].tolist(), block["kind"].tolist()):
+        for start, end, kind in zip(block["start_sample"], block["end_sample"], block["kind"]):
             merger.add(start, end, kind)
         held = merger.previous
         if last:
@@ -287,12 +289,12 @@ def speech_pieces(frames: DataFrame, options: DetectorOptions, adaptive: bool =
     if adaptive:
         return adaptive_pieces(frames, options, block_size)
     marked = frames if "above" in frames.columns else classify(frames, options)
-    stretches = islands(marked, options, block_size)
     if options.segmenter.max_segment >= NO_CAP:
-        return natural_pieces(stretches, options)
+        return natural_pieces(islands(marked, options, block_size), options)
     if not block_size:
-        return natural_pieces(stretches, options).unionByName(split_pieces(marked, stretches, options, None))
-    stretches = cut_lineage(stretches)
+        # One scan of each recording reads the frames once; windows with a join back for the cuts read them twice.
+        return scanned_pieces(marked, options)
+    stretches = cut_lineage(islands(marked, options, block_size))
     pieces = natural_pieces(stretches, options)
     if _padded(stretches, options).filter(_over_long(options)).isEmpty():
         return pieces

@@ -13,7 +13,7 @@ from voxtide.functions import text as ft
 from voxtide.functions import timecode as tc
 from voxtide.operators import audit, frames, intervals, jobs, listing, quality, speech, synth, transcripts
 from voxtide.operators import cues as cue_ops
-from voxtide.operators.ordered import blocked_by, row_index
+from voxtide.operators.ordered import blocked_by, row_index, spread
 from voxtide.plans import evaluate, views
 from voxtide.streaming import runs, stateful
 
@@ -112,24 +112,24 @@ def parse_timestamps(spark, sf):
 def sanitized_text(spark, sf):
     text = F.concat(F.lit("\t "), F.replace("text", F.lit("."), F.lit(" --> ")))
     text = F.when(F.col("doc_id") % 41 == 0, F.lit(" \n")).otherwise(F.concat(text, F.lit("é")))
-    return views.table(spark, sf, "documents").select("doc_id", ft.sanitize_text(text).alias("text"))
+    return views.documents(spark, sf).select("doc_id", ft.sanitize_text(text).alias("text"))
 
 
 @query
 def normalized_text(spark, sf):
     text = F.concat(F.lit(" "), "text", F.lit("\r\n +$ — « Q»"))
-    return views.table(spark, sf, "documents").select("doc_id", ft.normalize_text(text).alias("text"))
+    return views.documents(spark, sf).select("doc_id", ft.normalize_text(text).alias("text"))
 
 
 @query
 def tokens(spark, sf):
-    rows = views.table(spark, sf, "pages").select("page_id", ft.tokenize(F.col("html")).alias("t"))
+    rows = spread(views.table(spark, sf, "pages").select("page_id", "html")).select("page_id", ft.tokenize(F.col("html")).alias("t"))
     return rows.select("page_id", F.size("t").alias("n_tokens"), F.array_join("t", "|").alias("tokens"))
 
 
 @query
 def compact_messages(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", ft.compact_message(F.col("text")).alias("message"))
+    return views.documents(spark, sf).select("doc_id", ft.compact_message(F.col("text")).alias("message"))
 
 
 @query
@@ -426,7 +426,7 @@ def cue_agreement(spark, sf):
 
 def _edited_words(spark, sf):
     """Documents against a copy that lost every seventh word and had every fifth replaced."""
-    words = views.table(spark, sf, "documents").select("doc_id", ft.tokenize(F.col("text"), normalized=True).alias("e"))
+    words = views.documents(spark, sf).select("doc_id", ft.tokenize(F.col("text"), normalized=True).alias("e"))
     numbered = F.transform("e", lambda t, i: F.struct(F.when(i % 5 == 4, F.lit("#")).otherwise(t).alias("t"), i.alias("i")))
     return words.withColumn("a", F.transform(F.filter(numbered, lambda w: w["i"] % 7 != 6), lambda w: w["t"]))
 

@@ -9,7 +9,7 @@ from voxtide.functions.scalars import NEG_INF
 from voxtide.functions.text import sha256_hex
 from voxtide.functions.timecode import int_div
 from voxtide.operators.cues import timeline
-from voxtide.operators.ordered import blocked_by, row_index, settle, time_block
+from voxtide.operators.ordered import blocked_by, row_index, settle, spread, time_block
 from voxtide.operators.speech import NO_CAP
 from voxtide.options import DetectorOptions, SegmenterOptions
 
@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for work on whole texts."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def indexed_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events numbered per user in time order."""
     events = table(spark, sf, "events").select(F.col("user_id").alias("file_id"), "ts", "event_id", "event_type", "value")
