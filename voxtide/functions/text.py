@@ -18,7 +18,8 @@ def _unsettled(form: str) -> str:
     """Character class of everything that the normal form might change.
 
     Below U+0300 no character combines with its neighbour, so a text made only of such characters that are
-    their own normal form is already normal. Anything else goes to the normaliser.
+    their own normal form is already normal. Anything else goes to the normaliser; so do the characters of short
+    ranges, because every range in the class slows down the test of each character.
     """
     ranges: list[list[int]] = []
     for cp in range(0x300):
@@ -27,7 +28,7 @@ def _unsettled(form: str) -> str:
                 ranges[-1][1] = cp
             else:
                 ranges.append([cp, cp])
-    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges if b - a >= 40) + "]"
 
 
 def _normalizer(form: str):
