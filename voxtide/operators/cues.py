@@ -114,13 +114,6 @@ def assemble_documents(cues: DataFrame, files: DataFrame | None = None, part_cue
     )
 
 
-def parse_timing(line: Column) -> Column:
-    """Struct of start and end milliseconds, or null for a line that is no cue timing."""
-    start = parse_timestamp(F.regexp_extract(line, _TIMING, 1))
-    end = parse_timestamp(F.regexp_extract(line, _TIMING, 2))
-    return F.when(end > start, F.struct(start.alias("start_ms"), end.alias("end_ms")))
-
-
 def parse_documents(documents: DataFrame) -> DataFrame:
     """Cues and errors of caption documents: one row per cue block, one row for a document without header.
 
@@ -138,22 +131,37 @@ def parse_documents(documents: DataFrame) -> DataFrame:
         F.filter(chunks, lambda c: ~is_blank(c)).alias("_chunks"),
     )
 
-    def read(chunk: Column) -> Column:
+    # One step per transform: an expression that a lambda uses twice is also computed twice.
+    def stamps(chunk: Column) -> Column:
         lines = F.split(chunk, "\n")
-        one, two = parse_timing(F.get(lines, F.lit(0))), parse_timing(F.get(lines, F.lit(1)))
-        skip = F.when(one.isNotNull(), F.lit(1)).otherwise(F.lit(2))
-        words = F.when(F.size(lines) > skip, F.array_join(F.slice(lines, skip + 1, F.size(lines)), " ")).otherwise(F.lit(""))
-        return F.struct(F.coalesce(one, two).alias("timing"), words.alias("text"))
+        part = lambda line, group: F.regexp_extract(F.get(lines, F.lit(line)), _TIMING, group)
+        return F.struct(
+            lines.alias("lines"), *[part(line, g).alias(f"t{line}{g}") for line in (0, 1) for g in (1, 2)]
+        )
+
+    def times(c: Column) -> Column:
+        return F.struct(c["lines"].alias("lines"), *[parse_timestamp(c[t]).alias(t) for t in ("t01", "t02", "t11", "t12")])
+
+    def read(c: Column) -> Column:
+        one, two = c["t02"] > c["t01"], c["t12"] > c["t11"]
+        skip = F.when(one, F.lit(1)).otherwise(F.lit(2))
+        pick = lambda a, b: F.when(one, a).when(two, b)
+        words = F.when(F.size(c["lines"]) > skip, F.array_join(F.slice(c["lines"], skip + 1, F.size(c["lines"])), " "))
+        return F.struct(
+            pick(c["t01"], c["t11"]).alias("start_ms"),
+            pick(c["t02"], c["t12"]).alias("end_ms"),
+            F.coalesce(words, F.lit("")).alias("text"),
+        )
 
-    rows = rows.withColumn("_cues", F.transform("_chunks", read))
+    rows = rows.withColumn("_cues", F.transform(F.transform(F.transform("_chunks", stamps), times), read))
     cues = F.transform(
         "_cues",
         lambda c, i: F.struct(
-            c["timing"]["start_ms"].alias("start_ms"),
-            c["timing"]["end_ms"].alias("end_ms"),
+            c["start_ms"].alias("start_ms"),
+            c["end_ms"].alias("end_ms"),
             c["text"].alias("text"),
-            F.when(c["timing"].isNull(), F.lit("no timing line"))
-            .when((i > 0) & (c["timing"]["start_ms"] < F.get("_cues", i - 1)["timing"]["end_ms"]), F.lit("regressing cue"))
+            F.when(c["start_ms"].isNull(), F.lit("no timing line"))
+            .when((i > 0) & (c["start_ms"] < F.get("_cues", i - 1)["end_ms"]), F.lit("regressing cue"))
             .when(is_blank(c["text"]), F.lit("empty text"))
             .alias("error"),
         ),
