@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxtide.functions.text import has_vtt_header, is_header_only
 from voxtide.operators.intervals import sequences_equal
+from voxtide.operators.listing import SKIPPED
 
 
 def layout_pairs(observations: DataFrame, flat_intervals: DataFrame, nested_intervals: DataFrame) -> DataFrame:
@@ -150,7 +151,7 @@ def _rules() -> dict[str, dict[str, Column]]:
         "cancellation": dict(sentinel),
         "skip": {
             "not complete": state != "Complete",
-            "not skipped": ~F.coalesce(F.col("detail") == "Existing VTT skipped", F.lit(False)),
+            "not skipped": ~F.coalesce(F.col("detail") == SKIPPED, F.lit(False)),
             **sentinel,
         },
         "collision-cancel": {"not cancelled": state != "Cancelled", **sentinel},

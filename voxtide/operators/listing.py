@@ -13,6 +13,8 @@ from voxtide.functions.paths import escapes_root, path_order, relative_output_pa
 
 # How an interrupted commit's temporary file is named, and the age after which it counts as abandoned.
 TEMPORARY_PREFIX, TEMPORARY_SUFFIX, STALE_DAYS = ".voxtide-vtt.", ".tmp", 7
+# Fixed value: the detail of a job whose output was there already.
+SKIPPED = "Existing VTT skipped"
 
 
 def plan_work(inputs: DataFrame, output_root: str) -> DataFrame:
@@ -51,8 +53,9 @@ def pending_work(work: DataFrame, outputs: DataFrame, policy: str = "skip") -> D
     files = outputs.filter("NOT is_dir").select(_key("path"))
     if policy == "skip":
         return work.withColumn("_key", _key()).join(files, "_key", "left_anti").drop("_key")
-    existing = existing_outputs(work, outputs).agg(F.count(F.lit(1)).alias("_existing"))
-    return work.join(F.broadcast(existing), F.col("_existing") == 0).drop("_existing")
+    # At most one row says that something exists, and removes everything.
+    veto = existing_outputs(work, outputs).limit(1).select(F.lit(0).alias("_veto"))
+    return work.withColumn("_veto", F.lit(0)).join(F.broadcast(veto), "_veto", "left_anti").drop("_veto")
 
 
 def output_collisions(work: DataFrame) -> DataFrame:
@@ -94,18 +97,14 @@ def stale_artifacts(listing: DataFrame, now: Column) -> DataFrame:
 
 def discovery_summary(listing: DataFrame, issues: DataFrame) -> DataFrame:
     """One row: files found, issues, the first issue, and whether the run may start."""
-    found = listing.agg(F.count(F.lit(1)).alias("files"))
-    trouble = issues.agg(
-        F.count(F.lit(1)).alias("issues"),
-        F.min(F.struct(F.lower("path").alias("k"), "path", "reason")).alias("_first"),
-    )
+    trouble = F.struct(F.lower("path").alias("k"), "path", "reason")
+    rows = listing.select(F.lit(None).cast("struct<k:string,path:string,reason:string>").alias("_t"))
+    rows = rows.unionByName(issues.select(trouble.alias("_t")))
+    summary = rows.agg(F.count_if(F.col("_t").isNull()).alias("files"), F.count("_t").alias("issues"), F.min("_t").alias("_first"))
     first = F.format_string("'%s': %s", F.col("_first.path"), F.col("_first.reason"))
     message = (
         F.when(F.col("issues") == 1, F.concat(F.lit("Could not inspect "), first))
         .when(F.col("issues") > 1, F.concat(F.lit("Could not inspect "), F.col("issues"), F.lit(" locations; first: "), first))
         .when(F.col("files") == 0, F.lit("No input files were found"))
     )
-    # Two single-row aggregates side by side.
-    return found.join(F.broadcast(trouble), F.lit(True)).select(
-        "files", "issues", message.alias("message"), message.isNull().alias("can_run")
-    )
+    return summary.select("files", "issues", message.alias("message"), message.isNull().alias("can_run"))

@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from voxtide.functions.timecode import int_div
-from voxtide.operators.folds import blocked_fold
+from voxtide.operators.folds import Step, blocked_fold
 from voxtide.operators.frames import classify
 from voxtide.operators.ordered import (
     BLOCK,
@@ -267,6 +267,13 @@ def _fold_chains(rows: DataFrame, options: DetectorOptions, block: str | None) -
     return folded.select("file_id", "start_sample", "end_sample")
 
 
+def detect_with(frames: DataFrame, step: Step, columns: list[str]) -> DataFrame:
+    """Hook for another detector: ``step`` gets a recording's frames in order, as ``blocked_fold`` describes, and emits
+    ``(start_sample, end_sample)`` pairs."""
+    output = StructType([StructField("start_sample", LongType()), StructField("end_sample", LongType())])
+    return blocked_fold(frames, ["file_id"], None, ["frame_idx"], output, step, columns)
+
+
 def failed_files(pieces: DataFrame, options: DetectorOptions, block_samples: int | None = None) -> DataFrame:
     """Files whose forced pieces vanish behind an earlier interval; such a recording counts as failed."""
     rows, block = pieces, None

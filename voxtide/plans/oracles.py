@@ -786,6 +786,12 @@ def oracle_sql() -> dict[str, str]:
            FROM reached WHERE r = 2 OR (r = 1 AND state = 'Pending')""",
         "reached",
     )
+    sql["stream_stage_reports"] = sql["stage_reports"]
+    sql["custom_detector"] = _with(
+        """SELECT file_id, min(frame_idx) * 320 AS start_sample, (max(frame_idx) + 1) * 320 AS end_sample
+           FROM runs WHERE above GROUP BY file_id, frame_idx - loud""",
+        "runs",
+    )
     sql["stream_snapshots"] = sql["batch_snapshots"]
     sql["stream_latest"] = sql["latest_snapshots"]
     sql["stream_incremental"] = sql["pending_skip"]

@@ -680,7 +680,7 @@ def _runs(spark, sf):
     scenario = F.element_at(names, number % len(audit.SCENARIOS) + 1)
     work, evidence = _evidence(spark, sf)
     state = F.when(F.col("doc_id") % 6 == 1, "Failed").when(F.col("doc_id") % 15 == 2, "Cancelled").otherwise("Complete")
-    detail = F.when(F.col("doc_id") % 4 == 0, F.lit("Existing VTT skipped")).otherwise(F.lit("ok"))
+    detail = F.when(F.col("doc_id") % 4 == 0, F.lit(listing.SKIPPED)).otherwise(F.lit("ok"))
     rows = work.select("doc_id", "relative_path").join(evidence, "relative_path").join(docs, "doc_id")
     rows = rows.select(
         F.col("source").alias("run_id"), scenario.alias("scenario"), "output_path", "exists", "has_header", "header_only",
@@ -851,6 +851,31 @@ def stream_transitions(spark, sf):
     return verdicts.filter("verdict <> 'ok'")
 
 
+@query
+def stream_stage_reports(spark, sf):
+    rows = _positions(spark, sf, "job_id").select("job_id", "position", "seq", "stage", "forced")
+    return runs.drain(stateful.stream_stage_reports(runs.land(rows, "reports")), "in-stage")
+
+
+@query
+def custom_detector(spark, sf):
+    """A caller's own detector: every maximal run of loud frames."""
+
+    def step(block, state, last):
+        found, begin, upto = [], *(state or [None, None])
+        for start, end, loud in zip(block["start_sample"], block["end_sample"], block["above"]):
+            if loud:
+                begin, upto = (start if begin is None else begin), end
+            elif begin is not None:
+                found.append((begin, upto))
+                begin = None
+        if last and begin is not None:
+            found.append((begin, upto))
+        return found, [begin, upto]
+
+    return speech.detect_with(_marked(spark, sf), step, ["start_sample", "end_sample", "above"])
+
+
 @query
 def stream_snapshots(spark, sf):
     return runs.batch_snapshots(views.as_job_events(runs.table_stream(spark, sf, "events")), "snapshots")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxtide.operators.cues import assemble_documents, clamp_cues
 from voxtide.operators.frames import frame_blocks, pcm_blocks
-from voxtide.operators.listing import conflicting_directories, output_collisions, pending_work
+from voxtide.operators.listing import SKIPPED, conflicting_directories, output_collisions, pending_work
 from voxtide.operators.recognize import Recognise, interval_audio, isolate_failures, recognize
 from voxtide.operators.speech import detect_speech, numbered
 from voxtide.options import DetectorOptions
@@ -82,7 +82,7 @@ def transcribe(
             "relative_path",
             "output_path",
             F.coalesce("state", F.lit("Cancelled") if policy == "cancel" else F.lit("Complete")).alias("state"),
-            F.when(F.col("state").isNull(), F.lit("Cancelled before start") if policy == "cancel" else F.lit("Existing VTT skipped"))
+            F.when(F.col("state").isNull(), F.lit("Cancelled before start") if policy == "cancel" else F.lit(SKIPPED))
             .otherwise(F.coalesce("error", F.lit("Complete")))
             .alias("detail"),
             F.coalesce("cue_count", F.lit(0)).alias("cue_count"),

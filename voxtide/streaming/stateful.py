@@ -152,3 +152,24 @@ def stream_transitions(events: DataFrame) -> DataFrame:
     return ordered_stream(
         events, "job_id", "position", ["seq", "state"], "seq bigint, state string, verdict string", lambda row: row[0] + 1, consume
     )
+
+
+def stream_stage_reports(events: DataFrame) -> DataFrame:
+    """Progress reports of the stage in force from a stream ``job_id, position, seq, stage, forced``.
+
+    Lateness here is a matter of stages, not of time: a forced row changes the stage, and a report of any other stage
+    comes too late and is dropped.
+    """
+
+    def consume(rows: list[tuple], state: Any):
+        stage, kept = state, []
+        for _, seq, name, forced in rows:
+            if forced:
+                stage = name
+            elif name == stage:
+                kept.append((seq, name))
+        return kept, stage, False
+
+    return ordered_stream(
+        events, "job_id", "position", ["seq", "stage", "forced"], "seq bigint, stage string", lambda row: row[0] + 1, consume
+    )
