@@ -48,23 +48,19 @@ PIECES = StructType(
 )
 
 
-def latch_edges(frames: DataFrame, options: DetectorOptions, block_size: int | None = None) -> DataFrame:
-    """Frames on which a loud run reaches the onset length or a quiet run the silence length.
+def _edge_marks(frames: DataFrame, options: DetectorOptions, block_size: int | None) -> tuple[DataFrame, str | None]:
+    """Frames with ``_on`` where a loud run reaches the onset length and ``_off`` where a quiet run the silence length.
 
-    A look-back over that many frames decides both, so each block only needs a halo of the frames before it. Edges
-    carry the first sample of the loud run and the end of the last frame before the quiet run; on the plain plan also
-    the recording's end, its last frame that is not quiet, and its last index.
+    A look-back over that many frames decides both, so each block only needs a halo of the frames before it.
     """
     seg = options.segmenter
     n, k = seg.onset_frames, seg.silence_frames
-    rows = frames.select("file_id", "frame_idx", "start_sample", "end_sample", "above", "below")
-    block, ends = None, []
+    block = None
     if block_size:
         block = "_b"
-        rows = with_halo(rows, "frame_idx", block, block_size, max(n, k))
+        rows = with_halo(frames, "frame_idx", block, block_size, max(n, k))
     else:
-        rows = rows.withColumn("halo", F.lit(False))
-        ends = [c.over(Window.partitionBy("file_id")).alias(name) for name, c in _file_ends().items()]
+        rows = frames.withColumn("halo", F.lit(False))
     w = local_window(["file_id"], block, ["frame_idx"])
 
     def reaches(flag: str, count: int):
@@ -77,9 +73,21 @@ def latch_edges(frames: DataFrame, options: DetectorOptions, block_size: int | N
         reaches("below", k).alias("_off"),
         F.lag("start_sample", n - 1).over(w).alias("core_start"),
         F.lag("end_sample", k).over(w).alias("voiced_end"),
-        *ends,
     )
-    kept = ["_b"] if block_size else list(_file_ends())
+    return marked, block
+
+
+def latch_edges(frames: DataFrame, options: DetectorOptions, block_size: int | None = None) -> DataFrame:
+    """The marked frames alone.
+
+    They carry the first sample of the loud run and the end of the last frame before the quiet run; on the plain plan
+    also the recording's end, its last frame that is not quiet, and its last index.
+    """
+    rows = frames.select("file_id", "frame_idx", "start_sample", "end_sample", "above", "below")
+    marked, block = _edge_marks(rows, options, block_size)
+    if block is None:
+        marked = marked.select("*", *[c.over(Window.partitionBy("file_id")).alias(name) for name, c in _file_ends().items()])
+    kept = list(_file_ends()) if block is None else [block]
     return marked.filter("NOT halo AND (_on OR _off)").select(
         "file_id", "frame_idx", F.col("_on").alias("on"), "core_start", "voiced_end", "end_sample", *kept
     )
@@ -95,14 +103,11 @@ def _file_ends() -> dict:
 
 def latch(frames: DataFrame, options: DetectorOptions, block_size: int | None = None) -> DataFrame:
     """Speech state after every frame (frames need ``above`` and ``below``)."""
-    edges = latch_edges(frames, options, block_size).select("file_id", "frame_idx", F.col("on").alias("_event"))
-    rows = frames.join(edges, ["file_id", "frame_idx"], "left")
-    block = None
-    if block_size:
-        block = "_b"
-        rows = rows.withColumn(block, block_of(F.col("frame_idx"), block_size))
-    rows = running_last(rows, ["file_id"], block, ["frame_idx"], F.col("_event"), "_state")
-    return rows.withColumn("in_speech", F.coalesce("_state", F.lit(False))).drop("_b", "_event", "_state")
+    marked, block = _edge_marks(frames, options, block_size)
+    marked = marked.filter("NOT halo").drop("halo", "core_start", "voiced_end")
+    event = F.when(F.col("_on"), F.lit(True)).when(F.col("_off"), F.lit(False))
+    rows = running_last(settle(marked, block), ["file_id"], block, ["frame_idx"], event, "_state")
+    return rows.withColumn("in_speech", F.coalesce("_state", F.lit(False))).drop("_b", "_on", "_off", "_state")
 
 
 def islands(frames: DataFrame, options: DetectorOptions, block_size: int | None = None) -> DataFrame:

@@ -771,6 +771,9 @@ def oracle_sql() -> dict[str, str]:
         SELECT conv_id AS file_id, least(count(*) * 20000, 90000) AS slack, least(count(*) * 20000, 90000) AS total,
                true AS within_bounds FROM conversations GROUP BY conv_id"""
     sql["stratified_depths"] = "SELECT count(*) AS placed, 3 AS strata, 1 AS lowest FROM documents"
+    sql["synthetic_corpus"] = """
+        SELECT c_custkey AS file_id, ['short', 'medium', 'long'][c_custkey % 3 + 1] AS band, true AS count_fits, true AS lengths_fit,
+               true AS gaps_fit, true AS edges_fit, true AS filled FROM customer"""
     sql["filled_durations"] = """
         WITH p AS (SELECT p_partkey AS file_id, (p_size * 1000 + 500)::BIGINT AS u, floor(p_retailprice * 40)::BIGINT AS t FROM part),
         r AS (SELECT *, (t + 3000) // (u + 3000) AS n FROM p WHERE u <= t)

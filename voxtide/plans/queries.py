@@ -776,10 +776,22 @@ def stratified_depths(spark, sf):
 
 @query
 def synthetic_corpus(spark, sf):
-    """One synthetic recording per customer."""
+    """One synthetic recording per customer, with the rules it must keep."""
     ids = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("file_id"))
     rows = synth.corpus(ids, seed=3)
-    return rows.select("file_id", "band", F.size("utterances").alias("n"), "total_samples")
+    low = F.when(F.col("band") == "short", 4).when(F.col("band") == "medium", 7).otherwise(10)
+    length = lambda u: u["end_sample"] - u["start_sample"]
+    covered = F.aggregate("utterances", F.lit(0).cast("bigint"), lambda a, u: a + length(u) + u["gap_before"])
+    inner = F.slice("utterances", F.lit(2), F.size("utterances"))
+    return rows.select(
+        "file_id",
+        "band",
+        F.size("utterances").between(low, low + 1).alias("count_fits"),
+        F.forall("utterances", lambda u: length(u).between(*quality.UTTERANCE_SAMPLES)).alias("lengths_fit"),
+        F.forall(inner, lambda u: u["gap_before"].between(*quality.GAP_SAMPLES)).alias("gaps_fit"),
+        (F.col("trailing_silence").between(*quality.EDGE_SAMPLES) & F.col("utterances")[0]["gap_before"].between(*quality.EDGE_SAMPLES)).alias("edges_fit"),
+        (covered + F.col("trailing_silence") == F.col("total_samples")).alias("filled"),
+    )
 
 
 @query
