@@ -105,3 +105,24 @@ def test_fixed_detection_shuffles_once(spark):
     plan = speech.detect_speech(views.frames(spark, SF), views.FIXED, adaptive=False)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") == 1 and "Join" not in text and "Python" not in text
+
+
+def test_a_key_with_a_third_of_all_rows_is_divided(spark, monkeypatch):
+    """Queries pick the blocked plan by themselves once a key is too large, and give the same rows."""
+    events = views.table(spark, SF, "events")
+    hot = events.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+    skewed = views.as_job_events(hot)
+
+    def build():
+        rows = jobs.monotone_progress(skewed).select("job_id", "seq", "shown_progress")
+        bad = jobs.illegal_transitions(skewed).select("job_id", "seq", "rule")
+        kept = jobs.throttle(skewed.withColumn("batch_id", F.col("job_id")), 600_000)
+        return [sorted(map(repr, df.collect())) for df in (rows, bad, kept)]
+
+    plain = build()
+    assert len(plain[0]) == events.count()
+    monkeypatch.setattr(ordered, "SMALL_INPUT", 0)
+    monkeypatch.setattr(ordered, "KEY_ROWS", 100)
+    monkeypatch.setattr(jobs, "BLOCK", 64)
+    assert not ordered.fits_one_task(skewed, jobs.JOB)
+    assert build() == plain

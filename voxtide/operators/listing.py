@@ -53,9 +53,7 @@ def pending_work(work: DataFrame, outputs: DataFrame, policy: str = "skip") -> D
     files = outputs.filter("NOT is_dir").select(_key("path"))
     if policy == "skip":
         return work.withColumn("_key", _key()).join(files, "_key", "left_anti").drop("_key")
-    # At most one row says that something exists, and removes everything.
-    veto = existing_outputs(work, outputs).limit(1).select(F.lit(0).alias("_veto"))
-    return work.withColumn("_veto", F.lit(0)).join(F.broadcast(veto), "_veto", "left_anti").drop("_veto")
+    return work.filter(~existing_outputs(work, outputs).exists())
 
 
 def output_collisions(work: DataFrame) -> DataFrame:

@@ -34,8 +34,9 @@ def estimated_bytes(df: DataFrame) -> int | None:
     return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def fits_one_task(df: DataFrame, keys: Sequence[str], limit: int = KEY_ROWS) -> bool:
+def fits_one_task(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
     """Whether no key has more rows than one task should order; counts per key only when the input is not small."""
+    limit = KEY_ROWS if limit is None else limit
     size = estimated_bytes(df)
     if size is not None and size <= SMALL_INPUT:
         return True

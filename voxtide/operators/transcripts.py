@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType
 from voxtide.functions.scalars import safe_percent
 from voxtide.functions.text import is_blank, normalize_text, tokenize
 from voxtide.functions.timecode import samples_to_ms
-from voxtide.operators.intervals import BUCKET, without_overlap
+from voxtide.operators.intervals import BUCKET, overlap_pairs
 from voxtide.operators.ordered import BLOCK, block_of, blocked_by, row_index, rows_to_here
 
 def count_edits(a: list, b: list) -> int:
@@ -61,13 +61,15 @@ def word_edits(expected: Column, actual: Column) -> Column:
 
 
 def recording_words(texts: DataFrame, name: str, normalized: bool = False) -> DataFrame:
-    """Tokens of each recording's texts in order: ``file_id, idx, text`` to one array per recording.
+    """Tokens of each recording's texts in order, and their number: ``file_id, idx, text`` to one row per recording.
 
     The distance needs both whole transcripts in one row, as a transcript is one value of the result.
     """
     tokens = texts.select("file_id", F.struct("idx", tokenize(F.col("text"), normalized).alias("t")).alias("r"))
     ordered = F.array_sort(F.collect_list("r"))
-    return tokens.groupBy("file_id").agg(F.flatten(F.transform(ordered, lambda r: r["t"])).alias(name))
+    return tokens.groupBy("file_id").agg(
+        F.flatten(F.transform(ordered, lambda r: r["t"])).alias(name), F.count(F.lit(1)).alias(f"{name}_rows")
+    )
 
 
 def transcript_diagnostics(
@@ -79,17 +81,27 @@ def transcript_diagnostics(
     """
     words = recording_words(expected, "_e", normalized).join(recording_words(produced, "_a", normalized), "file_id", "left")
     words = words.withColumn("_a", F.coalesce("_a", F.array().cast("array<string>")))
-    edits = word_edits(F.col("_e"), F.col("_a"))
+    # One join finds the overlaps of both sides; what is not among them overlaps nothing.
+    met = overlap_pairs(expected, produced, width).groupBy("file_id").agg(
+        F.count_distinct("a_idx").alias("_met_e"), F.count_distinct("b_idx").alias("_met_a")
+    )
+    alone = lambda side: F.coalesce(f"_{side}_rows", F.lit(0)) - F.coalesce(f"_met_{side}", F.lit(0))
     per_file = words.select(
         "file_id",
         F.size("_e").cast("bigint").alias("expected_words"),
         F.size("_a").cast("bigint").alias("actual_words"),
-        edits.alias("word_edits"),
-    ).withColumn("word_edit_percent", safe_percent(F.col("word_edits"), F.col("expected_words")))
-    lonely_cues = without_overlap(produced, expected, width).groupBy("file_id").agg(F.count(F.lit(1)).alias("produced_without_overlap"))
-    lonely_words = without_overlap(expected, produced, width).groupBy("file_id").agg(F.count(F.lit(1)).alias("expected_without_overlap"))
-    return per_file.join(lonely_cues, "file_id", "left").join(lonely_words, "file_id", "left").fillna(
-        0, ["produced_without_overlap", "expected_without_overlap"]
+        word_edits(F.col("_e"), F.col("_a")).alias("word_edits"),
+        "_e_rows",
+        "_a_rows",
+    ).join(met, "file_id", "left")
+    return per_file.select(
+        "file_id",
+        "expected_words",
+        "actual_words",
+        "word_edits",
+        safe_percent(F.col("word_edits"), F.col("expected_words")).alias("word_edit_percent"),
+        alone("a").alias("produced_without_overlap"),
+        alone("e").alias("expected_without_overlap"),
     )
 
 

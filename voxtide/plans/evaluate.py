@@ -9,15 +9,22 @@ from voxtide.operators.audit import audit_runs
 from voxtide.operators.cues import cue_intervals
 from voxtide.operators.intervals import check_sequence, detection_metrics
 from voxtide.operators.transcripts import transcript_diagnostics
+from voxtide.session import cut_lineage
 
 
 def evaluate_detection(
     expected: DataFrame, detected: DataFrame, tolerance_ms: int = 250, max_segment: int = 400_000
 ) -> DataFrame:
-    """Detection metrics of the recordings whose two interval lists are in order, with the corpus row (null file)."""
+    """Detection metrics of the recordings whose two interval lists are in order, with the corpus row (null file).
+
+    The lists are checked first, in a job of its own; its result, the few files that fail, is kept, and where there
+    are none the metrics read their inputs as they are.
+    """
     bad = check_sequence(expected).select("file_id").unionByName(check_sequence(detected).select("file_id")).distinct()
-    usable = lambda df: df.join(bad, "file_id", "left_anti")
-    return detection_metrics(usable(expected), usable(detected), tolerance_ms, max_segment, roll_up=True)
+    bad = cut_lineage(bad)
+    if not bad.isEmpty():
+        expected, detected = (df.join(bad, "file_id", "left_anti") for df in (expected, detected))
+    return detection_metrics(expected, detected, tolerance_ms, max_segment, roll_up=True)
 
 
 def evaluate_transcripts(expected: DataFrame, produced: DataFrame, normalized: bool = False) -> DataFrame:
