@@ -373,6 +373,24 @@ def oracle_sql() -> dict[str, str]:
            FROM (SELECT file_id, frame_idx AS i, round((value - 35) * 60)::BIGINT AS s FROM frames) GROUP BY file_id, i // 4""",
         "frames",
     )
+    waves = """
+        WITH d AS (SELECT doc_id, text, octet_length(encode(text)) // 2 * 2 AS n,
+                          CASE WHEN doc_id % 13 = 1 THEN 'declared size exceeds the file' WHEN doc_id % 7 = 3 THEN 'not PCM'
+                               WHEN doc_id % 11 = 5 THEN 'not 16 kHz mono 16-bit' END AS error FROM documents)"""
+    sql["wave_layouts"] = waves + """
+        SELECT doc_id::VARCHAR AS path, CASE WHEN error IS NULL THEN 16000 END AS sample_rate, CASE WHEN error IS NULL THEN 44 END AS data_offset,
+               CASE WHEN error IS NULL THEN n END AS data_length, CASE WHEN error IS NULL THEN n // 2 END AS sample_count, error FROM d"""
+    sql["quarantined_recordings"] = waves + " SELECT error, count(*) AS files FROM d WHERE error IS NOT NULL GROUP BY error"
+    sql["wave_frames"] = waves + """,
+        h AS (SELECT doc_id, hex(encode(text)) AS x, unnest(range(n // 2)) AS i FROM d WHERE error IS NULL),
+        v AS (SELECT doc_id, i, ('0x' || substr(x, i * 4 + 3, 2) || substr(x, i * 4 + 1, 2))::INT AS u FROM h),
+        s AS (SELECT doc_id, i, (CASE WHEN u >= 32768 THEN u - 65536 ELSE u END)::BIGINT AS s FROM v)
+        SELECT doc_id::VARCHAR AS file_id, i // 320 AS frame_idx, min(i) AS start_sample, max(i) + 1 AS end_sample, round(sqrt(avg(s * s)), 4) AS rms
+        FROM s GROUP BY doc_id, i // 320"""
+    sql["bulk_transcription"] = f"""
+        WITH d AS (SELECT item_id, length(text) % 50 * 320 + 8000 AS n FROM benchmark WHERE item_id % 5 <> 0)
+        SELECT '/out/' || item_id || '.vtt' AS output_path, 0 AS part_no, E'WEBVTT\\n\\n' || {_stamp('200')} || ' --> ' || {_stamp('(9600 + n) // 16')}
+               || E'\\nheard ' || (n + 6400) || E' samples\\n\\n' AS text, 1 AS cue_count FROM d"""
     sql["classified_frames"] = _with("SELECT file_id, frame_idx, above, below FROM marks", "marks")
     sql["frame_violations"] = _with(
         """SELECT file_id, frame_idx, rule FROM (

@@ -14,7 +14,8 @@ from voxtide.functions import timecode as tc
 from voxtide.operators import audit, frames, intervals, jobs, listing, quality, speech, synth, transcripts
 from voxtide.operators import cues as cue_ops
 from voxtide.operators.ordered import blocked_by, row_index, spread
-from voxtide.plans import evaluate, views
+from voxtide.plans import evaluate, transcribe, views
+from voxtide.sources import wave
 from voxtide.streaming import runs, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,6 +201,42 @@ def frame_energy(spark, sf):
     return rows.select("file_id", "frame_idx", "start_sample", "end_sample", F.round("rms", 6).alias("rms"), F.round("dbfs", 6).alias("dbfs"))
 
 
+@query
+def wave_layouts(spark, sf):
+    scanned = wave.scan_wave(views.wave_files(spark, sf))
+    return scanned.select("path", "sample_rate", "data_offset", "data_length", "sample_count", "error")
+
+
+@query
+def quarantined_recordings(spark, sf):
+    _, bad = quality.split_quarantine(wave.scan_wave(views.wave_files(spark, sf)))
+    return bad.groupBy("error").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query
+def wave_frames(spark, sf):
+    """Frame energies straight from the recordings' bytes."""
+    files = views.wave_files(spark, sf)
+    good, _ = quality.split_quarantine(wave.scan_wave(files))
+    recordings = good.select(F.col("path").alias("file_id"), "data_offset", "data_length").join(
+        files.select(F.col("path").alias("file_id"), "content"), "file_id"
+    )
+    rows = frames.frame_blocks(frames.pcm_blocks(recordings))
+    return rows.select("file_id", "frame_idx", "start_sample", "end_sample", F.round("rms", 4).alias("rms"))
+
+
+@query
+def bulk_transcription(spark, sf):
+    """Recordings to caption documents, with a recogniser that says how much it heard."""
+    files = views.tone_files(spark, sf)
+    work = listing.plan_work(files.select(F.col("path").alias("input_path"), F.regexp_replace("path", "^/in/", "").alias("relative_path")), "/out")
+    existing = files.filter("path RLIKE '[05][.]wav$'").select(
+        F.replace(F.replace("path", F.lit("/in/"), F.lit("/OUT/")), F.lit(".wav"), F.lit(".vtt")).alias("path"), F.lit(False).alias("is_dir")
+    )
+    result = transcribe.transcribe(files, work, existing, lambda: "heard", lambda model, pcm: [model, f"{model} {len(pcm) // 2} samples"])
+    return result.documents.select("output_path", "part_no", "text", "cue_count")
+
+
 @query
 def classified_frames(spark, sf):
     return frames.classify(views.frames(spark, sf), views.FIXED).select("file_id", "frame_idx", "above", "below")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtide.functions.scalars import NEG_INF
@@ -254,3 +254,41 @@ def manifest_utterances(spark: SparkSession, sf: str) -> DataFrame:
         "text",
         F.concat(normalize_text(F.col("text"), normalized=True), wrong).alias("normalized_text"),
     )
+
+
+def _little_endian(n: Column, size: int) -> Column:
+    """A number as bytes, lowest first."""
+    byte = lambda i: F.unhex(F.lpad(F.hex(F.call_function("shiftright", n.cast("bigint"), F.lit(8 * i)).bitwiseAND(255)), 2, "0"))
+    return F.concat(*[byte(i) for i in range(size)])
+
+
+def wave_bytes(pcm: Column, tag: Column | None = None, rate: Column | None = None) -> Column:
+    """A WAVE file around PCM data of even length."""
+    rate = F.lit(16_000) if rate is None else rate
+    size = F.octet_length(pcm)
+    ascii_bytes = lambda s: F.lit(s.encode())
+    header = F.concat(
+        ascii_bytes("RIFF"), _little_endian(size + 36, 4), ascii_bytes("WAVEfmt "), _little_endian(F.lit(16), 4),
+        _little_endian(F.lit(1) if tag is None else tag, 2), _little_endian(F.lit(1), 2), _little_endian(rate, 4),
+        _little_endian(rate * 2, 4), _little_endian(F.lit(2), 2), _little_endian(F.lit(16), 2),
+    )
+    return F.concat(header, ascii_bytes("data"), _little_endian(size, 4), pcm)
+
+
+def wave_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as WAVE files: their bytes are the samples. Some have a wrong format or are cut short."""
+    raw = F.encode("text", "UTF-8")
+    even = F.substring(raw, F.lit(1), F.octet_length(raw) - F.octet_length(raw) % 2)
+    doc = F.col("doc_id")
+    content = wave_bytes(F.col("_pcm"), F.when(doc % 7 == 3, 3).otherwise(1), F.when(doc % 11 == 5, 8_000).otherwise(16_000))
+    whole = documents(spark, sf).withColumn("_pcm", even).select("doc_id", content.alias("content"))
+    cut = F.substring(F.col("content"), F.lit(1), F.octet_length("content") - 1)
+    return whole.select("doc_id", doc.cast("string").alias("path"), F.when(doc % 13 == 1, cut).otherwise(F.col("content")).alias("content"))
+
+
+def tone_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items as recordings: silence, a loud stretch whose length depends on the text, silence."""
+    loud = F.length("text") % 50 * 320 + 8_000
+    samples = F.concat(F.repeat(F.lit("0000"), F.lit(6_400)), F.repeat(F.lit("0040"), loud), F.repeat(F.lit("0000"), F.lit(12_800)))
+    rows = table(spark, sf, "benchmark").select("item_id", F.unhex(samples).alias("_pcm"))
+    return rows.select(F.format_string("/in/%d.wav", "item_id").alias("path"), wave_bytes(F.col("_pcm")).alias("content"))
