@@ -216,11 +216,8 @@ def quarantined_recordings(spark, sf):
 @query
 def wave_frames(spark, sf):
     """Frame energies straight from the recordings' bytes."""
-    files = views.wave_files(spark, sf)
-    good, _ = quality.split_quarantine(wave.scan_wave(files))
-    recordings = good.select(F.col("path").alias("file_id"), "data_offset", "data_length").join(
-        files.select(F.col("path").alias("file_id"), "content"), "file_id"
-    )
+    good, _ = quality.split_quarantine(wave.scan_wave(views.wave_files(spark, sf), keep_content=True))
+    recordings = good.withColumnRenamed("path", "file_id")
     rows = frames.frame_blocks(frames.pcm_blocks(recordings))
     return rows.select("file_id", "frame_idx", "start_sample", "end_sample", F.round("rms", 4).alias("rms"))
 

@@ -58,15 +58,14 @@ def transcribe(
         decoded = cut_lineage(decode(wanted, decoder))
         broken = decoded.filter("error IS NOT NULL").select(F.col("path").alias("file_id"), "error")
         wanted = decoded.filter("error IS NULL").drop("error")
-    scanned = scan_wave(wanted)
+    scanned = cut_lineage(scan_wave(wanted))
     unusable = scanned.filter("error IS NOT NULL").select(F.col("path").alias("file_id"), "error")
-    good = scanned.filter("error IS NULL").join(wanted, "path")
-    recordings = good.select(F.col("path").alias("file_id"), "content", "data_offset", "data_length")
+    recordings = scan_wave(wanted, keep_content=True).filter("error IS NULL").withColumnRenamed("path", "file_id")
     blocks = pcm_blocks(recordings, options.frame_samples * 4_096)
     intervals = numbered(detect_speech(frame_blocks(blocks, options.frame_samples), options))
     # The recogniser is the expensive step: its result is kept, so that no later branch runs it again.
     spoken = cut_lineage(recognize(interval_audio(intervals, recordings), load_model, recognise))
-    states = isolate_failures(recordings, spoken)
+    states = isolate_failures(scanned.filter("error IS NULL").select(F.col("path").alias("file_id")), spoken)
     failed = unusable if broken is None else unusable.unionByName(broken)
     states = states.unionByName(failed.select("file_id", F.lit("Failed").alias("state"), "error"))
     complete = states.filter("state = 'Complete'").select("file_id")

@@ -73,8 +73,14 @@ def read_layout(content: bytes) -> tuple[int, int, int, int, int, int]:
     return rate, channels, bits, align, at, size
 
 
-def scan_wave(files: DataFrame) -> DataFrame:
-    """One row per file of ``files(path, content)``: its layout, or the one reason why it is no usable recording."""
+def scan_wave(files: DataFrame, keep_content: bool = False) -> DataFrame:
+    """One row per file of ``files(path, content)``: its layout, or the one reason why it is no usable recording.
+
+    ``keep_content`` passes the bytes through. That spares a join of layouts with contents, which would move every
+    recording across the network.
+    """
+    schema = _SCAN + (", content binary" if keep_content else "")
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -82,18 +88,18 @@ def scan_wave(files: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
                     found = read_layout(content)
-                    rows.append((path, *found, found[5] // found[3], None))
+                    row = (path, *found, found[5] // found[3], None)
                 except BadWave as problem:
-                    rows.append((path, *[None] * 7, str(problem)))
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in _SCAN.split(", ")]).astype(object).where(lambda t: t.notna(), None)
+                    row = (path, *[None] * 7, str(problem))
+                rows.append((*row, content) if keep_content else row)
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    return files.select("path", "content").mapInPandas(scan, _SCAN)
+    return files.select("path", "content").mapInPandas(scan, schema)
 
 
-def data_hashes(scanned: DataFrame, files: DataFrame) -> DataFrame:
-    """SHA-256 of the PCM data alone."""
-    good = scanned.filter("error IS NULL").join(files.select("path", "content"), "path")
-    return good.select("path", data_sha256_hex(F.col("content"), F.col("data_offset"), F.col("data_length")).alias("pcm_sha"))
+def data_hashes(scanned: DataFrame) -> DataFrame:
+    """SHA-256 of the PCM data alone, from a scan that kept the content."""
+    return scanned.filter("error IS NULL").select("path", data_sha256_hex(F.col("content"), F.col("data_offset"), F.col("data_length")).alias("pcm_sha"))
 
 
 def decode(files: DataFrame, decoder: Callable[[bytes], bytes]) -> DataFrame:
