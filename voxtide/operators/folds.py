@@ -12,7 +12,6 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +46,8 @@ def _whole_keys(
             ends = [i + 1 for i, last in enumerate(batch.column(len(needed)).to_pylist()) if last]
             begin, out = 0, []
             for end in dict.fromkeys([*ends, batch.num_rows]):
+                if begin == end:
+                    continue
                 last = bool(ends) and end <= ends[-1]
                 emitted, state = step({name: data[name][begin:end] for name in columns}, state, last)
                 key = [data[k][begin] for k in keys]
@@ -90,28 +91,40 @@ def blocked_fold(
             *[StructField(f.name, f.dataType, True) for f in output.fields],
         ]
     )
-    order, out_names = list(order), output.names
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        start = rows["_state_in"].iat[0]
-        start = None if pd.isna(start) else start
-        last = bool(rows["_last"].iat[0])
-        rows = rows.sort_values(order, kind="stable")
-        lists = {name: rows[name].tolist() for name in columns}
-        emitted, state = step(lists, None if start is None else json.loads(start), last)
-        end = encode_state(state)
-        head = (*key, start)
-        table = [(*head, end, True, *([None] * len(out_names)))]
-        table.extend((*head, None, False, *row) for row in emitted)
-        return pd.DataFrame(table, columns=schema.names).astype(object).where(lambda t: t.notna(), None)
-
+    arrow, empty = to_arrow_schema(schema), [None] * len(output.names)
     needed = list(dict.fromkeys([*names, *order, *columns]))
+    sent = [*needed, "_state_in", "_last", "_end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_state: list = []
+        for batch in batches:
+            data = {name: batch.column(i).to_pylist() for i, name in enumerate(sent)}
+            ends = [i + 1 for i, end in enumerate(data["_end"]) if end]
+            begin, out = 0, []
+            for end in dict.fromkeys([*ends, batch.num_rows]):
+                if begin == end:
+                    continue
+                start, closes = data["_state_in"][begin], data["_end"][end - 1]
+                state = open_state.pop() if open_state else (None if start is None else json.loads(start))
+                last = closes and data["_last"][begin]
+                emitted, state = step({name: data[name][begin:end] for name in columns}, state, last)
+                head = [*(data[name][begin] for name in names), start]
+                out.extend((*head, None, False, *row) for row in emitted)
+                if closes:
+                    out.append((*head, encode_state(state), True, *empty))
+                else:
+                    open_state.append(state)
+                begin = end
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
     rows = df.select(*needed)
     ends = rows.groupBy(*keys).agg(F.max(block).alias("_final"))
     rows = rows.join(ends, list(keys)).withColumn("_last", F.col(block) == F.col("_final")).drop("_final")
+    window = Window.partitionBy(*names).orderBy(*order)
 
     def fold(source: DataFrame) -> DataFrame:
-        return source.groupBy(*names).applyInPandas(run, schema)
+        return source.withColumn("_end", F.lead(F.lit(True)).over(window).isNull()).select(*sent).mapInArrow(run, schema)
 
     done = cut_lineage(fold(rows.withColumn("_state_in", F.lit(None).cast("string"))))
     before = Window.partitionBy(*keys).orderBy(block)
@@ -125,4 +138,4 @@ def blocked_fold(
         stale = cut_lineage(stale)
         kept = done.join(stale.select(*names), names, "left_anti")
         done = cut_lineage(kept.unionByName(fold(rows.join(stale, names))))
-    return done.filter(~F.col("_is_state")).select(*keys, *out_names)
+    return done.filter(~F.col("_is_state")).select(*keys, *output.names)
