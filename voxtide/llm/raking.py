@@ -73,15 +73,45 @@ def rake(cells: DataFrame, targets: Mapping[str, Targets], sweeps: int = 50, tol
     return now.select(*margins, "tokens", "factor")
 
 
+def calibrated_scale(raked: DataFrame, share: float) -> float:
+    """The scale s at which drawing with probability min(1, s * factor) is expected to give ``share`` of all tokens.
+
+    Cells that reach 1 are set aside and the scale of the rest grows, until no further cell does; infinite where
+    even everything with a factor is not enough.
+    """
+    sums = raked.agg(F.sum("tokens").alias("all"), F.sum(F.col("tokens") * F.col("factor")).alias("weighted")).first()
+    budget = share * (sums["all"] or 0.0)
+    if not sums.weighted:
+        return 0.0
+    scale = budget / sums.weighted
+    while True:
+        full = F.col("factor") * scale >= 1
+        sums = raked.agg(
+            F.sum(F.when(full, F.col("tokens")).otherwise(0.0)).alias("full"),
+            F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("factor"))).alias("rest"),
+        ).first()
+        if not sums.rest:
+            return scale if budget <= sums.full else float("inf")
+        last, scale = scale, max(scale, (budget - sums.full) / sums.rest)
+        if scale <= last * (1 + 1e-12):
+            return last
+
+
 def mix_transcripts(
-    transcripts: DataFrame, targets: Mapping[str, Targets], seed: int = 0, sweeps: int = 50, tolerance: float = 1e-6
+    transcripts: DataFrame,
+    targets: Mapping[str, Targets],
+    share: float = 0.7,
+    seed: int = 0,
+    sweeps: int = 50,
+    tolerance: float = 1e-6,
 ) -> DataFrame:
     """All columns of the transcripts with ``weight``, ``probability`` and ``sampled``.
 
     Input columns are ``file_id``, ``tokens`` and the margins that ``targets`` names, as ``folder``, ``language`` and
     ``topic``; for each margin the wanted weights of its values, or a power of their own tokens (1 leaves the mix,
-    0 evens it out). Token weights are raked to the margins; a transcript's ``probability`` is its weight over the
-    largest, so the expected tokens of every margin are in the wanted proportion. ``sampled`` compares it with a
+    0 evens it out). Token weights are raked to the margins; a transcript's ``probability`` is its weight times the
+    scale at which ``share`` of all tokens are expected, at most 1. Where no cell reaches 1, the expected tokens of
+    every margin are in the wanted proportion; a smaller share leaves more room. ``sampled`` compares the probability with a
     number drawn from a hash of ``seed`` and ``file_id``: the same in every run and partition.
 
     A null value of a margin is a value. Null or negative tokens count as 0, but such rows are drawn with their
@@ -91,7 +121,7 @@ def mix_transcripts(
     rows = transcripts.drop("weight", "probability", "sampled")
     counted = rows.groupBy(*targets).agg(F.sum(F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0))).alias("tokens"))
     raked = rake(cut_lineage(counted), targets, sweeps, tolerance)
-    most = raked.agg(F.max("factor")).first()[0] or 1.0
+    scale = calibrated_scale(raked, share)
     factors = cut_lineage(raked.select(*[F.col(m).alias(f"_m{i}") for i, m in enumerate(targets)], F.col("factor").alias("weight")))
     if factors.count() <= BROADCAST_CELLS:
         factors = F.broadcast(factors)
@@ -101,7 +131,7 @@ def mix_transcripts(
     draw = F.conv(digest, 16, 10).cast("double") / F.lit(float(1 << 48))
     return (
         rows.join(factors, same, "left")
-        .withColumn("probability", F.col("weight") / F.lit(float(most)))
+        .withColumn("probability", F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.col("weight") * F.lit(scale))).otherwise(0.0))
         .withColumn("sampled", draw < F.col("probability"))
         .select(*rows.columns, "weight", "probability", "sampled")
     )
