@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtide.llm import byte_bpe, line_dedup, quality_rules, raking, simhash
+from voxtide.llm import archives, byte_bpe, line_dedup, quality_rules, raking, simhash
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 # Topics by the terms that mark them, and how strongly the mix keeps the margins' own proportions.
@@ -95,6 +95,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = archives.archive_folder(spark)
+    records = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.col("html").alias("payload"))
+    archives.write_archives(records, folder)
+    return archives.read_archives(spark, folder).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op7_simhash, op8_source_mixing, op9_line_dedup)
+    f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op7_simhash, op8_source_mixing, op9_line_dedup, op10_warc)
 }
