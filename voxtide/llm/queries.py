@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtide.llm import archives, byte_bpe, line_dedup, quality_rules, raking, simhash, vector_dedup
+from voxtide.llm import archives, byte_bpe, line_dedup, quality_rules, raking, simhash, vector_dedup, wrappers
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 # Topics by the terms that mark them, and how strongly the mix keeps the margins' own proportions.
@@ -52,6 +52,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = wrappers.extract_pages(_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "host", "fitted")
+
+
 def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -109,5 +114,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_vector_dedup, op7_simhash, op8_source_mixing, op9_line_dedup, op10_warc)
+    f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_html_extraction, op4_vector_dedup, op7_simhash, op8_source_mixing, op9_line_dedup, op10_warc)
 }
