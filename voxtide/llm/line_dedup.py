@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxtide.session import cut_lineage
+
 # Stretches that the documents holding a line are dealt to, so that a line found everywhere is no one task's work.
 STRETCHES = 16
+# Shared keys sent to every executor, 24 bytes each; more of them are joined by a shuffle that Spark can split.
+BROADCAST_KEYS = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -43,12 +47,16 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = 20, min_files: int = 3)
     ``keep_bitmap`` is a run-length bitmap: the sorted positions where it flips, beginning with kept lines.
     """
     run = ["h1", "h2", "stretch"]
-    ranged = keyed_lines(documents, min_chars).repartitionByRange(*run)
+    # Ranges are sampled before they are dealt out: the texts are read once.
+    keyed = cut_lineage(keyed_lines(documents, min_chars))
     passing = Window.partitionBy(*run).orderBy(F.desc("file_id"), "line_no")
     before = F.lag("file_id").over(passing)
-    seen = ranged.select(*run, "file_id", "tag", "line_no", F.when(before == F.col("file_id"), 0).otherwise(1).alias("new"))
+    seen = keyed.drop("tag").repartitionByRange(*run).select("h1", "h2", "file_id", F.when(before == F.col("file_id"), 0).otherwise(1).alias("new"))
     shared = seen.groupBy("h1", "h2").agg(F.sum("new").alias("files"), F.max("file_id").alias("last")).filter(F.col("files") >= min_files)
-    gone = seen.join(shared, ["h1", "h2"]).filter(F.col("file_id") < F.col("last"))
+    shared = cut_lineage(shared.select("h1", "h2", "last"))
+    if shared.count() <= BROADCAST_KEYS:
+        shared = F.broadcast(shared)
+    gone = keyed.join(shared, ["h1", "h2"]).filter(F.col("file_id") < F.col("last"))
     lost = gone.groupBy("file_id", "tag").agg(F.sort_array(F.collect_set("line_no")).alias("d"))
     first = F.filter("d", lambda p, i: ~F.coalesce(F.get("d", i - 1) == p - 1, F.lit(False)))
     last = F.filter("d", lambda p, i: ~F.coalesce(F.get("d", i + 1) == p + 1, F.lit(False)))
