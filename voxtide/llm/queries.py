@@ -8,13 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtide.llm import archives, byte_bpe, line_dedup, quality_rules, raking, simhash, surrogates, vector_dedup, wrappers
+from voxtide.llm import archives, byte_bpe, line_dedup, quality_rules, raking, simhash, surrogates, tool_links, vector_dedup, wrappers
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 # Topics by the terms that mark them, and how strongly the mix keeps the margins' own proportions.
 TOPICS = {"licence": ("License", "CC BY-NC"), "contact": ("@", "+1 ("), "table": (" | ",)}
 # Of the test tables only; a user of the operator has a secret of their own.
 SURROGATE_KEY = "test tables"
+CALL_SCHEMAS = {
+    tool: {
+        "type": "object",
+        "required": ["text", "turn"],
+        "properties": {"text": {"type": "string"}, "turn": {"type": "integer", "minimum": 0, "maximum": last}},
+        "additionalProperties": False,
+    }
+    for tool, last in (("answer", 1_000_000), ("configure", 0))
+}
 MIX = {"folder": 0.8, "language": 0.8, "topic": 0.8}
 
 
@@ -63,6 +72,30 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as sessions: what a user or the system says is a call, needing the one before, and the
+    assistant's turn is the result of the call one turn earlier."""
+    turns = _table(spark, sf_dir, "conversations").withColumn("id", F.concat(F.lit("turn-"), F.col("turn").cast("string")))
+    asked = turns.filter("role <> 'assistant'").select(
+        F.col("conv_id").alias("session_id"),
+        F.col("turn").alias("seq"),
+        F.col("id").alias("call_id"),
+        F.when(F.col("role") == "system", "configure").otherwise("answer").alias("tool"),
+        F.to_json(F.struct("turn", "text")).alias("arguments"),
+        F.when(F.col("turn") >= 2, F.array(F.concat(F.lit("turn-"), (F.col("turn") - 2).cast("string")))).alias("after"),
+    )
+    answered = turns.filter("role = 'assistant'").select(
+        F.col("conv_id").alias("session_id"),
+        F.col("turn").alias("seq"),
+        F.concat(F.lit("turn-"), (F.col("turn") - 1).cast("string")).alias("call_id"),
+        F.col("text").alias("content"),
+    )
+    linked = tool_links.link_calls(asked, answered, CALL_SCHEMAS)
+    return linked.select(
+        F.col("session_id").alias("conv_id"), "call_id", "seq", "result_seq", "status", "rank", "level", "dangling", "valid", "message"
+    )
+
+
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     transcripts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
     replaced = surrogates.replace_entities(transcripts, SURROGATE_KEY)
@@ -123,5 +156,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_html_extraction, op4_vector_dedup, op6_surrogates, op7_simhash, op8_source_mixing, op9_line_dedup, op10_warc)
+    f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_html_extraction, op4_vector_dedup, op5_tool_links, op6_surrogates, op7_simhash, op8_source_mixing, op9_line_dedup, op10_warc)
 }
