@@ -28,9 +28,9 @@ DICTIONARY_RECORDS, DICTIONARY_BYTES, SAMPLE_CHARS = 512, 64 << 10, 16_384
 
 
 def train_dictionary(payloads: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A Zstandard dictionary, or nothing where the payloads are too few or too short to build one."""
+    """A Zstandard dictionary of a quarter of the payloads at most, or nothing where they are too few to build one."""
     try:
-        return zstandard.train_dictionary(size, payloads).as_bytes() if len(payloads) >= 8 else b""
+        return zstandard.train_dictionary(min(size, sum(map(len, payloads)) // 4), payloads).as_bytes() if len(payloads) >= 8 else b""
     except zstandard.ZstdError:
         return b""
 
@@ -116,7 +116,7 @@ def write_archives(records: DataFrame, folder: str, min_bytes: int = 1000, archi
                 for row in batch.slice(at, 200).to_pylist():
                     if out is None:
                         path = f"archives/{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.zst"
-                        out, count, size = store.open_output_stream(f"{place}/{path}"), 0, 0
+                        out, count, size = store.open_output_stream(f"{place}/{path}", compression=None), 0, 0
                         if dictionary:
                             out.write(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
                     frame = packer.compress(record_bytes(dict(zip(names, row.values()))))
@@ -189,7 +189,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         store, place = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with store.open_input_stream(f"{place}/{path}") as file:
+                with store.open_input_stream(f"{place}/{path}", compression=None) as file:
                     archive = file.read()
                 rows = []
                 for record in frames(archive):
