@@ -113,6 +113,9 @@ def test_bulk_transcription(spark, tmp_path):
     work = plan_work(listing.select(F.col("path").alias("input_path"), "relative_path"), str(out))
     outputs = files.list_recordings(spark, str(out), "vtt").select("path", F.lit(False).alias("is_dir"))
     assert check_plan(work, outputs).count() == 0
+    # Planned and gone when the batch runs.
+    gone = spark.createDataFrame([(f"{root}/gone.wav", "gone.wav", f"{out}/gone.vtt")], work.schema)
+    work = work.unionByName(gone)
 
     def recognise(model, pcm):
         seconds = len(pcm) // 32_000
@@ -129,7 +132,11 @@ def test_bulk_transcription(spark, tmp_path):
         "sub/c.wav": ("Complete", "Existing VTT skipped", 0),
         "bad.wav": ("Failed", "file is too short", 0),
         "boom.wav": ("Failed", "cannot recognise", 0),
+        "gone.wav": ("Failed", "the recording is missing", 0),
     }
+    for twice in (work.unionByName(gone), work.withColumn("relative_path", F.lit("../x.wav"))):
+        with pytest.raises(ValueError, match="must not start"):
+            transcribe(content, twice, outputs, lambda: None, recognise)
     written = {os.path.basename(r.output_path): r.disposition for r in sinks.write_vtt_files(result.documents).collect()}
     assert written == {"a.vtt": "Written", "b.vtt": "Written"}
     assert (out / "sub" / "b.vtt").read_text() == "WEBVTT\n\n"
@@ -205,3 +212,28 @@ def test_reports_are_not_replaced_unasked(spark, tmp_path):
     sinks.write_report(df, str(tmp_path / "r"), overwrite=True)
     sinks.write_vtt_table(df, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
+def test_two_documents_of_one_path_are_refused(spark, tmp_path):
+    rows = [("a", 0, "A0"), ("a", 1, "A1"), ("b", 0, "B"), ("b", 0, "other B"), ("b", 1, "B1"), ("c", 0, "C")]
+    df = spark.createDataFrame([(f"{tmp_path}/{p}.vtt", n, t) for p, n, t in rows], "output_path string, part_no int, text string").coalesce(1)
+    found = {os.path.basename(r.output_path): r.disposition for r in sinks.write_vtt_files(df).collect()}
+    assert found == {"a.vtt": "Written", "b.vtt": "Conflict", "c.vtt": "Written"}
+    assert (tmp_path / "a.vtt").read_text() == "A0A1" and sorted(os.listdir(tmp_path)) == ["a.vtt", "c.vtt"]
+
+
+def test_table_sink_by_key(spark, tmp_path):
+    schema, path = "output_path string, part_no int, text string", str(tmp_path / "table")
+    one = spark.createDataFrame([("a", 0, "A"), ("a", 1, "A1"), ("b", 0, "x"), ("b", 0, "y")], schema)
+    assert {tuple(r) for r in sinks.add_to_vtt_table(one, path).collect()} == {("a", "Written"), ("b", "Conflict")}
+    two = spark.createDataFrame([("a", 0, "new"), ("b", 0, "z")], schema)
+    assert {tuple(r) for r in sinks.add_to_vtt_table(two, path).collect()} == {("a", "SkippedExisting"), ("b", "Written")}
+    assert sorted(r.text for r in spark.read.parquet(path).collect()) == ["A", "A1", "z"]
+
+
+def test_nested_report(spark):
+    corpus = spark.createDataFrame([(2, 0.5)], "recordings long, percent double")
+    recordings = spark.createDataFrame([(1, 0.1), (2, None)], "file_id long, percent double")
+    details = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "file_id long, idx int, text string")
+    found = {r.file_id: r for r in sinks.nested_report(corpus, recordings, details).collect()}
+    assert [d.text for d in found[1].details] == ["a", "b"] and found[2].details is None and found[2].corpus.recordings == 2

@@ -9,6 +9,7 @@ from voxtide.functions import paths, scalars, text, timecode
 from voxtide.operators.cues import assemble_documents, clamp_cues, parse_documents
 from voxtide.operators.transcripts import accumulate_transcripts, count_edits, fold_text
 from voxtide.options import DetectorOptions, SegmenterOptions
+from voxtide.plans.evaluate import evaluate_documents
 
 
 def values(spark, column, inputs, kind="string"):
@@ -154,3 +155,25 @@ def test_options_are_validated():
         with pytest.raises(ValueError):
             DetectorOptions(**bad)
     assert not DetectorOptions().forced_piece_can_fail
+
+
+@pytest.mark.parametrize("part_cues", [1, 2, 3, 100])
+def test_documents_read_alike_however_they_are_cut(spark, part_cues):
+    cues = [(f, n, n * 100, n * 100 + 90, f"text {n}") for f in (1, 2, 3) for n in range(1, 8)]
+    cues = [(f, n, 10 if (f, n) == (2, 5) else s, e, t) for f, n, s, e, t in cues]
+    df = spark.createDataFrame(cues, "file_id long, cue_no long, start_ms long, end_ms long, text string")
+    documents = assemble_documents(df, part_cues=part_cues)
+    headless = (F.col("file_id") == 3) & (F.col("part_no") == 0)
+    documents = documents.withColumn("text", F.when(headless, F.concat(F.lit("X"), "text")).otherwise(F.col("text")))
+    found = sorted((r.file_id, r.cue_no, r.start_ms, r.error) for r in parse_documents(documents).collect() if r.file_id < 3)
+    assert found == [(f, n, s, "regressing cue" if (f, n) == (2, 5) else None) for f, n, s, _, _ in cues if f < 3]
+    last = [(r.cue_no, r.error) for r in parse_documents(documents).filter("file_id = 3").collect()]
+    assert last == [(1, "no WEBVTT header")]
+
+
+def test_long_document_against_itself(spark):
+    n = 4_200
+    cues = spark.range(1, n + 1).selectExpr("1L AS file_id", "id AS cue_no", "id * 100 AS start_ms", "id * 100 + 90 AS end_ms", "'word' AS text")
+    spoken = cues.selectExpr("file_id", "CAST(cue_no AS INT) AS idx", "start_ms * 16 AS start_sample", "end_ms * 16 AS end_sample", "text")
+    found = evaluate_documents(spoken, parse_documents(assemble_documents(cues))).first()
+    assert (found.word_edits, found.actual_words, found.produced_without_overlap, found.error) == (0, n, 0, None)

@@ -119,6 +119,8 @@ def parse_documents(documents: DataFrame) -> DataFrame:
 
     A pure projection of each row: blocks are cut, read and compared with their neighbours inside the row's arrays, so
     nothing is shuffled. ``documents(file_id, text)`` may have ``part_no``; later parts have no header of their own.
+    Then one row per part carries the number of cues, the last end and the header to the parts behind it, so that a
+    document gives the same rows however it is cut.
     """
     first = (F.col("part_no") == 0) if "part_no" in documents.columns else F.lit(True)
     keys = ["file_id", "part_no"] if "part_no" in documents.columns else ["file_id"]
@@ -154,6 +156,10 @@ def parse_documents(documents: DataFrame) -> DataFrame:
         )
 
     rows = rows.withColumn("_cues", F.transform(F.transform(F.transform("_chunks", stamps), times), read))
+    if "part_no" in keys:
+        rows = rows.join(_before_parts(rows), keys)
+    else:
+        rows = rows.withColumns({"_n": F.lit(0).cast("bigint"), "_end": F.lit(None).cast("bigint")})
     cues = F.transform(
         "_cues",
         lambda c, i: F.struct(
@@ -161,7 +167,7 @@ def parse_documents(documents: DataFrame) -> DataFrame:
             c["end_ms"].alias("end_ms"),
             c["text"].alias("text"),
             F.when(c["start_ms"].isNull(), F.lit("no timing line"))
-            .when((i > 0) & (c["start_ms"] < F.get("_cues", i - 1)["end_ms"]), F.lit("regressing cue"))
+            .when(c["start_ms"] < F.when(i > 0, F.get("_cues", i - 1)["end_ms"]).otherwise(F.col("_end")), F.lit("regressing cue"))
             .when(is_blank(c["text"]), F.lit("empty text"))
             .alias("error"),
         ),
@@ -172,8 +178,29 @@ def parse_documents(documents: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("text"),
         F.lit("no WEBVTT header").alias("error"),
     )
-    rows = rows.select(*keys, F.posexplode(F.when(F.col("_header"), cues).otherwise(F.array(broken))).alias("_i", "c"))
-    return rows.select(*keys, (F.col("_i") + 1).cast("bigint").alias("cue_no"), "c.start_ms", "c.end_ms", "c.text", "c.error")
+    if "part_no" in keys:
+        # Of a document without header, the first part alone says so.
+        unread = F.when(F.col("part_no") == 0, F.array(broken)).otherwise(F.slice(F.array(broken), 1, 0))
+        cues, broken_row = F.when(F.col("_whole"), cues).otherwise(unread), F.lit(True)
+    else:
+        broken_row = F.col("_header")
+    rows = rows.select(*keys, "_n", F.posexplode(F.when(broken_row, cues).otherwise(F.array(broken))).alias("_i", "c"))
+    return rows.select(*keys, (F.col("_n") + F.col("_i") + 1).cast("bigint").alias("cue_no"), "c.start_ms", "c.end_ms", "c.text", "c.error")
+
+
+def _before_parts(rows: DataFrame) -> DataFrame:
+    """For each part: cues before it, the end of the last of them, and whether the document has its header."""
+    keys = ["file_id", "part_no"]
+    n = F.size("_cues").cast("bigint")
+    parts = rows.select(*keys, "_header", n.alias("_size"), F.get("_cues", F.size("_cues") - 1)["end_ms"].alias("_last"))
+    earlier = Window.partitionBy("file_id").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("_size") > 0, F.struct("_last")), ignorenulls=True).over(earlier)
+    return parts.select(
+        *keys,
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).cast("bigint").alias("_n"),
+        last["_last"].alias("_end"),
+        F.min("_header").over(Window.partitionBy("file_id")).alias("_whole"),
+    )
 
 
 def document_errors(parsed: DataFrame) -> DataFrame:

@@ -101,8 +101,8 @@ def discovery_summary(listing: DataFrame, issues: DataFrame) -> DataFrame:
     summary = rows.agg(F.count_if(F.col("_t").isNull()).alias("files"), F.count("_t").alias("issues"), F.min("_t").alias("_first"))
     first = F.format_string("'%s': %s", F.col("_first.path"), F.col("_first.reason"))
     message = (
-        F.when(F.col("issues") == 1, F.concat(F.lit("Could not inspect "), first))
-        .when(F.col("issues") > 1, F.concat(F.lit("Could not inspect "), F.col("issues"), F.lit(" locations; first: "), first))
-        .when(F.col("files") == 0, F.lit("No input files were found"))
+        F.when(F.col("issues") == 1, F.concat(F.lit("Unreadable: "), first))
+        .when(F.col("issues") > 1, F.concat(F.col("issues"), F.lit(" unreadable places, beginning with "), first))
+        .when(F.col("files") == 0, F.lit("Nothing to transcribe here"))
     )
     return summary.select("files", "issues", message.alias("message"), message.isNull().alias("can_run"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.operators.audit import audit_runs
-from voxtide.operators.cues import cue_intervals
+from voxtide.functions.timecode import ms_to_samples
+from voxtide.operators.cues import document_errors
 from voxtide.operators.intervals import check_sequence, detection_metrics
 from voxtide.operators.transcripts import transcript_diagnostics
 from voxtide.session import cut_lineage
@@ -33,10 +34,22 @@ def evaluate_transcripts(expected: DataFrame, produced: DataFrame, normalized: b
 
 
 def evaluate_documents(expected: DataFrame, parsed_cues: DataFrame, normalized: bool = False) -> DataFrame:
-    """Transcript diagnostics straight from parsed caption documents."""
-    cues = parsed_cues.filter("error IS NULL")
-    produced = cue_intervals(cues).join(cues.select("file_id", F.col("cue_no").alias("idx"), "text"), ["file_id", "idx"])
-    return transcript_diagnostics(expected, produced, normalized)
+    """Transcript diagnostics straight from parsed caption documents, with the column ``error``.
+
+    A document with any error is rejected as a whole: its row has the first error and no figures.
+    """
+    bad = cut_lineage(document_errors(parsed_cues))
+    cues = parsed_cues.filter("error IS NULL").join(bad.select("file_id"), "file_id", "left_anti")
+    produced = cues.select(
+        "file_id",
+        F.col("cue_no").alias("idx"),
+        ms_to_samples(F.col("start_ms")).alias("start_sample"),
+        ms_to_samples(F.col("end_ms")).alias("end_sample"),
+        "text",
+    )
+    good = transcript_diagnostics(expected.join(bad.select("file_id"), "file_id", "left_anti"), produced, normalized)
+    rejected = expected.select("file_id").distinct().join(bad, "file_id")
+    return good.withColumn("error", F.lit(None).cast("string")).unionByName(rejected, allowMissingColumns=True)
 
 
 def audit_run(runs: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -532,6 +532,14 @@ def oracle_sql() -> dict[str, str]:
               FROM w LEFT JOIN a USING (file_id) LEFT JOIN p USING (file_id) LEFT JOIN q USING (file_id))"""
     diagnosed = _with("", "utt", "det").rstrip() + ", " + diagnostics
     sql["transcript_diagnostics"] = f"{diagnosed} SELECT * FROM r"
+    good = lambda value: f"CASE WHEN file_id % 5 <> 0 THEN {value} END"
+    sql["document_diagnostics"] = _with(
+        f"""SELECT file_id, {good("n")} AS expected_words, {good("n")} AS actual_words, {good("0")} AS word_edits, {good("0.0::DOUBLE")} AS word_edit_percent,
+            {good("0")} AS produced_without_overlap, {good("0")} AS expected_without_overlap,
+            CASE WHEN file_id % 5 = 0 THEN 'no WEBVTT header' END AS error
+            FROM (SELECT file_id, sum({_words('text')})::BIGINT AS n FROM utt GROUP BY file_id)""",
+        "utt",
+    )
     sql["transcript_rollup"] = f"""{diagnosed}
         SELECT count(*) AS recordings, sum(expected_words)::BIGINT AS expected_words, sum(actual_words)::BIGINT AS actual_words,
                sum(word_edits)::BIGINT AS word_edits, sum(produced_without_overlap)::BIGINT AS produced_without_overlap,
@@ -592,7 +600,7 @@ def oracle_sql() -> dict[str, str]:
         WHERE event_id % 3 <> 0 AND event_id % 4 <> 0 AND ts <= TIMESTAMP '2024-01-13 00:00:00'"""
     sql["discovery_summary"] = _with(
         """SELECT (SELECT count(*) FROM rec) AS files, count(*) AS issues,
-                  'Could not inspect ' || count(*) || ' locations; first: ''' || min(path) || ''': access denied' AS message,
+                  count(*) || ' unreadable places, beginning with ''' || min(path) || ''': access denied' AS message,
                   false AS can_run FROM listing WHERE is_dir""",
         "rec",
     )
@@ -786,9 +794,9 @@ def oracle_sql() -> dict[str, str]:
     )
 
     sql["slack_allocation"] = """
-        SELECT conv_id AS file_id, least(count(*) * 20000, 90000) AS slack, least(count(*) * 20000, 90000) AS total,
+        SELECT conv_id AS file_id, count(*) * 20000 AS slack, count(*) * 20000 AS total,
                true AS within_bounds FROM conversations GROUP BY conv_id"""
-    sql["stratified_depths"] = "SELECT count(*) AS placed, 3 AS strata, 1 AS lowest FROM documents"
+    sql["stratified_depths"] = "SELECT count(*) AS placed, 3 AS strata, 1 AS lowest, true AS enough FROM documents"
     sql["synthetic_corpus"] = """
         SELECT c_custkey AS file_id, ['short', 'medium', 'long'][c_custkey % 3 + 1] AS band, true AS count_fits, true AS lengths_fit,
                true AS gaps_fit, true AS edges_fit, true AS filled FROM customer"""

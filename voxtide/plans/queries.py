@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxtide.functions import paths as fp
 from voxtide.functions import scalars as fs
@@ -406,37 +407,51 @@ def _rough_cues(spark, sf):
 
 @query
 def clamped_cues(spark, sf):
-    return cue_ops.clamp_cues(_rough_cues(spark, sf), normalized=True)
+    return cue_ops.clamp_cues(_rough_cues(spark, sf))
 
 
 @query
 def vtt_documents(spark, sf):
     cues = _rough_cues(spark, sf)
     files = cues.select("file_id").distinct()
-    kept = cue_ops.clamp_cues(cues.filter("file_id % 6 <> 1"), normalized=True)
-    return cue_ops.assemble_documents(kept, files)
+    # Cues without text are dropped by the operator: every sixth recording has no others.
+    silent = cues.withColumn("text", F.when(F.col("file_id") % 6 == 1, " ").otherwise(F.col("text")))
+    return cue_ops.assemble_documents(cue_ops.clamp_cues(silent), files)
 
 
 @query
 def vtt_round_trip(spark, sf):
-    documents = cue_ops.assemble_documents(cue_ops.clamp_cues(_rough_cues(spark, sf), normalized=True))
+    documents = cue_ops.assemble_documents(cue_ops.clamp_cues(_rough_cues(spark, sf)), part_cues=3)
     return cue_ops.parse_documents(documents).select("file_id", "cue_no", "start_ms", "end_ms", "text", "error")
 
 
+@query
+def document_diagnostics(spark, sf):
+    """Transcripts held against their own captions, in parts of two cues; every fifth document lacks its header."""
+    spoken = views.utterances(spark, sf)
+    cues = spoken.select("file_id", F.col("idx").alias("cue_idx"), "start_sample", "end_sample", "text")
+    documents = cue_ops.assemble_documents(cue_ops.clamp_cues(cues), part_cues=2)
+    headless = (F.col("file_id") % 5 == 0) & (F.col("part_no") == 0)
+    documents = documents.withColumn("text", F.when(headless, F.concat(F.lit("no "), "text")).otherwise(F.col("text")))
+    return evaluate.evaluate_documents(spoken, cue_ops.parse_documents(documents))
+
+
 @query
 def vtt_errors(spark, sf):
     """Documents broken in known ways."""
-    documents = cue_ops.assemble_documents(cue_ops.clamp_cues(_rough_cues(spark, sf), normalized=True)).filter("part_no = 0")
-    kind = F.col("file_id") % 5
+    documents = cue_ops.assemble_documents(cue_ops.clamp_cues(_rough_cues(spark, sf)), part_cues=2)
+    documents = documents.withColumn("_last", F.max("part_no").over(Window.partitionBy("file_id")) == F.col("part_no"))
+    first_part, kind = F.col("part_no") == 0, F.col("file_id") % 5
     first = r"(?s)\A(WEBVTT\n\n)([^\n]*)\n([^\n]*)\n"
     text = (
-        F.when(kind == 0, F.concat(F.lit("X"), "text"))
-        .when(kind == 1, F.regexp_replace("text", first, "$1no time\n$3\n"))
-        .when(kind == 2, F.regexp_replace("text", first, "$1$2\n\n"))
-        .when(kind == 3, F.concat("text", F.lit("00:00:00.000 --> 00:00:00.001\nlate\n")))
-        .otherwise(F.concat(F.lit("﻿"), F.replace("text", F.lit("\n"), F.lit("\r\n"))))
+        F.when((kind == 0) & first_part, F.concat(F.lit("X"), "text"))
+        .when((kind == 1) & first_part, F.regexp_replace("text", first, "$1no time\n$3\n"))
+        .when((kind == 2) & first_part, F.regexp_replace("text", first, "$1$2\n\n"))
+        .when((kind == 3) & F.col("_last"), F.concat("text", F.lit("00:00:00.000 --> 00:00:00.001\nlate\n")))
+        .when(kind == 4, F.concat(F.when(first_part, "﻿").otherwise(""), F.replace("text", F.lit("\n"), F.lit("\r\n"))))
+        .otherwise(F.col("text"))
     )
-    parsed = cue_ops.parse_documents(documents.select("file_id", text.alias("text")))
+    parsed = cue_ops.parse_documents(documents.select("file_id", "part_no", text.alias("text")))
     return cue_ops.document_errors(parsed)
 
 
@@ -454,13 +469,13 @@ def regressing_cues(spark, sf):
 @query
 def cue_agreement(spark, sf):
     spoken = views.utterances(spark, sf)
-    cues = cue_ops.clamp_cues(_rough_cues(spark, sf), normalized=True)
-    return transcripts.cue_agreement(spoken, cues, normalized=True)
+    cues = cue_ops.clamp_cues(_rough_cues(spark, sf))
+    return transcripts.cue_agreement(spoken, cues)
 
 
 def _edited_words(spark, sf):
     """Documents against a copy that lost every seventh word and had every fifth replaced."""
-    words = views.documents(spark, sf).select("doc_id", ft.tokenize(F.col("text"), normalized=True).alias("e"))
+    words = views.documents(spark, sf).select("doc_id", ft.tokenize(F.col("text")).alias("e"))
     numbered = F.transform("e", lambda t, i: F.struct(F.when(i % 5 == 4, F.lit("#")).otherwise(t).alias("t"), i.alias("i")))
     return words.withColumn("a", F.transform(F.filter(numbered, lambda w: w["i"] % 7 != 6), lambda w: w["t"]))
 
@@ -473,12 +488,12 @@ def word_edits(spark, sf):
 
 @query
 def transcript_diagnostics(spark, sf):
-    return evaluate.evaluate_transcripts(views.utterances(spark, sf), views.detected(spark, sf), normalized=True)
+    return evaluate.evaluate_transcripts(views.utterances(spark, sf), views.detected(spark, sf))
 
 
 @query
 def transcript_rollup(spark, sf):
-    return transcripts.transcript_rollup(evaluate.evaluate_transcripts(views.utterances(spark, sf), views.detected(spark, sf), normalized=True))
+    return transcripts.transcript_rollup(evaluate.evaluate_transcripts(views.utterances(spark, sf), views.detected(spark, sf)))
 
 
 @query
@@ -771,7 +786,7 @@ def fixture_rules(spark, sf):
 
 @query
 def text_rules(spark, sf):
-    return quality.text_rules(views.manifest_utterances(spark, sf), normalized=True)
+    return quality.text_rules(views.manifest_utterances(spark, sf))
 
 
 @query
@@ -797,7 +812,7 @@ def coverage_rules(spark, sf):
 def slack_allocation(spark, sf):
     """Extra silence spread over the gaps of every conversation."""
     rows = views.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("file_id")).agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.select("file_id", F.least(F.col("n") * 20_000, F.lit(90_000)).cast("bigint").alias("slack"), F.array_repeat(F.lit(36_000).cast("bigint"), F.col("n").cast("int")).alias("capacities"))
+    rows = rows.select("file_id", (F.col("n") * 20_000).cast("bigint").alias("slack"), F.array_repeat(F.lit(36_000).cast("bigint"), F.col("n").cast("int")).alias("capacities"))
     return synth.allocate_slack(rows, seed=7).select("file_id", "slack", F.aggregate("extra", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.forall("extra", lambda x: x.between(0, 36_000)).alias("within_bounds"))
 
 
@@ -805,7 +820,10 @@ def slack_allocation(spark, sf):
 def stratified_depths(spark, sf):
     """Folder depth of every document: how many each depth got, which must be at least four."""
     placed = synth.assign_strata(views.table(spark, sf, "documents").select("doc_id"), "doc_id", [1, 2, 3], 4, seed=11)
-    return placed.groupBy().agg(F.count(F.lit(1)).alias("placed"), F.count_distinct("stratum").alias("strata"), (F.min(F.struct("stratum"))["stratum"]).alias("lowest"))
+    each = placed.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    return each.agg(
+        F.sum("n").alias("placed"), F.count(F.lit(1)).alias("strata"), F.min("stratum").alias("lowest"), (F.min("n") >= 4).alias("enough")
+    )
 
 
 @query
@@ -843,16 +861,17 @@ def filled_durations(spark, sf):
 @query
 def manifest_flat_map(spark, sf):
     """Utterances nested per recording and unnested again with their position."""
-    nested = views.utterances(spark, sf).groupBy("file_id", tc.int_div(F.col("idx"), 4_096).alias("part")).agg(
+    nested = views.utterances(spark, sf).groupBy("file_id", tc.int_div(F.col("idx"), 3).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("idx", "start_sample", "end_sample"))).alias("u")
     )
-    flat = nested.select("file_id", F.posexplode("u").alias("position", "u"))
+    flat = nested.select("file_id", "part", F.posexplode("u").alias("at", "u"))
+    flat = flat.withColumn("position", (F.col("part") * 3 + F.col("at")).cast("bigint"))
     return flat.select("file_id", "position", "u.start_sample", "u.end_sample")
 
 
 @query
 def worst_recording(spark, sf):
-    rows = evaluate.evaluate_transcripts(views.utterances(spark, sf), views.detected(spark, sf), normalized=True)
+    rows = evaluate.evaluate_transcripts(views.utterances(spark, sf), views.detected(spark, sf))
     return rows.orderBy(F.desc("word_edit_percent"), "file_id").limit(1).select("file_id", "word_edits", "word_edit_percent")
 
 

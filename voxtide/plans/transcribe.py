@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from voxtide.operators.cues import assemble_documents, clamp_cues
 from voxtide.operators.frames import frame_blocks, pcm_blocks
-from voxtide.operators.listing import SKIPPED, conflicting_directories, output_collisions, pending_work
+from voxtide.operators.listing import SKIPPED, conflicting_directories, escaping_work, output_collisions, pending_work
 from voxtide.operators.recognize import Recognise, interval_audio, isolate_failures, recognize
-from voxtide.operators.speech import detect_speech, numbered
+from voxtide.operators.speech import NO_CAP, detect_speech, failed_files, numbered, speech_pieces
 from voxtide.options import DetectorOptions
 from voxtide.session import cut_lineage
 from voxtide.sources.wave import decode, scan_wave
 
+# Paths of pending work that are sent to every executor; more are joined by a shuffle.
+BROADCAST_PATHS = 500_000
+
 
 @dataclass(frozen=True)
 class Transcription:
@@ -28,10 +31,11 @@ class Transcription:
 
 
 def check_plan(work: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Reasons why a batch must not start: two inputs for one output, or a folder in an output's place."""
+    """Reasons why a batch must not start: two inputs for one output, a folder in an output's place, a path that leaves the root."""
     clash = output_collisions(work).select(F.col("output_key").alias("path"), F.lit("several inputs map to this output").alias("reason"))
     folder = conflicting_directories(work, outputs).select(F.col("output_path").alias("path"), F.lit("a folder has this name").alias("reason"))
-    return clash.unionByName(folder)
+    outside = escaping_work(work).select(F.col("relative_path").alias("path"), F.lit("the path leaves the root").alias("reason"))
+    return clash.unionByName(folder).unionByName(outside)
 
 
 def transcribe(
@@ -46,13 +50,18 @@ def transcribe(
 ) -> Transcription:
     """Detects, recognises and formats everything pending.
 
-    ``files(path, content)`` are the recordings and ``work(input_path, relative_path, output_path)`` the plan. Finished
-    work is removed first, so nothing of it is read further. A recording that cannot be read or recognised fails alone
-    and gets no document.
+    ``files(path, content)`` are the recordings and ``work(input_path, relative_path, output_path)`` the plan. A plan
+    that must not start (``check_plan``) is an error. Finished work is removed first, so nothing of it is read further. A
+    recording that is missing, or that cannot be read, cut into speech or recognised, fails alone and gets no document.
     """
     options = options or DetectorOptions()
-    pending = pending_work(work, outputs, policy)
-    wanted = files.join(pending.select(F.col("input_path").alias("path")), "path", "left_semi")
+    refused = check_plan(work, outputs).limit(5).collect()
+    if refused:
+        raise ValueError("the batch must not start: " + "; ".join(f"{r.path}: {r.reason}" for r in refused))
+    pending = cut_lineage(pending_work(work, outputs, policy))
+    paths = pending.select(F.col("input_path").alias("path"))
+    # The plan is small beside the audio: while it is, no file content is shuffled to meet it.
+    wanted = files.join(F.broadcast(paths) if pending.count() <= BROADCAST_PATHS else paths, "path", "left_semi")
     broken = None
     if decoder is not None:
         decoded = cut_lineage(decode(wanted, decoder))
@@ -62,11 +71,19 @@ def transcribe(
     unusable = scanned.filter("error IS NOT NULL").select(F.col("path").alias("file_id"), "error")
     recordings = scan_wave(wanted, keep_content=True).filter("error IS NULL").withColumnRenamed("path", "file_id")
     blocks = pcm_blocks(recordings, options.frame_samples * 4_096)
-    intervals = numbered(detect_speech(frame_blocks(blocks, options.frame_samples), options))
+    scored = frame_blocks(blocks, options.frame_samples)
+    intervals = numbered(detect_speech(scored, options))
     # The recogniser is the expensive step: its result is kept, so that no later branch runs it again.
     spoken = cut_lineage(recognize(interval_audio(intervals, recordings), load_model, recognise))
     states = isolate_failures(scanned.filter("error IS NULL").select(F.col("path").alias("file_id")), spoken)
     failed = unusable if broken is None else unusable.unionByName(broken)
+    if options.forced_piece_can_fail and options.segmenter.max_segment < NO_CAP:
+        lost = cut_lineage(failed_files(speech_pieces(scored, options), options))
+        states = states.join(lost.select("file_id"), "file_id", "left_anti")
+        failed = failed.unionByName(lost)
+    there = scanned.select("path") if broken is None else scanned.select("path").union(broken.select("file_id"))
+    missing = paths.join(there, "path", "left_anti").select(F.col("path").alias("file_id"), F.lit("the recording is missing").alias("error"))
+    failed = failed.unionByName(missing)
     states = states.unionByName(failed.select("file_id", F.lit("Failed").alias("state"), "error"))
     complete = states.filter("state = 'Complete'").select("file_id")
     cues = spoken.join(complete, "file_id", "left_semi").select("file_id", F.col("idx").alias("cue_idx"), "start_sample", "end_sample", "text")

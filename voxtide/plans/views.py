@@ -252,7 +252,7 @@ def manifest_utterances(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("start_sample") / 16_000.0).alias("start_seconds"),
         (F.col("end_sample") / 16_000.0 + F.when(turn == 3, 0.001).otherwise(0.0)).alias("end_seconds"),
         "text",
-        F.concat(normalize_text(F.col("text"), normalized=True), wrong).alias("normalized_text"),
+        F.concat(normalize_text(F.col("text")), wrong).alias("normalized_text"),
     )
 
 
