@@ -22,8 +22,9 @@ from voxtide.session import cut_lineage
 BLOCK = 65_536
 # A key of up to this many rows is sorted by one task without strain.
 KEY_ROWS = 2_000_000
-# Below this input size no key can be too large, whatever the skew, and nothing needs counting.
-SMALL_INPUT = 64 << 20
+# An input estimated at no more than this is not worth counting. The estimate is of compressed columns, so a key may then
+# have more than KEY_ROWS rows all the same: both plans give the same rows, and the plain one spills.
+SMALL_INPUT = 4 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int | None:

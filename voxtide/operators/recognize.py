@@ -10,17 +10,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.operators.transcripts import fold_text
+from voxtide.session import cut_lineage
 
 # recognise(model, pcm bytes of one interval) -> the emissions in order
 Recognise = Callable[[Any, bytes], list[str]]
 
 
+# Intervals whose bounds are sent to every executor (some 30 bytes each); with more, recordings are shuffled to them.
+BROADCAST_INTERVALS = 500_000
+
+
 def interval_audio(intervals: DataFrame, recordings: DataFrame) -> DataFrame:
     """PCM bytes of every interval: ``recordings(file_id, content, data_offset)``.
 
     A file's intervals meet its row once and are cut there, so that no output row carries the whole file. The list is
-    bounded by what one binary value, the file, can hold.
+    bounded by what one binary value, the file, can hold. While the intervals are few, no recording is shuffled.
     """
+    intervals = cut_lineage(intervals)
+    few = intervals.count() <= BROADCAST_INTERVALS
     lists = intervals.groupBy("file_id").agg(F.collect_list(F.struct("idx", "start_sample", "end_sample")).alias("_i"))
 
     def cut(i: Column) -> Column:
@@ -28,7 +35,7 @@ def interval_audio(intervals: DataFrame, recordings: DataFrame) -> DataFrame:
         length = ((i["end_sample"] - i["start_sample"]) * 2).cast("int")
         return F.struct(*[i[c].alias(c) for c in ("idx", "start_sample", "end_sample")], F.substring("content", at, length).alias("pcm"))
 
-    rows = recordings.join(lists, "file_id").select("file_id", F.explode(F.transform("_i", cut)).alias("p"))
+    rows = recordings.join(F.broadcast(lists) if few else lists, "file_id").select("file_id", F.explode(F.transform("_i", cut)).alias("p"))
     return rows.select("file_id", "p.*")
 
 

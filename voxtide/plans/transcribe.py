@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from voxtide.operators.cues import assemble_documents, clamp_cues
 from voxtide.operators.frames import frame_blocks, pcm_blocks
 from voxtide.operators.listing import SKIPPED, conflicting_directories, escaping_work, output_collisions, pending_work
+from voxtide.operators.ordered import KEY_ROWS
 from voxtide.operators.recognize import Recognise, interval_audio, isolate_failures, recognize
-from voxtide.operators.speech import NO_CAP, detect_speech, failed_files, numbered, speech_pieces
+from voxtide.operators.speech import NO_CAP, SCAN_BLOCK, detect_speech, failed_files, numbered, speech_pieces
 from voxtide.options import DetectorOptions
 from voxtide.session import cut_lineage
 from voxtide.sources.wave import decode, scan_wave
@@ -72,13 +73,16 @@ def transcribe(
     recordings = scan_wave(wanted, keep_content=True).filter("error IS NULL").withColumnRenamed("path", "file_id")
     blocks = pcm_blocks(recordings, options.frame_samples * 4_096)
     scored = frame_blocks(blocks, options.frame_samples)
-    intervals = numbered(detect_speech(scored, options))
+    # The layouts tell how long the longest recording is; no audio is read to count its frames.
+    longest = (scanned.agg(F.max("data_length")).first()[0] or 0) // (2 * options.frame_samples)
+    block = SCAN_BLOCK if longest > KEY_ROWS else 0
+    intervals = numbered(detect_speech(scored, options, block_size=block))
     # The recogniser is the expensive step: its result is kept, so that no later branch runs it again.
     spoken = cut_lineage(recognize(interval_audio(intervals, recordings), load_model, recognise))
     states = isolate_failures(scanned.filter("error IS NULL").select(F.col("path").alias("file_id")), spoken)
     failed = unusable if broken is None else unusable.unionByName(broken)
     if options.forced_piece_can_fail and options.segmenter.max_segment < NO_CAP:
-        lost = cut_lineage(failed_files(speech_pieces(scored, options), options))
+        lost = cut_lineage(failed_files(speech_pieces(scored, options, block_size=block), options))
         states = states.join(lost.select("file_id"), "file_id", "left_anti")
         failed = failed.unionByName(lost)
     there = scanned.select("path") if broken is None else scanned.select("path").union(broken.select("file_id"))
