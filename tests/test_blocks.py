@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from voxtide.operators import cues, frames, intervals, jobs, ordered, quality, speech, transcripts
+from voxtide.operators import cues, folds, frames, intervals, jobs, ordered, quality, speech, transcripts
 from voxtide.plans import views
 
 SF = "/root/testdata/sf0.001"
@@ -126,3 +126,18 @@ def test_a_key_with_a_third_of_all_rows_is_divided(spark, monkeypatch):
     monkeypatch.setattr(jobs, "BLOCK", 64)
     assert not ordered.fits_one_task(skewed, jobs.JOB)
     assert build() == plain
+
+
+def test_rounds_of_a_fold_do_not_grow_with_its_blocks(spark, monkeypatch):
+    # Evenly spaced events: whichever of them is taken as published first, the states of two blocks never meet.
+    events = spark.range(640).selectExpr("id % 2 AS batch_id", "id AS seq", "timestamp_micros(id * 40000) AS ts", "false AS forced")
+    counts = []
+    cut = folds.cut_lineage
+    monkeypatch.setattr(folds, "cut_lineage", lambda df: counts.append(1) or cut(df))
+    plain = sorted(map(tuple, jobs.throttle(events).collect()))
+    seen = set()
+    for size in (160, 40, 20):
+        counts.clear()
+        assert sorted(map(tuple, jobs.throttle(events, block_size=size).collect())) == plain
+        seen.add(len(counts))
+    assert max(seen) <= 2 + 2 * folds.REPAIRS + 1

@@ -2,8 +2,8 @@
 
 Some rules have a state that no window can express. ``blocked_fold`` runs such a rule block by block: every block
 starts from a guess (the initial state), each block's end state is compared with the start its successor assumed, and
-the blocks that guessed wrong run again with the right start, until all agree. The result is exactly that of one pass
-in order. Keys that fit one block need one pass; the state must be small and must not grow with the data.
+the blocks that guessed wrong run again with the right start, until all agree or, after a fixed number of
+rounds, the rest of a key runs in order. The result is exactly that of one pass in order. Keys that fit one block need one pass; the state must be small and must not grow with the data.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from voxtide.session import cut_lineage
 
 # step(columns as lists, state, last) -> (emitted tuples, state)
 Step = Callable[[dict[str, list], Any, bool], tuple[list[tuple], Any]]
+# Rounds in which blocks run again from the states before them.
+REPAIRS = 2
 
 
 def _whole_keys(
@@ -76,7 +78,9 @@ def blocked_fold(
 
     ``step(columns, state, last)`` gets consecutive rows in ``order`` as lists per column, the state before them (None
     at the start of the key) and whether the key ends with them; it returns the emitted tuples and the state after.
-    Without a block every key is folded in one pass, and the plan stays lazy.
+    Without a block every key is folded in one pass, and the plan stays lazy. With one, all blocks run at once from
+    guessed starts, blocks whose guess was wrong run again at most ``REPAIRS`` times, and then the rest of a key
+    that has still not settled runs in one ordered pass: the rounds do not grow with the number of blocks.
     """
     if block is None:
         return _whole_keys(df, keys, order, output, step, columns)
@@ -128,7 +132,7 @@ def blocked_fold(
 
     done = cut_lineage(fold(rows.withColumn("_state_in", F.lit(None).cast("string"))))
     before = Window.partitionBy(*keys).orderBy(block)
-    while True:
+    for repairs in range(REPAIRS + 1):
         states = done.filter("_is_state").select(*names, "_state_in", F.lag("_state_out").over(before).alias("_want"))
         stale = states.filter(~F.col("_state_in").eqNullSafe(F.col("_want"))).select(
             *names, F.col("_want").alias("_state_in")
@@ -136,6 +140,16 @@ def blocked_fold(
         if stale.isEmpty():
             break
         stale = cut_lineage(stale)
+        if repairs == REPAIRS:
+            # States that do not meet by then may never do: what is left of such a key runs in one pass, from its
+            # first stale block, whose start is known to be right.
+            tails = stale.groupBy(*keys).agg(F.min(block).alias("_first"), F.min_by("_state_in", block).alias("_state_in"))
+            tail = rows.join(tails, list(keys)).filter(F.col(block) >= F.col("_first"))
+            tail = tail.withColumn(block, F.col("_first")).drop("_first").withColumn("_last", F.lit(True))
+            kept = done.join(tails.select(*keys, "_first"), list(keys), "left")
+            kept = kept.filter(F.col("_first").isNull() | (F.col(block) < F.col("_first"))).drop("_first")
+            done = cut_lineage(kept.unionByName(fold(tail)))
+            break
         kept = done.join(stale.select(*names), names, "left_anti")
         done = cut_lineage(kept.unionByName(fold(rows.join(stale, names))))
     return done.filter(~F.col("_is_state")).select(*keys, *output.names)
