@@ -612,7 +612,7 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["current_jobs"] = _with("SELECT batch_id, job_id, state, last_seq, progress FROM now", "now")
     sql["cancelled_jobs"] = _with(
-        """, j AS (SELECT * FROM jobs WHERE (seq + job_id) % 4 = 0),
+        """, j AS (SELECT * REPLACE (CASE WHEN state IN ('Complete', 'Failed') AND (seq + job_id) % 97 <> 0 THEN 'Transcribing' ELSE state END AS state) FROM jobs),
            n AS (SELECT batch_id, job_id, coalesce((list(state ORDER BY seq) FILTER (state IN ('Complete', 'Failed')))[1], 'open') AS st,
                         bool_or(state = 'Transcribing') AS active FROM j GROUP BY ALL)
            SELECT batch_id, job_id, CASE WHEN st <> 'open' THEN st

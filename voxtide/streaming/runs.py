@@ -47,14 +47,17 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def latest_by_key(stream: DataFrame, keys: list[str], values: list[str], order: str, name: str) -> DataFrame:
+def latest_by_key(
+    stream: DataFrame, keys: list[str], values: list[str], order: str, name: str, generation: int | None = None
+) -> DataFrame:
     """Latest-wins coalescing: each micro-batch is reduced to one row per key before it is kept.
 
-    Batches are stored by their number, so one that runs again after a failure replaces itself; the read takes the
+    With ``generation``, rows whose column of that name has another value are dropped first. Batches are stored by their number, so one that runs again after a failure replaces itself; the read takes the
     newest row per key over the batches.
     """
     spark = stream.sparkSession
     out = new_folder(spark, name)
+    stream = stream if generation is None else stream.filter(F.col("generation") == generation)
 
     def newest(rows: DataFrame) -> DataFrame:
         best = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_v"), F.max(order).alias(order))
