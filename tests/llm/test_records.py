@@ -57,6 +57,7 @@ def test_wrapper_is_union_free_and_general():
 
 def test_pages_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(wrappers, "BROADCAST_PAGES", 0)
     df = spark.createDataFrame([(i, "http://h/", page(2, "t", ["p"])) for i in range(30)], "page_id long, url string, html string")
     assert {r.text for r in wrappers.extract_pages(df).collect()} == {"t\np"}
 
