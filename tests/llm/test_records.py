@@ -55,6 +55,26 @@ def test_wrapper_is_union_free_and_general():
     assert fitted and text == "new\na\nb\nc"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<body class="has-sidebar"><div class="content">yes<div class="ad-box">no</div></div></body>', "yes"),
+        ('<section class="comments"><article><p>no</article></section><article class="post with-sidebar"><header><h1>T</h1></header><p>yes</article>', "T\nyes"),
+        ('<article><div class="entry-header"><h1>T</h1></div><p>yes<article class="comment">no</article></article>', "T\nyes"),
+        ('<div role="main">yes</div><div id="cookie_notice">no</div><form>no</form>', "yes"),
+        ('<header>no</header><p>yes</p><p class="notice">no</p><div>too</div><footer>no', "yes\ntoo"),
+        ('<div class="ad"><main>yes</main></div>', "yes"),
+    ],
+)
+def test_what_is_main_text(page, text):
+    assert wrappers.extracted(page, None)[0] == text
+
+
+def test_broken_nesting_takes_linear_time():
+    page = "<div>" * 30_000 + "<article><p>yes" + "</section>" * 30_000 + "<p>more"
+    assert wrappers.extracted(page, None)[0] == "yes\nmore"
+
+
 def test_pages_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(wrappers, "BROADCAST_PAGES", 0)
