@@ -887,7 +887,8 @@ def stream_detect(spark, sf):
     ends = rows.groupBy("file_id").agg(F.max("frame_idx").alias("_last"))
     rows = rows.join(ends, "file_id").select("file_id", "start_sample", "end_sample", "dbfs", (F.col("frame_idx") == F.col("_last")).alias("is_last"))
     stream = runs.land(rows, "frames")
-    return runs.drain(stateful.stream_detect(stream, views.ADAPTIVE), "detected")
+    found = runs.drain(stateful.stream_detect(stream, views.ADAPTIVE), "detected")
+    return found.filter("error IS NULL").drop("error")
 
 
 @query

@@ -41,19 +41,21 @@ def ordered_stream(
         upto, held, inner, done = json.loads(state.get[0]) if state.exists else [0, [], None, False]
         waiting = {r[0]: tuple(r) for r in held}
         for batch in batches:
+            if done:
+                continue
             for row in zip(*(batch[c].tolist() for c in fields)):
                 if row[0] >= upto:
                     waiting[row[0]] = row
-        ready = []
-        while upto in waiting:
-            row = waiting.pop(upto)
-            ready.append(row)
-            upto = following(row)
-        emitted: list[tuple] = []
-        if ready and not done:
-            emitted, inner, done = consume(ready, inner)
-        state.update((json.dumps([upto, list(waiting.values()), inner, done]),))
-        yield pd.DataFrame([(keys[0], *row) for row in emitted], columns=names)
+            # Rows that are due go on with each batch of a trigger: only early ones are held.
+            ready = []
+            while upto in waiting:
+                row = waiting.pop(upto)
+                ready.append(row)
+                upto = following(row)
+            if ready:
+                emitted, inner, done = consume(ready, inner)
+                yield pd.DataFrame([(keys[0], *row) for row in emitted], columns=names)
+        state.update((json.dumps([upto, [] if done else list(waiting.values()), inner, done]),))
 
     return (
         rows.select(key, *fields)
@@ -66,7 +68,8 @@ def stream_detect(frames: DataFrame, options: DetectorOptions | None = None) ->
     """Speech intervals from a stream of frames ``file_id, start_sample, end_sample, dbfs, is_last``.
 
     The frame marked ``is_last`` ends the recording and closes open speech. An interval is emitted once nothing can
-    merge into it any more, so the result is that of the batch detector.
+    merge into it any more, so the result is that of the batch detector. A recording that fails ends with a row that
+    has the ``error`` and no interval; what was emitted before stays, and other recordings go on.
     """
     options = options or DetectorOptions()
 
@@ -80,19 +83,19 @@ def stream_detect(frames: DataFrame, options: DetectorOptions | None = None) ->
         for _, _, start, end, kind in scan.pieces:
             merger.add(start, end, kind)
         if merger.failed:
-            raise ValueError("a maximum-length split produced an empty interval")
+            return [(None, None, "a maximum-length split produced an empty interval")], None, True
         held = merger.previous
         if last:
             merger.flush()
-            return merger.done, None, True
-        return merger.done, [scan.state(), held], False
+            return [(*found, None) for found in merger.done], None, True
+        return [(*found, None) for found in merger.done], [scan.state(), held], False
 
     return ordered_stream(
         frames,
         "file_id",
         "start_sample",
         ["end_sample", "dbfs", "is_last"],
-        "start_sample bigint, end_sample bigint",
+        "start_sample bigint, end_sample bigint, error string",
         lambda row: row[1],
         consume,
     )
