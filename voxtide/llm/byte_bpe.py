@@ -15,8 +15,8 @@ from tokenizers import Regex, Tokenizer
 from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
-# Encoded pieces that a worker remembers, and the longest of them in characters.
-REMEMBERED, LONGEST = 500_000, 48
+# Encoded words that a worker remembers (some 200 bytes each), and the longest of them in characters.
+REMEMBERED, LONGEST = 200_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -46,9 +46,9 @@ def tokenizers_of(path: str, pattern: str) -> tuple[Tokenizer, Tokenizer]:
     merges = [
         (name[:i], name[i:]) for name in names for i in range(1, len(name)) if name[:i] in names and name[i:] in names
     ]
-    made = []
+    made, model = [], BPE(vocab=names, merges=merges)
     for cut in (Regex(pattern), "\n"):
-        tokenizer = Tokenizer(BPE(vocab=names, merges=merges))
+        tokenizer = Tokenizer(model)
         tokenizer.pre_tokenizer = Sequence([Split(cut, "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
         made.append(tokenizer)
     return made[0], made[1]
@@ -72,7 +72,7 @@ class Encoder:
 
     def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
         new = {word for word in words if word not in known}
-        if len(known) + len(new) > REMEMBERED:
+        if len(self.bare) + len(self.spaced) + len(new) > REMEMBERED:
             known.clear()
             new = words
         plain, other = set(), []
