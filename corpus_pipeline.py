@@ -70,8 +70,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with their characters, and whether decoding gives the text again."""
     path = public_tokenizers.path(BPE_RANKS)
     rows = docs.select(F.col("doc_id").alias("file_id"), "text", "lang", "source", "n_chars")
-    coded = byte_bpe.decode_tokens(byte_bpe.encode_transcripts(rows, path, public_tokenizers.PATTERN), path)
-    same = F.col("content") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    coded = byte_bpe.encode_transcripts(rows, path, public_tokenizers.PATTERN)
+    # Ids go on to the decoder with their text's digest, so that no task holds batches of both.
+    coded = coded.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
+    coded = byte_bpe.decode_tokens(coded, path)
+    same = F.sha2("content", 256) == F.col("digest")
     return coded.select(
         F.col("file_id").alias("doc_id"),
         "lang",
