@@ -16,7 +16,7 @@ from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
 # Encoded words that a worker remembers (some 200 bytes each), and the longest of them in characters.
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 400_000, 48
 
 
 def byte_characters() -> list[str]:
