@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtide.llm import archives, byte_bpe, line_dedup, quality_rules, raking, simhash, surrogates, tool_links, vector_dedup, wrappers
+from voxtide.llm import archives, byte_bpe, line_dedup, quality_rules, raking, simhash, surrogates, tool_links, vector_dedup, word_bpe, wrappers
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
 # Topics by the terms that mark them, and how strongly the mix keeps the margins' own proportions.
 TOPICS = {"licence": ("License", "CC BY-NC"), "contact": ("@", "+1 ("), "table": (" | ",)}
 # Of the test tables only; a user of the operator has a secret of their own.
@@ -155,6 +156,30 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_html_extraction, op4_vector_dedup, op5_tool_links, op6_surrogates, op7_simhash, op8_source_mixing, op9_line_dedup, op10_warc)
-}
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(WORD_BPE)
+    transcripts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    encoded = word_bpe.encode_transcripts(transcripts, path).drop("text")
+    return word_bpe.decode_tokens(encoded, path).select(
+        F.col("file_id").alias("doc_id"),
+        F.size("token_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("merged_exactly").alias("n_exact_words"),
+    )
+
+
+_ALL = (
+    op1_quality_rules,
+    op2_byte_bpe,
+    op3_html_extraction,
+    op4_vector_dedup,
+    op5_tool_links,
+    op6_surrogates,
+    op7_simhash,
+    op8_source_mixing,
+    op9_line_dedup,
+    op10_warc,
+    op11_word_bpe,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
