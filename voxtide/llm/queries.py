@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtide.llm import archives, byte_bpe, line_dedup, quality_rules, raking, simhash, surrogates, tool_links, vector_dedup, word_bpe, wrappers
+from voxtide.llm import archives, byte_bpe, line_dedup, loops, quality_rules, raking, simhash, surrogates, tool_links, vector_dedup, word_bpe, wrappers
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
@@ -169,6 +169,33 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as transcripts, in a tenth of which a recogniser got stuck: from some word on the same words recur."""
+    mark = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = _table(spark, sf_dir, "documents").select("doc_id", "text", F.when(mark % 10 == 0, words).alias("words"), F.expr("crc32(cast(doc_id AS string)) div 10").alias("g"))
+    stuck = (
+        cut.withColumn("n", F.size("words"))
+        .withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+        .withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) AS int)"))
+    )
+    looped = F.expr("concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast((n - a + p - 1) div p AS int))), 1, n - a))")
+    text = F.when(F.col("p").isNotNull(), F.array_join(looped, " ")).otherwise(F.col("text"))
+    found = loops.find_loops(stuck.select(F.col("doc_id").alias("file_id"), text.alias("text")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("strongest")
+    return found.select(
+        F.col("file_id").alias("doc_id"),
+        F.size("runs").cast("bigint").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 _ALL = (
     op1_quality_rules,
     op2_byte_bpe,
@@ -181,5 +208,6 @@ _ALL = (
     op9_line_dedup,
     op10_warc,
     op11_word_bpe,
+    op12_periodic_runs,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
