@@ -17,7 +17,7 @@ from voxtide.llm.batches import by_bytes, list_column
 from voxtide.llm.byte_bpe import byte_characters
 
 # Chunks of text that a worker remembers, the longest of them in characters, and text bytes worked on at once.
-REMEMBERED, LONGEST, BATCH_BYTES = 400_000, 48, 8 << 20
+REMEMBERED, LONGEST, BATCH_BYTES = 200_000, 48, 1 << 20
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 STOPS = ".,!?;:"
 # No merge has this rank.
@@ -343,8 +343,8 @@ def decode_tokens(tokens: DataFrame, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _names(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
                 texts = []
                 for ids in part.column(at):
                     found = ids.values.to_numpy().tolist() if ids.is_valid else None
