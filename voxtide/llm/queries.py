@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtide.llm import archives, byte_bpe, line_dedup, loops, quality_rules, raking, simhash, surrogates, tool_links, vector_dedup, word_bpe, wrappers
+from voxtide.llm import alignment, archives, byte_bpe, line_dedup, loops, quality_rules, raking, simhash, surrogates, tool_links, vector_dedup, word_bpe, wrappers
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Topics by the terms that mark them, and how strongly the mix keeps the margins' own proportions.
 TOPICS = {"licence": ("License", "CC BY-NC"), "contact": ("@", "+1 ("), "table": (" | ",)}
 # Of the test tables only; a user of the operator has a secret of their own.
@@ -196,6 +197,24 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    transcripts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    aligned = alignment.align_transcripts(transcripts, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
+    digest = F.when(F.col("a_tokens") > 0, F.sha2("grouping", 256)).otherwise("")
+    scored = alignment.score_links(aligned.withColumn("groups_sha256", digest).drop("text", "grouping"))
+    return scored.select(
+        F.col("file_id").alias("doc_id"),
+        F.col("a_tokens").alias("n_a"),
+        F.col("b_tokens").alias("n_b"),
+        F.col("groups").alias("n_groups"),
+        F.col("links").alias("n_links"),
+        F.col("best_links").alias("n_best"),
+        "count_sum",
+        "groups_sha256",
+        F.col("overlaps").alias("n_overlaps"),
+    )
+
+
 _ALL = (
     op1_quality_rules,
     op2_byte_bpe,
@@ -209,5 +228,6 @@ _ALL = (
     op10_warc,
     op11_word_bpe,
     op12_periodic_runs,
+    op13_token_alignment,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
