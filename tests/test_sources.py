@@ -1,10 +1,14 @@
 """Files in, captions out."""
 
+import hashlib
+import io
 import json
 import os
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +20,7 @@ from voxtide.operators.quality import fixture_rules, ground_truth_rules, header_
 from voxtide.operators.synth import corpus
 from voxtide.plans.evaluate import evaluate_documents
 from voxtide.plans.transcribe import check_plan, transcribe
-from voxtide.sources import files, manifest, sinks, wave
+from voxtide.sources import files, keyed, manifest, ranges, sinks, wave
 
 
 def chunk(name, body):
@@ -58,15 +62,111 @@ WAVES = {
 def test_wave_layouts(spark, tmp_path):
     for name, (content, _) in WAVES.items():
         (tmp_path / f"{name}.wav").write_bytes(content)
-    found = files.read_binary(spark, str(tmp_path), "wav")
-    scanned = wave.scan_wave(found)
+    scanned = wave.scan_wave(files.list_recordings(spark, str(tmp_path), "wav"))
     rows = {os.path.basename(r.path)[:-4]: r for r in scanned.collect()}
     assert {n: r.error for n, r in rows.items()} == {n: e for n, (_, e) in WAVES.items()}
     good = rows["good"]
     assert (good.sample_count, good.data_length) == (6, 12)
     assert WAVES["good"][0][good.data_offset :][:12] == np.arange(6, dtype="<i2").tobytes()
-    hashes = {r.pcm_sha for r in wave.data_hashes(wave.scan_wave(found, keep_content=True)).collect()}
-    assert len(hashes) == 1
+    hashes = {(r.pcm_sha, r.error) for r in wave.data_hashes(scanned).collect()}
+    assert hashes == {(hashlib.sha256(np.arange(6, dtype="<i2").tobytes()).hexdigest().upper(), None)}
+    assert wave.scan_wave(spark.createDataFrame([], "path string")).collect() == []
+    gone = spark.createDataFrame([(str(tmp_path / "gone.wav"),), (None,)], "path string")
+    assert [r.error for r in wave.scan_wave(gone).collect()] == ["the recording is missing"]
+
+
+class Counted(io.BytesIO):
+    """A file that counts what is read of it, and how far it was read."""
+
+    taken = 0
+
+    def read(self, n=-1):
+        got = super().read(n)
+        self.taken += len(got)
+        return got
+
+
+def test_layouts_come_from_a_few_bytes():
+    silence = chunk(b"data", b"\0" * 3_000_000)
+    for body in (riff(fmt(), silence), riff(silence, fmt()), riff(chunk(b"LIST", b"x" * 70_001), fmt(), silence)):
+        file = Counted(body)
+        found = ranges.read_layout(ranges.Recording(file))
+        assert found[:4] == (16_000, 1, 16, 2) and found[5] == 3_000_000 and file.taken <= 12 + 3 * 8 + 16
+
+
+class Sparse:
+    """A file of over two gigabytes that is silence but for its header."""
+
+    def __init__(self, head, size):
+        self.head, self.length, self.at, self.taken = head, size, 0, 0
+
+    def size(self):
+        return self.length
+
+    def seek(self, at, whence=0):
+        self.at = at
+        return at
+
+    def read(self, n):
+        got = self.head[self.at : self.at + n]
+        got += b"\0" * (max(0, min(n, self.length - self.at)) - len(got))
+        self.at += n
+        self.taken += len(got)
+        return got
+
+
+def test_recordings_of_over_two_gigabytes_are_read_in_ranges():
+    size = 3_000_000_000
+    head = b"RIFF" + struct.pack("<I", size + 36) + b"WAVE" + fmt() + b"data" + struct.pack("<I", size)
+    file = Sparse(head, size + 44)
+    begin = 2_900_000_001
+    blocks = list(wave.blocks_of(ranges.Recording(file), begin, begin + 2_000_000, 640))
+    assert blocks[0][0] % 320 == 0 and 0 <= 44 + 2 * blocks[0][0] - begin < 640
+    assert sum(len(pcm) for _, pcm in blocks) == file.taken - 12 - 2 * 8 - 16 <= 2_000_000 + 640
+
+
+def test_ranges_cover_every_frame_once():
+    pcm = np.arange(5_003, dtype="<i2").tobytes()
+    body = riff(chunk(b"junk", b"odd"), fmt(), chunk(b"data", pcm))
+    for split in (1, 50, 637, 640, 5_000, 1 << 20):
+        parts = wave.plan_ranges([("a", len(body)), ("b", 0)], split)
+        files_of = [p for part in parts for p in part.parts]
+        assert [p for p in files_of if p[0] == "b"] == [("b", 0, 0, 0)]
+        blocks = [b for _, _, begin, end in files_of[:-1] for b in wave.blocks_of(ranges.Recording(io.BytesIO(body)), begin, end, 640)]
+        assert b"".join(b for _, b in blocks) == pcm and [f * 2 for f, _ in blocks] == np.cumsum([0, *(len(b) for _, b in blocks)])[:-1].tolist()
+        assert all(first % 320 == 0 for first, _ in blocks)
+    assert sum(len(p.parts) for p in wave.plan_ranges([(str(i), 10) for i in range(100)], 100)) == 100
+    assert len(wave.plan_ranges([(str(i), 10) for i in range(100)], 100)) == 10
+
+
+def test_pcm_source(spark, tmp_path):
+    for name, (content, _) in WAVES.items():
+        (tmp_path / "sub").mkdir(exist_ok=True)
+        (tmp_path / "sub" / f"{name}.WAV").write_bytes(content)
+    (tmp_path / "other.txt").write_bytes(b"x")
+    (tmp_path / "long.wav").write_bytes(speech_wave("S..S"))
+    rows = wave.read_pcm(spark, str(tmp_path), splitBytes=10_000).collect()
+    errors = {os.path.basename(r.path)[:-4]: r.error for r in rows if r.error}
+    assert errors == {n: e for n, (_, e) in WAVES.items() if e}
+    long = sorted((r.first_sample, bytes(r.pcm)) for r in rows if r.path.endswith("long.wav"))
+    assert b"".join(pcm for _, pcm in long) == speech_wave("S..S")[44:] and len(long) > 5
+    levels = wave.scan_frames(wave.scan_wave(files.list_recordings(spark, str(tmp_path), "wav")), task_bytes=20_000)
+    a = {(r.start_sample, r.end_sample, r.dbfs) for r in levels.filter("file_id LIKE '%long.wav'").collect()}
+    blocks = wave.read_pcm(spark, str(tmp_path), splitBytes=9_999).filter("error IS NULL AND path LIKE '%long.wav'").withColumnRenamed("path", "file_id")
+    assert a == {(r.start_sample, r.end_sample, r.dbfs) for r in frame_blocks(blocks).collect()} and len(a) == 200
+
+
+def test_a_recording_that_fails_while_it_is_read(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.wav").write_bytes(speech_wave("S.S"))
+    scanned = wave.scan_wave(files.list_recordings(spark, str(tmp_path), "wav"))
+    layouts = spark.createDataFrame(scanned.collect(), scanned.schema)
+    with open(tmp_path / "b.wav", "r+b") as cut:
+        cut.truncate(40_000)
+    rows = wave.scan_frames(layouts).collect()
+    bad = {(os.path.basename(r.file_id), r.error) for r in rows if r.error}
+    assert bad == {("b.wav", "the file ends inside its data")}
+    assert sum(r.file_id.endswith("a.wav") for r in rows) == 150
 
 
 def test_listing_finds_every_case_of_the_extension(spark, tmp_path):
@@ -123,8 +223,7 @@ def test_bulk_transcription(spark, tmp_path):
             raise RuntimeError("cannot recognise")
         return ["one", "", " ", "one two", f"one two {model} {seconds}"]
 
-    content = files.read_binary(spark, str(root), "wav").select("path", "content")
-    result = transcribe(content, work, outputs, lambda: "--> é", recognise)
+    result = transcribe(work, outputs, lambda: "--> é", recognise, task_bytes=40_000)
     jobs = {r.relative_path: (r.state, r.detail, r.cue_count) for r in result.jobs.collect()}
     assert jobs == {
         "a.wav": ("Complete", "Complete", 2),
@@ -136,16 +235,21 @@ def test_bulk_transcription(spark, tmp_path):
     }
     for twice in (work.unionByName(gone), work.withColumn("relative_path", F.lit("../x.wav"))):
         with pytest.raises(ValueError, match="must not start"):
-            transcribe(content, twice, outputs, lambda: None, recognise)
-    written = {os.path.basename(r.output_path): r.disposition for r in sinks.write_vtt_files(result.documents).collect()}
+            transcribe(twice, outputs, lambda: None, recognise)
+    decoded = transcribe(work, outputs, lambda: "--> é", recognise, decoder=lambda raw: b"" if raw.startswith(b"RIFFoops") else raw)
+    assert {tuple(r) for r in decoded.jobs.collect()} == {tuple(r) for r in result.jobs.collect()}
+    assert {tuple(r) for r in decoded.documents.collect()} == {tuple(r) for r in result.documents.collect()}
+    cancelled = transcribe(work, outputs, lambda: "x", recognise, policy="cancel")
+    assert {r.state for r in cancelled.jobs.collect()} == {"Cancelled"} and cancelled.documents.count() == 0
+    written = {os.path.basename(r.output_path): r.disposition for r in sinks.write_vtt_files(result.documents, str(out)).collect()}
     assert written == {"a.vtt": "Written", "b.vtt": "Written"}
     assert (out / "sub" / "b.vtt").read_text() == "WEBVTT\n\n"
     assert (out / "sub" / "c.vtt").read_text() == "WEBVTT\n\nmine"
     lines = (out / "a.vtt").read_text(encoding="utf-8").split("\n")
     assert lines[0] == "WEBVTT" and lines[3] == "one two → é 2" and lines[6] == "one two → é 1"
-    again = {r.disposition for r in sinks.write_vtt_files(result.documents).collect()}
+    again = {r.disposition for r in sinks.write_vtt_files(result.documents, str(out)).collect()}
     assert again == {"SkippedExisting"}
-    assert {r.disposition for r in sinks.write_vtt_files(result.documents, sinks.OVERWRITE).collect()} == {"Written"}
+    assert {r.disposition for r in sinks.write_vtt_files(result.documents, str(out), sinks.OVERWRITE).collect()} == {"Written"}
     assert not [n for _, _, names in os.walk(out) for n in names if n.endswith(".tmp")]
     texts = files.scan_vtt(spark, str(out))
     evidence = {r.relative_path: r for r in output_evidence(work, texts).collect()}
@@ -217,9 +321,62 @@ def test_reports_are_not_replaced_unasked(spark, tmp_path):
 def test_two_documents_of_one_path_are_refused(spark, tmp_path):
     rows = [("a", 0, "A0"), ("a", 1, "A1"), ("b", 0, "B"), ("b", 0, "other B"), ("b", 1, "B1"), ("c", 0, "C")]
     df = spark.createDataFrame([(f"{tmp_path}/{p}.vtt", n, t) for p, n, t in rows], "output_path string, part_no int, text string").coalesce(1)
-    found = {os.path.basename(r.output_path): r.disposition for r in sinks.write_vtt_files(df).collect()}
+    found = {os.path.basename(r.output_path): r.disposition for r in sinks.write_vtt_files(df, str(tmp_path)).collect()}
     assert found == {"a.vtt": "Written", "b.vtt": "Conflict", "c.vtt": "Written"}
-    assert (tmp_path / "a.vtt").read_text() == "A0A1" and sorted(os.listdir(tmp_path)) == ["a.vtt", "c.vtt"]
+    assert (tmp_path / "a.vtt").read_text() == "A0A1" and seen_below(tmp_path) == ["a.vtt", "c.vtt"]
+
+
+def seen_below(folder):
+    return sorted(n for n in os.listdir(folder) if not n.startswith(".disp"))
+
+
+def failing(marker, times):
+    """Fails after the rows went through, as often as there is no further marker file."""
+
+    def wrap(rows):
+        def run(batches):
+            yield from batches
+            for k in range(times):
+                try:
+                    open(f"{marker}-{k}", "x").close()
+                except FileExistsError:
+                    continue
+                raise RuntimeError("lost")
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return wrap
+
+
+def test_a_job_that_fails_after_writing_leaves_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("a.vtt", 0, "A"), ("sub/b.vtt", 0, "B"), ("n.vtt", 0, None)], "output_path string, part_no int, text string")
+    out = tmp_path / "out"
+    with pytest.raises(Exception, match="lost"):
+        keyed.write_keyed(rows, str(out), prepare=failing(tmp_path / "mark", 1))
+    assert [n for _, _, names in os.walk(out) for n in names] == []
+    # The next run of the same work finds nothing of the first.
+    again = keyed.write_keyed(rows, str(out), prepare=failing(tmp_path / "mark", 1))
+    assert {tuple(r) for r in again.collect()} == {("a.vtt", "Written"), ("sub/b.vtt", "Written"), ("n.vtt", "Written")}
+    assert (out / "sub" / "b.vtt").read_text() == "B" and (out / "n.vtt").read_bytes() == b"" and seen_below(out) == ["a.vtt", "n.vtt", "sub"]
+    assert {r.disposition for r in keyed.write_keyed(rows, str(out)).collect()} == {"SkippedExisting"}
+    assert keyed.write_keyed(rows.limit(0), str(out)).collect() == []
+    for path in ("../x.vtt", "/elsewhere/x.vtt", ""):
+        with pytest.raises(Exception, match="leaves the root"):
+            keyed.write_keyed(rows.withColumn("output_path", F.lit(path)).limit(1), str(out))
+    assert seen_below(out) == ["a.vtt", "n.vtt", "sub"]
+
+
+def test_a_task_that_runs_again_publishes_once(tmp_path):
+    """Two attempts of a task stage the same keys; the message of one of them is committed."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "a", "b"]), pa.array([0, 1, 0]), pa.array([b"A0", b"A1", b"B"])], ["k", "n", "c"])
+    (tmp_path / ".staging").mkdir()
+    options = {"path": str(tmp_path), "staging": f"{tmp_path}/.staging", "result": f"{tmp_path}/.dispositions/r.parquet"}
+    writer = keyed.KeyedWriter(options)
+    first, second = writer.write(iter([batch])), writer.write(iter([batch]))
+    assert first.manifest != second.manifest and seen_below(tmp_path) == [".staging"]
+    writer.commit([second, None, writer.write(iter([]))])
+    assert (tmp_path / "a").read_bytes() == b"A0A1" and seen_below(tmp_path) == ["a", "b"]
+    assert pq.read_table(options["result"])["disposition"].to_pylist() == ["Written", "Written"]
 
 
 def test_table_sink_by_key(spark, tmp_path):

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.functions.scalars import FULL_SCALE, classify_frame, dbfs_from_rms
@@ -39,61 +39,46 @@ def frame_samples(samples: DataFrame, frame: int = 320) -> DataFrame:
 FRAME_SCHEMA = "frame_idx bigint, start_sample bigint, end_sample bigint, rms double, dbfs double"
 
 
+def score_pcm(pcm: bytes, first: int, frame: int) -> list[pa.Array]:
+    """The columns of ``FRAME_SCHEMA`` for little-endian 16-bit mono samples that begin at sample ``first``.
+
+    ``first`` is a frame's; only the last frame may be short. An odd byte count is an error.
+    """
+    if len(pcm) % 2:
+        raise ValueError("PCM block has an odd byte count")
+    if first % frame:
+        raise ValueError("PCM block does not begin on a frame boundary")
+    squares = np.frombuffer(pcm, dtype="<i2").astype(np.int64) ** 2
+    cuts = np.arange(0, squares.size, frame)
+    sizes = np.diff(np.append(cuts, squares.size))
+    rms = np.sqrt(np.add.reduceat(squares, cuts) / sizes) if squares.size else np.empty(0)
+    with np.errstate(divide="ignore"):
+        dbfs = np.where(rms > 0, 20.0 * np.log10(rms / FULL_SCALE), -np.inf)
+    start = first + cuts
+    return [pa.array(start // frame), pa.array(start), pa.array(start + sizes), pa.array(rms), pa.array(dbfs)]
+
+
 def frame_blocks(blocks: DataFrame, frame: int = 320) -> DataFrame:
     """Frames from PCM blocks ``(file_id, first_sample, pcm)`` of little-endian 16-bit mono samples.
 
     Blocks must begin on a frame boundary; only the last block of a file may end off one. An odd byte count fails.
     """
+    names = ["file_id", "frame_idx", "start_sample", "end_sample", "rms", "dbfs"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file_id, first, pcm in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if len(pcm) % 2:
-                    raise ValueError(f"file {file_id}: PCM block has an odd byte count")
-                if first % frame:
-                    raise ValueError(f"file {file_id}: PCM block does not begin on a frame boundary")
-                squares = np.frombuffer(pcm, dtype="<i2").astype(np.int64) ** 2
-                if not squares.size:
-                    continue
-                cuts = np.arange(0, squares.size, frame)
-                sizes = np.diff(np.append(cuts, squares.size))
-                rms = np.sqrt(np.add.reduceat(squares, cuts) / sizes)
-                with np.errstate(divide="ignore"):
-                    dbfs = np.where(rms > 0, 20.0 * np.log10(rms / FULL_SCALE), -np.inf)
-                start = first + cuts
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([file_id] * cuts.size, type=batch.schema.field(0).type),
-                        pa.array(start // frame),
-                        pa.array(start),
-                        pa.array(start + sizes),
-                        pa.array(rms),
-                        pa.array(dbfs),
-                    ],
-                    names=["file_id", "frame_idx", "start_sample", "end_sample", "rms", "dbfs"],
-                )
+                try:
+                    columns = score_pcm(pcm, first, frame)
+                except ValueError as problem:
+                    raise ValueError(f"file {file_id}: {problem}") from problem
+                ids = pa.array([file_id] * len(columns[0]), type=batch.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=names)
 
     kind = blocks.schema["file_id"].dataType.simpleString()
     return blocks.select("file_id", "first_sample", "pcm").mapInArrow(score, f"file_id {kind}, {FRAME_SCHEMA}")
 
 
-def pcm_blocks(recordings: DataFrame, block_samples: int = 320 * 4_096) -> DataFrame:
-    """Equal blocks of each recording's PCM data: ``recordings(file_id, content, data_offset, data_length)``.
-
-    The pieces are cut inside the row before it is exploded, so that no exploded row carries the whole file.
-    """
-    size = block_samples * 2
-    offsets = F.sequence(F.lit(0).cast("bigint"), F.col("data_length") - 1, F.lit(size).cast("bigint"))
-
-    def piece(at: Column) -> Column:
-        begin = (F.col("data_offset") + at + 1).cast("int")
-        length = F.least(F.lit(size).cast("bigint"), F.col("data_length") - at).cast("int")
-        return F.struct(int_div(at, 2).alias("first_sample"), F.substring("content", begin, length).alias("pcm"))
-
-    rows = recordings.filter("data_length > 0").select("file_id", F.explode(F.transform(offsets, piece)).alias("p"))
-    return rows.select("file_id", "p.first_sample", "p.pcm")
-
-
 def check_frames(frames: DataFrame, block_size: int | None = None) -> DataFrame:
     """Violations: frames that do not follow each other without gap, are empty, or have an impossible level."""
     rows, block = blocked_by(frames, ["file_id"], block_of(F.col("frame_idx"), block_size or BLOCK), force=bool(block_size))

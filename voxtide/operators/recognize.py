@@ -6,57 +6,45 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.operators.transcripts import fold_text
-from voxtide.session import cut_lineage
+from voxtide.sources.ranges import Decoder, Opener, read_range
 
 # recognise(model, pcm bytes of one interval) -> the emissions in order
 Recognise = Callable[[Any, bytes], list[str]]
 
 
-# Intervals whose bounds are sent to every executor (some 30 bytes each); with more, recordings are shuffled to them.
-BROADCAST_INTERVALS = 500_000
-
-
-def interval_audio(intervals: DataFrame, recordings: DataFrame) -> DataFrame:
-    """PCM bytes of every interval: ``recordings(file_id, content, data_offset)``.
-
-    A file's intervals meet its row once and are cut there, so that no output row carries the whole file. The list is
-    bounded by what one binary value, the file, can hold. While the intervals are few, no recording is shuffled.
-    """
-    intervals = cut_lineage(intervals)
-    few = intervals.count() <= BROADCAST_INTERVALS
-    lists = intervals.groupBy("file_id").agg(F.collect_list(F.struct("idx", "start_sample", "end_sample")).alias("_i"))
-
-    def cut(i: Column) -> Column:
-        at = (F.col("data_offset") + i["start_sample"] * 2 + 1).cast("int")
-        length = ((i["end_sample"] - i["start_sample"]) * 2).cast("int")
-        return F.struct(*[i[c].alias(c) for c in ("idx", "start_sample", "end_sample")], F.substring("content", at, length).alias("pcm"))
-
-    rows = recordings.join(F.broadcast(lists) if few else lists, "file_id").select("file_id", F.explode(F.transform("_i", cut)).alias("p"))
-    return rows.select("file_id", "p.*")
-
-
-def recognize(audio: DataFrame, load_model: Callable[[], Any], recognise: Recognise) -> DataFrame:
+def recognize(audio: DataFrame, load_model: Callable[[], Any], recognise: Recognise, decoder: Decoder | None = None) -> DataFrame:
     """Text of every interval: ``file_id, idx, start_sample, end_sample, text, error``.
 
-    The model is loaded once per task and not at all for a task without rows. An interval whose recognition fails
-    carries the error; a model that does not load fails the job.
+    ``audio`` has the intervals with their samples' place, ``path, at, length`` (``sources.wave.interval_ranges``),
+    which are read right before they are recognised, or the samples themselves in ``pcm``. The model is loaded once per
+    task and not at all for a task without rows. An interval whose samples cannot be read, or whose recognition
+    fails, carries the error; a model that does not load fails the job.
     """
     kind = audio.schema["file_id"].dataType.simpleString()
+    given = ["pcm"] if "pcm" in audio.columns else ["path", "at", "length"]
+    bounds = ["file_id", "idx", "start_sample", "end_sample"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
+        model, opener = None, Opener(decoder)
+
+        def samples(row: tuple) -> bytes:
+            if len(row) == 1:
+                return row[0]
+            path, at, length = row
+            return b"".join(piece for _, piece in read_range(opener(path), int(at), int(length)))
+
         for batch in batches:
             if model is None and len(batch):
                 model = load_model()
             texts, errors = [], []
-            for pcm in batch["pcm"]:
+            for row in zip(*(batch[c] for c in given)):
                 try:
                     text = ""
-                    for emission in recognise(model, pcm):
+                    for emission in recognise(model, samples(row)):
                         if emission.strip():
                             text = fold_text(text, emission)
                     texts.append(text)
@@ -64,9 +52,10 @@ def recognize(audio: DataFrame, load_model: Callable[[], Any], recognise: Recogn
                 except Exception as problem:
                     texts.append(None)
                     errors.append(str(problem))
-            yield batch.drop(columns="pcm").assign(text=texts, error=errors)
+            yield batch[bounds].assign(text=texts, error=errors)
+        opener.close()
 
-    return audio.select("file_id", "idx", "start_sample", "end_sample", "pcm").mapInPandas(
+    return audio.select(*bounds, *given).mapInPandas(
         run, f"file_id {kind}, idx bigint, start_sample bigint, end_sample bigint, text string, error string"
     )
 

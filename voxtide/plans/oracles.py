@@ -379,7 +379,10 @@ def oracle_sql() -> dict[str, str]:
                                WHEN doc_id % 11 = 5 THEN 'not 16 kHz mono 16-bit' END AS error FROM documents)"""
     sql["wave_layouts"] = waves + """
         SELECT doc_id::VARCHAR AS path, CASE WHEN error IS NULL THEN 16000 END AS sample_rate, CASE WHEN error IS NULL THEN 44 END AS data_offset,
-               CASE WHEN error IS NULL THEN n END AS data_length, CASE WHEN error IS NULL THEN n // 2 END AS sample_count, error FROM d"""
+               CASE WHEN error IS NULL THEN n END AS data_length, CASE WHEN error IS NULL THEN n // 2 END AS sample_count, error FROM d
+        UNION ALL SELECT 'gone-' || unnest([0, 1]), NULL, NULL, NULL, NULL, 'the recording is missing'"""
+    sql["pcm_hashes"] = waves + """
+        SELECT doc_id::VARCHAR AS path, upper(sha256(unhex(substr(hex(encode(text)), 1, 2 * n)))) AS pcm_sha FROM d WHERE error IS NULL"""
     sql["quarantined_recordings"] = waves + " SELECT error, count(*) AS files FROM d WHERE error IS NOT NULL GROUP BY error"
     sql["wave_frames"] = waves + """,
         h AS (SELECT doc_id, hex(encode(text)) AS x, unnest(range(n // 2)) AS i FROM d WHERE error IS NULL),
@@ -387,10 +390,27 @@ def oracle_sql() -> dict[str, str]:
         s AS (SELECT doc_id, i, (CASE WHEN u >= 32768 THEN u - 65536 ELSE u END)::BIGINT AS s FROM v)
         SELECT doc_id::VARCHAR AS file_id, i // 320 AS frame_idx, min(i) AS start_sample, max(i) + 1 AS end_sample, round(sqrt(avg(s * s)), 4) AS rms
         FROM s GROUP BY doc_id, i // 320"""
-    sql["bulk_transcription"] = f"""
-        WITH d AS (SELECT item_id, length(text) % 50 * 320 + 8000 AS n FROM benchmark WHERE item_id % 5 <> 0)
+    tones = """
+        WITH d AS (SELECT item_id, length(text) * 320 + 8000 AS n, item_id || '.wav' AS name, item_id % 5 = 0 AS there,
+                          CASE WHEN item_id % 7 = 3 THEN 'not a RIFF file' WHEN item_id % 11 = 4 THEN 'declared size exceeds the file'
+                               WHEN 2 * (length(text) * 320 + 8000 + 6400) % 13 = 5 THEN 'cannot recognise' END AS error FROM benchmark)"""
+    sql["bulk_transcription"] = tones + f"""
         SELECT '/out/' || item_id || '.vtt' AS output_path, 0 AS part_no, E'WEBVTT\\n\\n' || {_stamp('200')} || ' --> ' || {_stamp('(9600 + n) // 16')}
-               || E'\\nheard ' || (n + 6400) || E' samples\\n\\n' AS text, 1 AS cue_count FROM d"""
+               || E'\\nheard ' || (n + 6400) || E' samples\\n\\n' AS text, 1 AS cue_count FROM d WHERE error IS NULL AND NOT there"""
+    sql["bulk_jobs"] = tones + """,
+        w AS (SELECT name, item_id::VARCHAR AS stem, there, error FROM d UNION ALL SELECT 'gone.wav', 'gone', false, 'the recording is missing')
+        SELECT name AS relative_path, '/out/' || stem || '.vtt' AS output_path, 'skip' AS policy,
+               CASE WHEN there OR error IS NULL THEN 'Complete' ELSE 'Failed' END AS state,
+               CASE WHEN there THEN 'Existing VTT skipped' ELSE coalesce(error, 'Complete') END AS detail,
+               CASE WHEN there OR error IS NOT NULL THEN 0 ELSE 1 END AS cue_count FROM w
+        UNION ALL SELECT name, '/out/' || stem || '.vtt', 'cancel', 'Cancelled', 'Cancelled before start', 0 FROM w"""
+    sql["sink_dispositions"] = """
+        WITH d AS (SELECT doc_id, lang || '/' || doc_id || '.vtt' AS p, replace(coalesce(text, ''), chr(10), '') AS t, coalesce(text, '') AS text FROM documents)
+        SELECT 1 AS run, p AS output_path, 'Written' AS disposition FROM d WHERE doc_id % 3 = 0
+        UNION ALL SELECT 2, p, CASE WHEN doc_id % 10 = 7 THEN 'Conflict' WHEN doc_id % 3 = 0 THEN 'SkippedExisting' ELSE 'Written' END FROM d
+        UNION ALL SELECT 3, p, 'Written' FROM d WHERE doc_id % 4 = 0
+        UNION ALL SELECT 0, p, sha256(CASE WHEN doc_id % 4 = 0 THEN replace(t, 'e', 'E') ELSE t END) FROM d
+                  WHERE doc_id % 3 = 0 OR doc_id % 4 = 0 OR doc_id % 10 <> 7"""
     sql["classified_frames"] = _with("SELECT file_id, frame_idx, above, below FROM marks", "marks")
     sql["frame_violations"] = _with(
         """SELECT file_id, frame_idx, rule FROM (

@@ -204,35 +204,87 @@ def frame_energy(spark, sf):
 
 @query
 def wave_layouts(spark, sf):
-    scanned = wave.scan_wave(views.wave_files(spark, sf))
-    return scanned.select("path", "sample_rate", "data_offset", "data_length", "sample_count", "error")
+    """Layouts of files, from their first bytes; two paths have no file."""
+    paths, folder = views.landed(views.wave_files(spark, sf), "waves")
+    gone = spark.range(2).select(F.concat(F.lit(folder + "/gone-"), F.col("id").cast("string")).alias("path"))
+    scanned = wave.scan_wave(paths.select("path").union(gone))
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "[.]wav$", "")
+    return scanned.select(name.alias("path"), "sample_rate", "data_offset", "data_length", "sample_count", "error")
 
 
 @query
 def quarantined_recordings(spark, sf):
-    _, bad = quality.split_quarantine(wave.scan_wave(views.wave_files(spark, sf)))
+    paths, _ = views.landed(views.wave_files(spark, sf), "waves")
+    _, bad = quality.split_quarantine(wave.scan_wave(paths))
     return bad.groupBy("error").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query
 def wave_frames(spark, sf):
-    """Frame energies straight from the recordings' bytes."""
-    good, _ = quality.split_quarantine(wave.scan_wave(views.wave_files(spark, sf), keep_content=True))
-    recordings = good.withColumnRenamed("path", "file_id")
-    rows = frames.frame_blocks(frames.pcm_blocks(recordings))
-    return rows.select("file_id", "frame_idx", "start_sample", "end_sample", F.round("rms", 4).alias("rms"))
+    """Frame energies straight from the recordings' bytes, read in ranges of some hundred bytes that cut frames apart."""
+    _, folder = views.landed(views.wave_files(spark, sf), "waves")
+    blocks = wave.read_pcm(spark, folder, splitBytes=100_001).filter("error IS NULL").withColumnRenamed("path", "file_id")
+    name = F.regexp_replace(F.element_at(F.split("file_id", "/"), -1), "[.]wav$", "")
+    rows = frames.frame_blocks(blocks)
+    return rows.select(name.alias("file_id"), "frame_idx", "start_sample", "end_sample", F.round("rms", 4).alias("rms"))
 
 
 @query
-def bulk_transcription(spark, sf):
-    """Recordings to caption documents, with a recogniser that says how much it heard."""
-    files = views.tone_files(spark, sf)
-    work = listing.plan_work(files.select(F.col("path").alias("input_path"), F.regexp_replace("path", "^/in/", "").alias("relative_path")), "/out")
-    existing = files.filter("path RLIKE '[05][.]wav$'").select(
-        F.replace(F.replace("path", F.lit("/in/"), F.lit("/OUT/")), F.lit(".wav"), F.lit(".vtt")).alias("path"), F.lit(False).alias("is_dir")
+def pcm_hashes(spark, sf):
+    """SHA-256 of the data range alone."""
+    paths, _ = views.landed(views.wave_files(spark, sf), "waves")
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "[.]wav$", "")
+    return wave.data_hashes(wave.scan_wave(paths)).select(name.alias("path"), "pcm_sha")
+
+
+def _bulk(spark, sf, policy="skip"):
+    """Recordings to caption documents, with a recogniser that says how much it heard and fails on some lengths."""
+    paths, folder = views.landed(views.tone_files(spark, sf), "tones")
+    gone = spark.range(1).select(F.lit(folder + "/gone.wav").alias("path"), F.lit("gone.wav").alias("relative_path"))
+    work = listing.plan_work(paths.union(gone).select(F.col("path").alias("input_path"), "relative_path"), "/out")
+    existing = work.filter("relative_path RLIKE '[05][.]wav$'").select(
+        F.replace("output_path", F.lit("/out/"), F.lit("/OUT/")).alias("path"), F.lit(False).alias("is_dir")
     )
-    result = transcribe.transcribe(files, work, existing, lambda: "heard", lambda model, pcm: [model, f"{model} {len(pcm) // 2} samples"])
-    return result.documents.select("output_path", "part_no", "text", "cue_count")
+
+    def recognise(model, pcm):
+        if len(pcm) % 13 == 5:
+            raise RuntimeError("cannot recognise")
+        return [model, f"{model} {len(pcm) // 2} samples"]
+
+    return transcribe.transcribe(work, existing, lambda: "heard", recognise, policy, task_bytes=1 << 20)
+
+
+@query
+def bulk_transcription(spark, sf):
+    return _bulk(spark, sf).documents.select("output_path", "part_no", "text", "cue_count")
+
+
+@query
+def bulk_jobs(spark, sf):
+    """The state of every work item: complete, skipped, or failed for one of four reasons; and of a cancelled batch."""
+    jobs = _bulk(spark, sf).jobs.withColumn("policy", F.lit("skip"))
+    return jobs.unionByName(_bulk(spark, sf, "cancel").jobs.withColumn("policy", F.lit("cancel")))
+
+
+@query
+def sink_dispositions(spark, sf):
+    """Caption files written twice over: new ones, ones that are there, and two documents of one path."""
+    from voxtide.sources import sinks
+    from voxtide.streaming.runs import new_folder
+
+    folder = new_folder(spark, "captions")
+    docs = views.table(spark, sf, "documents").select("doc_id", F.format_string("%s/%d.vtt", "lang", "doc_id").alias("output_path"), "text")
+    parts = docs.select("doc_id", "output_path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("part_no", "text"))
+    first = sinks.write_vtt_files(parts.filter("doc_id % 3 = 0"), folder)
+    twice = parts.filter("doc_id % 10 = 7")
+    second = sinks.write_vtt_files(parts.unionByName(twice), folder)
+    third = sinks.write_vtt_files(parts.filter("doc_id % 4 = 0").withColumn("text", F.replace("text", F.lit("e"), F.lit("E"))), folder, sinks.OVERWRITE)
+    runs_of = [rows.select(F.lit(n).alias("run"), "*") for n, rows in enumerate((first, second, third), 1)]
+    found = runs_of[0].unionByName(runs_of[1]).unionByName(runs_of[2])
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.vtt").load(folder)
+    name = F.regexp_extract("path", "[^/]+/[^/]+$", 0)
+    there = there.select(F.lit(0).alias("run"), name.alias("output_path"), F.sha2("content", 256).alias("disposition"))
+    return found.unionByName(there)
 
 
 @query

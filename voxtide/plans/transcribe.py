@@ -10,17 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.operators.cues import assemble_documents, clamp_cues
-from voxtide.operators.frames import frame_blocks, pcm_blocks
 from voxtide.operators.listing import SKIPPED, conflicting_directories, escaping_work, output_collisions, pending_work
 from voxtide.operators.ordered import KEY_ROWS
-from voxtide.operators.recognize import Recognise, interval_audio, isolate_failures, recognize
+from voxtide.operators.recognize import Recognise, isolate_failures, recognize
 from voxtide.operators.speech import NO_CAP, SCAN_BLOCK, detect_speech, failed_files, numbered, speech_pieces
 from voxtide.options import DetectorOptions
 from voxtide.session import cut_lineage
-from voxtide.sources.wave import decode, scan_wave
-
-# Paths of pending work that are sent to every executor; more are joined by a shuffle.
-BROADCAST_PATHS = 500_000
+from voxtide.sources.ranges import Decoder
+from voxtide.sources.wave import TASK_BYTES, TASK_FILES, interval_ranges, scan_frames, scan_wave, spread
 
 
 @dataclass(frozen=True)
@@ -40,54 +37,50 @@ def check_plan(work: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def transcribe(
-    files: DataFrame,
     work: DataFrame,
     outputs: DataFrame,
     load_model: Callable[[], Any],
     recognise: Recognise,
     policy: str = "skip",
     options: DetectorOptions | None = None,
-    decoder: Callable[[bytes], bytes] | None = None,
+    decoder: Decoder | None = None,
+    task_bytes: int = TASK_BYTES,
 ) -> Transcription:
     """Detects, recognises and formats everything pending.
 
-    ``files(path, content)`` are the recordings and ``work(input_path, relative_path, output_path)`` the plan. A plan
-    that must not start (``check_plan``) is an error. Finished work is removed first, so nothing of it is read further. A
-    recording that is missing, or that cannot be read, cut into speech or recognised, fails alone and gets no document.
+    ``work(input_path, relative_path, output_path)`` is the plan; recordings are opened by their ``input_path``, which
+    every executor must reach. A plan that must not start (``check_plan``) is an error. Finished work is removed first, so
+    nothing of it is read further. A recording that is missing, or that cannot be read, cut into speech or recognised,
+    fails alone and gets no document.
+
+    Of each recording the header is read for its layout, the samples once for their levels, and the samples of its
+    speech once for the recogniser, each in the task that needs them: what is kept between the steps is layouts, levels and
+    texts. With a ``decoder`` a recording is decoded for each of these steps, and is never written.
     """
     options = options or DetectorOptions()
     refused = check_plan(work, outputs).limit(5).collect()
     if refused:
         raise ValueError("the batch must not start: " + "; ".join(f"{r.path}: {r.reason}" for r in refused))
     pending = cut_lineage(pending_work(work, outputs, policy))
-    paths = pending.select(F.col("input_path").alias("path"))
-    # The plan is small beside the audio: while it is, no file content is shuffled to meet it.
-    wanted = files.join(F.broadcast(paths) if pending.count() <= BROADCAST_PATHS else paths, "path", "left_semi")
-    broken = None
-    if decoder is not None:
-        decoded = cut_lineage(decode(wanted, decoder))
-        broken = decoded.filter("error IS NOT NULL").select(F.col("path").alias("file_id"), "error")
-        wanted = decoded.filter("error IS NULL").drop("error")
-    scanned = cut_lineage(scan_wave(wanted))
-    unusable = scanned.filter("error IS NOT NULL").select(F.col("path").alias("file_id"), "error")
-    recordings = scan_wave(wanted, keep_content=True).filter("error IS NULL").withColumnRenamed("path", "file_id")
-    blocks = pcm_blocks(recordings, options.frame_samples * 4_096)
-    scored = frame_blocks(blocks, options.frame_samples)
-    # The layouts tell how long the longest recording is; no audio is read to count its frames.
-    longest = (scanned.agg(F.max("data_length")).first()[0] or 0) // (2 * options.frame_samples)
+    files = pending.select(F.col("input_path").alias("path"))
+    layouts = cut_lineage(scan_wave(spread(files, F.lit(1), TASK_FILES, "path"), decoder))
+    # Levels are a fraction of the audio; with them no later step, nor a second look at one, reads it again.
+    scored = cut_lineage(scan_frames(layouts, options.frame_samples, task_bytes, decoder))
+    lost = scored.filter("error IS NOT NULL").groupBy("file_id").agg(F.min("error").alias("error"))
+    failed = layouts.filter("error IS NOT NULL").select(F.col("path").alias("file_id"), "error").unionByName(lost)
+    frames = scored.filter("error IS NULL").drop("error")
+    # The layouts tell how long the longest recording is; no frame is read to count them.
+    longest = (layouts.agg(F.max("data_length")).first()[0] or 0) // (2 * options.frame_samples)
     block = SCAN_BLOCK if longest > KEY_ROWS else 0
-    intervals = numbered(detect_speech(scored, options, block_size=block))
-    # The recogniser is the expensive step: its result is kept, so that no later branch runs it again.
-    spoken = cut_lineage(recognize(interval_audio(intervals, recordings), load_model, recognise))
-    states = isolate_failures(scanned.filter("error IS NULL").select(F.col("path").alias("file_id")), spoken)
-    failed = unusable if broken is None else unusable.unionByName(broken)
     if options.forced_piece_can_fail and options.segmenter.max_segment < NO_CAP:
-        lost = cut_lineage(failed_files(speech_pieces(scored, options, block_size=block), options))
-        states = states.join(lost.select("file_id"), "file_id", "left_anti")
-        failed = failed.unionByName(lost)
-    there = scanned.select("path") if broken is None else scanned.select("path").union(broken.select("file_id"))
-    missing = paths.join(there, "path", "left_anti").select(F.col("path").alias("file_id"), F.lit("the recording is missing").alias("error"))
-    failed = failed.unionByName(missing)
+        failed = failed.unionByName(failed_files(speech_pieces(frames, options, block_size=block), options))
+    failed = cut_lineage(failed.groupBy("file_id").agg(F.min("error").alias("error")))
+    good = layouts.join(failed.select(F.col("file_id").alias("path")), "path", "left_anti")
+    intervals = cut_lineage(numbered(detect_speech(frames, options, block_size=block)))
+    # The recogniser is the expensive step: its result is kept, so that no later branch runs it again.
+    ranges = interval_ranges(intervals, good, task_bytes, whole=decoder is not None)
+    spoken = cut_lineage(recognize(ranges, load_model, recognise, decoder))
+    states = isolate_failures(good.select(F.col("path").alias("file_id")), spoken)
     states = states.unionByName(failed.select("file_id", F.lit("Failed").alias("state"), "error"))
     complete = states.filter("state = 'Complete'").select("file_id")
     cues = spoken.join(complete, "file_id", "left_semi").select("file_id", F.col("idx").alias("cue_idx"), "start_sample", "end_sample", "text")

@@ -283,12 +283,25 @@ def wave_files(spark: SparkSession, sf: str) -> DataFrame:
     content = wave_bytes(F.col("_pcm"), F.when(doc % 7 == 3, 3).otherwise(1), F.when(doc % 11 == 5, 8_000).otherwise(16_000))
     whole = documents(spark, sf).withColumn("_pcm", even).select("doc_id", content.alias("content"))
     cut = F.substring(F.col("content"), F.lit(1), F.octet_length("content") - 1)
-    return whole.select("doc_id", doc.cast("string").alias("path"), F.when(doc % 13 == 1, cut).otherwise(F.col("content")).alias("content"))
+    return whole.select("doc_id", F.concat(doc.cast("string"), F.lit(".wav")).alias("path"), F.when(doc % 13 == 1, cut).otherwise(F.col("content")).alias("content"))
+
+
+def landed(files: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Files ``path, content`` below a new shared folder: their paths there, and the folder."""
+    from voxtide.sources.keyed import write_keyed
+    from voxtide.streaming.runs import new_folder
+
+    folder = new_folder(files.sparkSession, name)
+    written = write_keyed(files.select(F.col("path").alias("output_path"), F.lit(0).alias("part_no"), "content"), folder)
+    return written.select(F.concat(F.lit(folder + "/"), "output_path").alias("path"), F.col("output_path").alias("relative_path")), folder
 
 
 def tone_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items as recordings: silence, a loud stretch whose length depends on the text, silence."""
-    loud = F.length("text") % 50 * 320 + 8_000
+    """Benchmark items as recordings: silence, a loud stretch whose length depends on the text, silence. One in seven is
+    no WAVE file and one in eleven ends inside its data."""
+    loud = F.length("text") * 320 + 8_000
     samples = F.concat(F.repeat(F.lit("0000"), F.lit(6_400)), F.repeat(F.lit("0040"), loud), F.repeat(F.lit("0000"), F.lit(12_800)))
-    rows = table(spark, sf, "benchmark").select("item_id", F.unhex(samples).alias("_pcm"))
-    return rows.select(F.format_string("/in/%d.wav", "item_id").alias("path"), wave_bytes(F.col("_pcm")).alias("content"))
+    rows = table(spark, sf, "benchmark").select("item_id", wave_bytes(F.unhex(samples)).alias("_wave"))
+    item = F.col("item_id")
+    content = F.when(item % 7 == 3, F.lit(b"no sound at all")).when(item % 11 == 4, F.substring("_wave", 1, 20_000)).otherwise(F.col("_wave"))
+    return rows.select("item_id", F.format_string("%d.wav", "item_id").alias("path"), content.alias("content"))

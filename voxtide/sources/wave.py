@@ -1,118 +1,257 @@
-"""WAVE recordings."""
+"""WAVE recordings: layouts from prefixes, frames and intervals by byte range, and a data source of PCM blocks.
+
+Recordings are addressed by path. Every operator reads in its own task what it needs, so no row ever holds a file,
+files may have any size, and a long recording is spread over many tasks.
+"""
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
-from voxtide.functions.text import data_sha256_hex
+from voxtide.operators.frames import FRAME_SCHEMA, score_pcm
+from voxtide.sources.ranges import BadWave, Decoder, Opener, Recording, file_system, frames_per_read, problem_of, read_layout, read_range
 
-_SCAN = (
-    "path string, sample_rate int, channels smallint, bits smallint, block_align smallint, "
+_LAYOUT = (
+    "sample_rate int, channels smallint, bits smallint, block_align smallint, "
     "data_offset bigint, data_length bigint, sample_count bigint, error string"
 )
+_SCAN = "path string, " + _LAYOUT
+_NAMES = [field.split()[0] for field in _SCAN.split(", ")]
+# Bytes of audio that one task reads.
+TASK_BYTES = 64 << 20
+# Recordings whose headers one task reads.
+TASK_FILES = 4_096
+
+
+def _layout_row(path: str, opener: Opener) -> tuple:
+    try:
+        found = read_layout(opener(path))
+        return (path, *found, found[5] // found[3], None)
+    except Exception as problem:
+        return (path, *[None] * 7, problem_of(problem))
 
 
-class BadWave(ValueError):
-    pass
-
-
-def _chunks(content: bytes, end: int) -> Iterator[tuple[bytes, int, int]]:
-    at = 12
-    while at < end:
-        if at + 8 > end:
-            raise BadWave("chunk header is cut off")
-        name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
-        if at + 8 + size > end:
-            raise BadWave("chunk runs past the end")
-        yield name, at + 8, size
-        at += 8 + size + size % 2
-
-
-def read_layout(content: bytes) -> tuple[int, int, int, int, int, int]:
-    """Format and place of the samples: rate, channels, bits, block align, data offset, data length."""
-    if len(content) < 12:
-        raise BadWave("file is too short")
-    container, declared, form = content[:4], struct.unpack_from("<I", content, 4)[0], content[8:12]
-    if container == b"RF64":
-        raise BadWave("RF64 is not supported")
-    if container != b"RIFF":
-        raise BadWave("not a RIFF file")
-    if form != b"WAVE":
-        raise BadWave("not a WAVE form")
-    if declared + 8 > len(content):
-        raise BadWave("declared size exceeds the file")
-    layout: dict[bytes, tuple[int, int]] = {}
-    for name, at, size in _chunks(content, declared + 8):
-        if name in (b"fmt ", b"data"):
-            if name in layout:
-                raise BadWave(f"duplicate {name.decode().strip()} chunk")
-            layout[name] = (at, size)
-    for name in (b"fmt ", b"data"):
-        if name not in layout:
-            raise BadWave(f"missing {name.decode().strip()} chunk")
-    at, size = layout[b"fmt "]
-    if size < 16:
-        raise BadWave("format chunk is too short")
-    tag, channels, rate, byte_rate, align, bits = struct.unpack_from("<HHIIHH", content, at)
-    if tag != 1:
-        raise BadWave("not PCM")
-    if align != channels * bits // 8:
-        raise BadWave("wrong block alignment")
-    if byte_rate != rate * align:
-        raise BadWave("wrong byte rate")
-    if (rate, channels, bits) != (16_000, 1, 16):
-        raise BadWave("not 16 kHz mono 16-bit")
-    at, size = layout[b"data"]
-    if size % align:
-        raise BadWave("data is not aligned to samples")
-    return rate, channels, bits, align, at, size
-
-
-def scan_wave(files: DataFrame, keep_content: bool = False) -> DataFrame:
-    """One row per file of ``files(path, content)``: its layout, or the one reason why it is no usable recording.
-
-    ``keep_content`` passes the bytes through. That spares a join of layouts with contents, which would move every
-    recording across the network.
+def scan_wave(files: DataFrame, decoder: Decoder | None = None) -> DataFrame:
+    """One row per file of ``files(path)``: its layout, or the one reason why it is no usable recording.
+
+    Of each file the header and eight bytes a chunk are read, wherever the chunks lie. A file that is missing or
+    cannot be opened has that as its reason. With a ``decoder``, files are decoded as a whole to be looked at, and a
+    failure of the decoder is the reason. Null paths are dropped; a repeated path gives a row each time.
     """
-    schema = _SCAN + (", content binary" if keep_content else "")
-    names = [field.split()[0] for field in schema.split(", ")]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opener = Opener(decoder)
+        for batch in batches:
+            yield pd.DataFrame([_layout_row(path, opener) for path in batch["path"]], columns=_NAMES, dtype=object)
+        opener.close()
+
+    return files.select("path").filter("path IS NOT NULL").mapInPandas(scan, _SCAN)
+
+
+def spread(rows: DataFrame, size: Column, task_bytes: int, *keys: str) -> DataFrame:
+    """Rows dealt to as many tasks as their bytes ask for, equal ``keys`` to one task.
+
+    The rows are a few numbers each, so their own size says nothing of the work behind them.
+    """
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    most = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(max(most, -(-int(total) // task_bytes)), *keys)
+
+
+def byte_ranges(layouts: DataFrame, frame: int = 320, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The data of usable recordings in ranges that begin on a frame: ``file_id, at, length, first_sample``."""
+    size = max(1, task_bytes // (2 * frame)) * 2 * frame
+    rows = layouts.filter("error IS NULL AND data_length > 0")
+    begin = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("data_length") - 1, F.lit(size).cast("bigint")))
+    rows = rows.select(F.col("path").alias("file_id"), "data_offset", "data_length", begin.alias("_begin"))
+    return rows.select(
+        "file_id",
+        (F.col("data_offset") + F.col("_begin")).alias("at"),
+        F.least(F.lit(size).cast("bigint"), F.col("data_length") - F.col("_begin")).alias("length"),
+        F.expr("_begin div 2").alias("first_sample"),
+    )
+
+
+_SCORED = f"file_id string, {FRAME_SCHEMA}, error string"
+_SCORED_NAMES = [field.split()[0] for field in _SCORED.split(", ")]
+
+
+def _scored(file_id: str, first: int, pcm: bytes, frame: int) -> pa.RecordBatch:
+    columns = score_pcm(pcm, first, frame)
+    count = len(columns[0])
+    ids, errors = pa.array([file_id] * count, pa.string()), pa.nulls(count, pa.string())
+    return pa.RecordBatch.from_arrays([ids, *columns, errors], _SCORED_NAMES)
+
+
+def _failure(file_id: str, problem: Exception) -> pa.RecordBatch:
+    numbers = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+    return pa.RecordBatch.from_arrays([pa.array([file_id]), *numbers, pa.array([problem_of(problem)])], _SCORED_NAMES)
+
+
+def scan_frames(layouts: DataFrame, frame: int = 320, task_bytes: int = TASK_BYTES, decoder: Decoder | None = None) -> DataFrame:
+    """Scored frames of usable recordings, read and reduced to levels in one task: ``file_id``, the frame's columns,
+    ``error``. A recording that fails while it is read has a row with an ``error`` and no frame beside the others.
+
+    With a ``decoder``, which knows whole files only, a recording is one task's.
+    """
+    ranges = byte_ranges(layouts, frame, task_bytes)
+    ranges = spread(ranges, F.col("length"), task_bytes, *(["file_id"] if decoder else ["file_id", "at"])).sortWithinPartitions("file_id", "at")
+    step = frames_per_read(2 * frame)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opener = Opener(decoder)
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for file_id, at, length, first in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
-                    found = read_layout(content)
-                    row = (path, *found, found[5] // found[3], None)
-                except BadWave as problem:
-                    row = (path, *[None] * 7, str(problem))
-                rows.append((*row, content) if keep_content else row)
-            yield pd.DataFrame(rows, columns=names, dtype=object)
+                    for done, pcm in read_range(opener(file_id), at, length, step):
+                        yield _scored(file_id, first + done // 2, pcm, frame)
+                except Exception as problem:
+                    yield _failure(file_id, problem)
+        opener.close()
 
-    return files.select("path", "content").mapInPandas(scan, schema)
+    return ranges.mapInArrow(score, _SCORED)
 
 
-def data_hashes(scanned: DataFrame) -> DataFrame:
-    """SHA-256 of the PCM data alone, from a scan that kept the content."""
-    return scanned.filter("error IS NULL").select("path", data_sha256_hex(F.col("content"), F.col("data_offset"), F.col("data_length")).alias("pcm_sha"))
+def interval_ranges(intervals: DataFrame, layouts: DataFrame, task_bytes: int = TASK_BYTES, whole: bool = False) -> DataFrame:
+    """Where the samples of each interval lie: ``intervals(file_id, idx, start_sample, end_sample)`` and ``path, at,
+    length``, dealt to tasks by their bytes, a file's next to each other. Only numbers are joined and shuffled. With
+    ``whole``, a file's intervals come to one task."""
+    places = layouts.filter("error IS NULL").select(F.col("path").alias("file_id"), "data_offset")
+    rows = intervals.join(places, "file_id").select(
+        "file_id",
+        "idx",
+        "start_sample",
+        "end_sample",
+        F.col("file_id").alias("path"),
+        (F.col("data_offset") + 2 * F.col("start_sample")).alias("at"),
+        (2 * (F.col("end_sample") - F.col("start_sample"))).alias("length"),
+    )
+    # Neighbours within a task's worth of audio stay together, so that a file is not opened for each of them.
+    rows = rows.withColumn("_near", F.lit(0) if whole else F.expr(f"at div {task_bytes}"))
+    return spread(rows, F.col("length"), task_bytes, "path", "_near").sortWithinPartitions("path", "at").drop("_near")
 
 
-def decode(files: DataFrame, decoder: Callable[[bytes], bytes]) -> DataFrame:
-    """Hook for other containers: ``decoder`` turns a file's bytes into WAVE bytes; its failures become error rows."""
+def data_hashes(layouts: DataFrame) -> DataFrame:
+    """SHA-256 of the PCM data alone, read in pieces: ``path, pcm_sha, error``."""
+    rows = layouts.filter("error IS NULL").select("path", "data_offset", "data_length")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from hashlib import sha256
+
+        opener = Opener()
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
+            out = []
+            for path, at, length in zip(batch["path"], batch["data_offset"], batch["data_length"]):
                 try:
-                    rows.append((path, decoder(content), None))
+                    found = sha256()
+                    for _, piece in read_range(opener(path), int(at), int(length)):
+                        found.update(piece)
+                    out.append((path, found.hexdigest().upper(), None))
                 except Exception as problem:
-                    rows.append((path, None, str(problem)))
-            yield pd.DataFrame(rows, columns=["path", "content", "error"])
+                    out.append((path, None, problem_of(problem)))
+            yield pd.DataFrame(out, columns=["path", "pcm_sha", "error"], dtype=object)
+        opener.close()
+
+    return spread(rows, F.col("data_length"), TASK_BYTES, "path").mapInPandas(digest, "path string, pcm_sha string, error string")
+
+
+@dataclass
+class ByteRange(InputPartition):
+    """Part of a folder's audio: files, their sizes, and the file bytes from ``begin`` up to ``end`` of each."""
+
+    parts: tuple[tuple[str, int, int, int], ...]
+
+    def __init__(self, parts: Sequence[tuple[str, int, int, int]]):
+        self.parts = tuple(parts)
+
+
+def plan_ranges(files: Sequence[tuple[str, int]], split: int) -> list[ByteRange]:
+    """Files cut every ``split`` bytes, small ones packed together: sizes are all it needs."""
+    planned, here, room = [], [], split
+    for path, size in files:
+        for begin in range(0, max(size, 1), split):
+            end = min(begin + split, size)
+            if here and end - begin > room:
+                planned.append(ByteRange(here))
+                here, room = [], split
+            here.append((path, size, begin, end))
+            room -= end - begin
+    return planned + ([ByteRange(here)] if here else [])
+
+
+def blocks_of(recording: Recording, begin: int, end: int, frame_bytes: int) -> Iterator[tuple[int, bytes]]:
+    """Blocks of whole frames that begin at file bytes from ``begin`` up to ``end``: first sample and PCM.
+
+    The frame that straddles an edge belongs to the range that it begins in, so ranges side by side have every
+    frame once; only a recording's last frame may be short.
+    """
+    *_, offset, length = read_layout(recording)
+    low, high = (min(max(-(-(at - offset) // frame_bytes) * frame_bytes, 0), length) for at in (begin, end))
+    for done, pcm in read_range(recording, offset + low, high - low, frames_per_read(frame_bytes)):
+        yield (low + done) // 2, pcm
+
+
+class PcmReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.root = options["path"]
+        self.extension = options.get("extension", "wav").lower()
+        self.frame_bytes = 2 * int(options.get("frameSamples", 320))
+        self.split = int(options.get("splitBytes", TASK_BYTES))
+        if self.frame_bytes <= 0 or self.split <= 0:
+            raise ValueError("frameSamples and splitBytes are positive")
+
+    def partitions(self) -> list[ByteRange]:
+        system, root = file_system(self.root)
+        found = system.get_file_info(pafs.FileSelector(root, recursive=True))
+        files = sorted((f.path, f.size) for f in found if f.is_file and f.path.lower().endswith("." + self.extension))
+        return plan_ranges(files, self.split)
+
+    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        system, _ = file_system(self.root)
+        opener = Opener(opened=system.open_input_file)
+        names = ["path", "first_sample", "pcm", "error"]
+        for path, _, begin, end in partition.parts if partition else ():
+            try:
+                for first, pcm in blocks_of(opener(path), begin, end, self.frame_bytes):
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first]), pa.array([pcm], pa.binary()), pa.nulls(1, pa.string())], names)
+            except (BadWave, OSError) as problem:
+                # Each range of a broken file meets the problem; the first of them reports it.
+                if begin == 0:
+                    row = [pa.array([path]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([problem_of(problem)])]
+                    yield pa.RecordBatch.from_arrays(row, names)
+        opener.close()
+
+
+class PcmSource(DataSource):
+    """``spark.read.format("wave-pcm").load(folder)``: PCM blocks of the recordings below a folder.
+
+    Partitions are byte ranges, planned from a listing as Spark plans its own files; each reads its recording's header
+    and the frames that begin in its range. Columns ``path, first_sample, pcm, error``; a file that is no usable recording is one
+    row with an ``error``. Options: ``frameSamples`` (320), ``splitBytes`` (64 MiB), ``extension`` (``wav``, any case).
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "wave-pcm"
+
+    def schema(self) -> str:
+        return "path string, first_sample bigint, pcm binary, error string"
+
+    def reader(self, schema: StructType) -> PcmReader:
+        return PcmReader(self.options)
+
 
-    return files.select("path", "content").mapInPandas(run, "path string, content binary, error string")
+def read_pcm(spark: SparkSession, folder: str, **options: object) -> DataFrame:
+    """The folder's PCM blocks, with the data source registered in the session."""
+    spark.dataSource.register(PcmSource)
+    return spark.read.format("wave-pcm").options(**options).load(folder)
