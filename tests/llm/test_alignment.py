@@ -19,6 +19,7 @@ BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.p
 A, B = Tokenizer.from_file(BYTES), SentencePieceProcessor(model_file=PIECES)
 A.encode_special_tokens = True
 SIDES = alignment.ByteSide(BYTES), alignment.PieceSide(PIECES)
+ENCODER = alignment.Encoder(*SIDES)
 TEXTS = [None, "", " ", "\n", "a b\nc  d\n", "naïve 日本語 😀😀", "<|endoftext|> <s>x</s><unk>", "a▁b", "▁", "x" * 3000, "tab\tand\x00nul", "same words", "same words", "🇩🇪 ﬁ ǆ" * 20]
 
 
@@ -56,17 +57,28 @@ def text_of(groups):
 
 @settings(max_examples=400, deadline=None)
 @given(st.one_of(st.text(max_size=30), st.text(alphabet="abcé日 \n\t\x85'1.,😀\x00▁<s>", max_size=30)))
-def test_sides_encode_as_their_libraries(text):
-    assert SIDES[0].encode([text])[0].tolist() == A.encode(" " + text if text else "", add_special_tokens=False).ids
-    assert SIDES[1].encode([text])[0].tolist() == B.encode(text)
+def test_texts_encode_as_by_their_libraries(text):
+    check_encoding(ENCODER, text)
 
 
-def test_sides_forget(monkeypatch):
+def check_encoding(encoder, text):
+    a, b = encoder.encode([text, "same"])
+    want = [A.encode(" " + text, add_special_tokens=False).ids, B.encode(text)] if text else [[], []]
+    spelled_out = all(b"".join(side.contents[i] for i in ids) == b" " + text.encode() for side, ids in zip(SIDES, want))
+    assert [a[0].tolist(), b[0].tolist()] == (want if spelled_out else [[], []]) and len(a[1]) and len(b[1])
+
+
+def test_known_words_are_forgotten(monkeypatch):
     monkeypatch.setattr(alignment, "REMEMBERED", 3)
-    sides = alignment.ByteSide(BYTES), alignment.PieceSide(PIECES)
+    encoder = alignment.Encoder(*SIDES)
     for text in ["one two three four\nfive six", "seven eight\nnine ten\neleven one"] * 2:
-        assert sides[0].encode([text])[0].tolist() == A.encode(" " + text, add_special_tokens=False).ids
-        assert sides[1].encode([text])[0].tolist() == B.encode(text)
+        check_encoding(encoder, text)
+
+
+def test_words_that_a_side_does_not_spell():
+    encoder = alignment.Encoder(*SIDES)
+    encoder._learn(0, {"fine", "b▁d"})
+    assert encoder.misspelt == {"b▁d"}
 
 
 @pytest.mark.parametrize("most", [1 << 21, 1])

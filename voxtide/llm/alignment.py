@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,72 +25,33 @@ from voxtide.session import cut_lineage, shared_dir
 # Words that a worker remembers for each tokenizer, and the longest of them in characters.
 REMEMBERED, LONGEST = 200_000, 48
 # Text bytes aligned together, and pairs of ids expanded at once.
-BATCH_BYTES, PAIRS = 2 << 20, 1 << 21
+BATCH_BYTES, PAIRS = 1 << 20, 1 << 21
 # Most frequent pairs that are sent to every task; the others are joined by a shuffle.
-HEAD = 500_000
+HEAD = 200_000
 SPACE = "▁"
+STOPS = ".,"
 
 
 class Side:
-    """One tokenizer: ids of a blank and a text. Words between single blanks and line feeds are encoded once and
-    remembered, up to a fixed number, as no token of either kind reaches over the start of such a word."""
+    """One tokenizer: ids of a blank and a text, and the bytes that each id stands for."""
 
     contents: list[bytes]
+    # Whether no token reaches over the start of a word behind a blank or a line feed.
     apart: bool
 
     def __init__(self) -> None:
         self.sizes = np.array([len(c) for c in self.contents], dtype=np.int64)
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.line_feed = self._ids("\n")[-1:]
+        self.line_feed = self.ids("\n")[-1:]
 
-    def _ids(self, text: str) -> np.ndarray:
+    def ids(self, text: str) -> np.ndarray:
         raise NotImplementedError
 
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
-        new = [word for word in words if word not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(words)
-        if not new:
-            return
-        # Every word on a line of its own; the first line is the blank that precedes any text.
-        ids = self._ids("".join(["\n" + before + word for word in new]))
-        edges = (4 * np.flatnonzero(ids == self.line_feed[0])).tolist()
-        data = ids.tobytes()
-        for word, at, upto in zip(new, edges, [*edges[1:], len(data)]):
-            known[word] = data[at + 4 : upto]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        lines: list[list[list[str]] | None] = []
-        first, later = set(), set()
-        for text in texts:
-            words = text.split()
-            breaks = text.count("\n")
-            single = len(words) - 1 == text.count(" ") + breaks and sum(map(len, words)) + len(words) - 1 == len(text)
-            if not (self.apart and words and single) or SPACE in text or len(max(words, key=len)) > LONGEST:
-                lines.append(None)
-                continue
-            cut = [line.split(" ") for line in text.split("\n")] if breaks else [words]
-            lines.append(cut)
-            later.update(*cut[:1], *(line[1:] for line in cut[1:]))
-            first.update(line[0] for line in cut[1:])
-        self._learn(self.spaced, later, " ")
-        self._learn(self.bare, first, "")
-        spaced, bare, stop = self.spaced.__getitem__, self.bare, self.line_feed.tobytes()
-        out = []
-        for text, cut in zip(texts, lines):
-            if cut is None:
-                out.append(self._ids(text) if text else np.empty(0, "<i4"))
-                continue
-            parts = list(map(spaced, cut[0]))
-            for line in cut[1:]:
-                parts += (stop, bare[line[0]], *map(spaced, line[1:]))
-            out.append(np.frombuffer(b"".join(parts), dtype="<i4"))
-        return out
+    def word_ids(self, words: list[str], spaced: bool) -> list[list[int]]:
+        """Ids of words behind a blank, or behind a line feed."""
+        raise NotImplementedError
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.contents.__getitem__, ids.tolist()))
+    def spells(self, ids: np.ndarray, text: str) -> bool:
+        return b"".join(map(self.contents.__getitem__, ids.tolist())) == b" " + text.encode()
 
 
 class ByteSide(Side):
@@ -106,11 +68,31 @@ class ByteSide(Side):
         self.apart = self.tokenizer.normalizer is None and [p for p, _ in splitter.pre_tokenize_str(" a b\nc\n d")] == [
             "Ġa", "Ġb", "Ċ", "c", "Ċ", "Ġd"
         ]
+        self.characters = dict(enumerate(byte_characters()))
+        self.stops = {stop: self.tokenizer.encode(stop, add_special_tokens=False).ids for stop in STOPS}
         super().__init__()
 
-    def _ids(self, text: str) -> np.ndarray:
+    def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, dtype="<i4")
 
+    def word_ids(self, words: list[str], spaced: bool) -> list[list[int]]:
+        merge, before = self.tokenizer.model.tokenize, " " if spaced else ""
+        out, others = [], []
+        for k, word in enumerate(words):
+            core = word[:-1] if word[-1] in STOPS else word
+            # Latin letters are one piece in any version of Unicode, and a stop behind them another.
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+                piece = (before + core).encode().decode("latin-1").translate(self.characters)
+                ids = [token.id for token in merge(piece)]
+                out.append(ids if len(core) == len(word) else ids + self.stops[word[-1]])
+            else:
+                out.append([])
+                others.append(k)
+        encoded = self.tokenizer.encode_batch_fast([before + words[k] for k in others], add_special_tokens=False)
+        for k, found in zip(others, encoded):
+            out[k] = found.ids
+        return out
+
 
 class PieceSide(Side):
     """A piece model with byte fallback, which puts a blank before a text by itself."""
@@ -125,13 +107,83 @@ class PieceSide(Side):
         self.apart = not any("\n" in p or (SPACE in p[1:] and p.strip(SPACE)) for p in pieces)
         super().__init__()
 
-    def _ids(self, text: str) -> np.ndarray:
+    def ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode([text], num_threads=1)[0], dtype="<i4")
 
+    def word_ids(self, words: list[str], spaced: bool) -> list[list[int]]:
+        if spaced:
+            return self.model.encode(words, num_threads=1)
+        # The blank that the model puts first, and the line feed, are two tokens.
+        return [ids[2:] for ids in self.model.encode(["\n" + word for word in words], num_threads=1)]
+
+
+class Encoder:
+    """Both sides of texts. Words between single blanks and line feeds are encoded once and remembered, up to a fixed
+    number; other texts are encoded as a whole. A text that the tokens of a side do not spell has none."""
+
+    def __init__(self, a: Side, b: Side):
+        self.sides, self.apart = (a, b), a.apart and b.apart
+        # Of each side: ids of words behind a blank, and of words behind a line feed.
+        self.known: tuple[tuple[dict[str, bytes], ...], ...] = (({}, {}), ({}, {}))
+        self.misspelt: set[str] = set()
+
+    def _learn(self, kind: int, words: set[str]) -> None:
+        known = self.known[0][kind]
+        new = [word for word in words if word not in known]
+        if len(known) + len(new) > REMEMBERED:
+            for side in self.known:
+                side[kind].clear()
+            new = list(words)
+        if not new:
+            return
+        whole = b"".join([(" " + word if kind == 0 else word).encode() for word in new])
+        for side, store in zip(self.sides, self.known):
+            ids = side.word_ids(new, kind == 0)
+            data = np.fromiter(chain.from_iterable(ids), dtype="<i4").tobytes()
+            at = 0
+            for word, found in zip(new, ids):
+                upto = at + 4 * len(found)
+                store[kind][word] = data[at:upto]
+                at = upto
+            if b"".join(map(side.contents.__getitem__, chain.from_iterable(ids))) != whole:
+                self.misspelt.update(w for w in new if not side.spells(side.ids(w), w))
+
+    def _cut(self, text: str) -> list[list[str]] | None:
+        """Lines of words, if the text is nothing but short words between single blanks and line feeds."""
+        words = text.split()
+        breaks = text.count("\n")
+        single = len(words) - 1 == text.count(" ") + breaks and sum(map(len, words)) + len(words) - 1 == len(text)
+        if not (self.apart and words and single) or SPACE in text or len(max(words, key=len)) > LONGEST:
+            return None
+        return [line.split(" ") for line in text.split("\n")] if breaks else [words]
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        cuts = [self._cut(text) for text in texts]
+        known = [cut for cut in cuts if cut is not None]
+        self._learn(0, set().union(*(line[1:] for cut in known for line in cut[1:]), *(cut[0] for cut in known)))
+        self._learn(1, {line[0] for cut in known for line in cut[1:]})
+        out: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        none = np.empty(0, "<i4")
+        for text, cut in zip(texts, cuts):
+            if cut is None:
+                ids = [side.ids(text) for side in self.sides] if text else [none, none]
+                good = bool(text) and all(side.spells(i, text) for side, i in zip(self.sides, ids))
+            else:
+                good = not self.misspelt or not any(word in self.misspelt for line in cut for word in line)
+                ids = []
+                for side, (spaced, bare) in zip(self.sides, self.known):
+                    parts, stop = list(map(spaced.__getitem__, cut[0])), side.line_feed.tobytes()
+                    for line in cut[1:]:
+                        parts += (stop, bare[line[0]], *map(spaced.__getitem__, line[1:]))
+                    ids.append(np.frombuffer(b"".join(parts), dtype="<i4"))
+            for found, i in zip(out, ids):
+                found.append(i if good else none)
+        return out
+
 
 @lru_cache(maxsize=2)
-def _sides(byte_path: str, piece_path: str) -> tuple[Side, Side]:
-    return ByteSide(byte_path), PieceSide(piece_path)
+def _encoder(byte_path: str, piece_path: str) -> Encoder:
+    return Encoder(ByteSide(byte_path), PieceSide(piece_path))
 
 
 def _tokens(ids: list[np.ndarray], side: Side) -> pd.DataFrame:
@@ -240,15 +292,10 @@ ADDED = StructType(
 )
 
 
-def _aligned(texts: list[str], a_side: Side, b_side: Side) -> list[pa.Array]:
+def _aligned(texts: list[str], encoder: Encoder) -> list[pa.Array]:
     """The added columns of a batch of texts."""
-    ids_a, ids_b = a_side.encode(texts), b_side.encode(texts)
-    for k, text in enumerate(texts):
-        if text:
-            whole = b" " + text.encode()
-            if a_side.joined(ids_a[k]) == whole and b_side.joined(ids_b[k]) == whole:
-                continue
-        ids_a[k] = ids_b[k] = np.empty(0, "<i4")
+    ids_a, ids_b = encoder.encode(texts)
+    a_side, b_side = encoder.sides
     rows, widths = len(texts), (len(a_side.contents), len(b_side.contents))
     a, b = _tokens(ids_a, a_side), _tokens(ids_b, b_side)
     groups = grouped(a, b)
@@ -292,10 +339,10 @@ def align_transcripts(transcripts: DataFrame, byte_path: str, piece_path: str) -
     at = names.index("text")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = _sides(byte_path, piece_path)
+        encoder = _encoder(byte_path, piece_path)
         for batch in by_bytes(batches, at, BATCH_BYTES):
             texts = [text or "" for text in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *_aligned(texts, *sides)], [*names, *ADDED.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_aligned(texts, encoder)], [*names, *ADDED.names])
 
     return rows.mapInArrow(align, StructType([*rows.schema.fields, *ADDED.fields]))
 
