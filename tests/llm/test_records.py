@@ -247,3 +247,105 @@ def test_archives(spark, tmp_path):
         list(archives.frames(archive[:-3]))
     empty = f"file://{tmp_path}/e"
     assert archives.write_archives(df.limit(0), empty).collect() == [] and archives.read_archives(spark, empty).collect() == []
+
+
+def template_page(k, body=None):
+    """An article between a greeting, a row of links and a small print that no tag or class marks."""
+    body = body or [f"Article {k} says thing {i} of its own, at some length." for i in range(3)]
+    return (
+        "<html><body><div><p>Welcome to our site</p><p>All the news since 1999</p></div>"
+        + f"<div><h1>Title {k}</h1>" + "".join(f"<p>{t}</p>" for t in body) + "</div><div><p>Write to us any time</p></div></body></html>"
+    )
+
+
+def test_text_that_a_host_repeats_is_template(spark):
+    """The wrapper decides: the same pages read by their own tags give other text."""
+    pages = [template_page(k) for k in range(12)]
+    wrapper = wrappers.infer_wrapper(pages)
+    text, fitted = wrappers.extracted(template_page(77), wrapper)
+    alone, _ = wrappers.extracted(template_page(77), None)
+    assert fitted and text == "\n".join(["Title 77", *(f"Article 77 says thing {i} of its own, at some length." for i in range(3))])
+    assert alone == "\n".join(["Welcome to our site", "All the news since 1999", text, "Write to us any time"])
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in wrappers.extract_pages(df).collect()}
+    assert all(found[k].startswith(f"Title {k}\n") and "Welcome" not in found[k] and "Write" not in found[k] for k in found)
+
+
+def test_copies_of_a_page_are_no_template():
+    same = ["The very same article on every page of this host."] * 3
+    pages = [template_page(k, same) for k in range(12)]
+    text, fitted = wrappers.extracted(pages[0], wrappers.infer_wrapper(pages))
+    assert fitted and same[0] in text
+    assert wrappers.template_slots([{"s1": ["a"], "s2": [f"b{k}"]} for k in range(3)]) == set()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<p>yes <span class="ad">Buy now</span> more</p><amp-ad>ADVERT</amp-ad><span hidden>secret</span><ins class="advert">Sale</ins>', "yes more"),
+        ('<article><div class="notice-period"><p>real text</p></div><div class="post-share-price"><p>too</p></div></article>', "real text\ntoo"),
+        ('<div class="cookie-banner">c</div><div class="site-footer">f</div><div class="comments-area">x</div><p>stays</p>', "stays"),
+        ('<p>a <ins class="ad">never closed</p><p>b</p>', "a\nb"),
+        ('<p>a <ins class="ad"><div>x</div>y</ins> b</p><p>c</p>', "a b\nc"),
+        ('<p>a <span class="ad">x <span>y</span> z</span>b <img class="ad"> c <b>d</b></p>', "a b c d"),
+    ],
+)
+def test_inline_elements_and_whole_names(page, text):
+    assert wrappers.extracted(page, None)[0] == text
+
+
+def test_long_pages_have_wrappers(monkeypatch):
+    """Thousands of tags in cycles too long for a repeated group, and a page that has one element more."""
+    order = "div section pre blockquote table ul dl figure address details".split() * 250
+
+    def page(k, more=""):
+        inner = "".join(f"<{t}>text {k} {i}</{t}>" for i, t in enumerate(order))
+        return f"<html><body><article>{inner}{more}</article></body></html>"
+
+    pages = [page(0), page(1), page(2, "<hr>last")]
+    for cells in (1 << 20, 0):
+        monkeypatch.setattr(wrappers, "TABLE_CELLS", cells)
+        wrapper = wrappers.infer_wrapper(pages)
+        assert all(wrappers.extracted(p, wrapper)[1] for p in pages)
+
+
+def test_common_items(monkeypatch):
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 12))] for _ in range(2))
+        lengths = []
+        for cells in (1 << 20, 0):
+            monkeypatch.setattr(wrappers, "TABLE_CELLS", cells)
+            pairs = wrappers.common_items(a, b)
+            assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+            lengths.append(len(pairs))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        assert lengths[0] == table[-1][-1] >= lengths[1]
+
+
+def test_calls_without_a_place(spark):
+    calls = [(1, None, "a", None, "{}", None, ""), (1, 4, "b", "cut", '{"start":1}', ["a"], ""), (1, None, "c", "cut", '{"start":1}', ["b"], ""),
+             (1, 2, "d", "cut", '{"start":1}', ["e"], ""), (1, 2, "e", "cut", '{"start":1}', ["d"], ""), (1, 2, "f", "cut", "{}", ["d", "g"], "")]
+    none = spark.createDataFrame([], RESULTS)
+    at = {r.call_id: r for r in tool_links.link_calls(spark.createDataFrame(calls, CALLS), none, SCHEMAS).collect()}
+    assert at["a"].status == "pending" and at["a"].errors == ["unknown tool"] and at["a"].rank is None
+    assert at["b"].dangling == 0 and (at["b"].rank, at["c"].rank) == (4, 4) and at["c"].level == 1
+    assert all(at[c].cyclic and at[c].level is None for c in "def") and at["f"].dangling == 1
+
+
+def test_pairs_near_the_threshold_are_found(spark):
+    """Recall at a cosine just above the bound, which the tables must find in nine of ten cases."""
+    g = np.random.default_rng(5)
+    rows, dimension, pairs = [], 64, 600
+    for k in range(pairs):
+        a, b = g.standard_normal((2, dimension))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        rows += [(2 * k, a.tolist()), (2 * k + 1, (0.901 * a + np.sqrt(1 - 0.901**2) * b).tolist())]
+    found = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    linked = found.filter("vec_id % 2 = 0 AND n_links > 0").count()
+    assert 0.9 * pairs <= linked <= pairs

@@ -257,3 +257,43 @@ def test_topics(spark):
     df = spark.createDataFrame([("a | b",), ("me@x",), ("plain",), (None,)], "text string")
     topics = {"contact": ("@",), "table": (" | ",)}
     assert [r[0] for r in df.select(raking.topic_of(df.text, topics)).collect()] == ["table", "contact", "prose", "prose"]
+
+
+def test_texts_with_more_windows_than_positions_fit(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "PLACE_BITS", 8)
+    r = random.Random(9)
+    texts = [" ".join([f"w{r.randrange(100_000)}" for _ in range(300)] + ["a b c", *(f"v{r.randrange(100_000)}" for _ in range(297)), "a b c"]) for _ in range(20)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "file_id long, text string")
+    rows = quality_rules.measured(df, ["file_id"]).collect()
+    assert {r.file_id: tuple(r)[1:] for r in rows} == {i: measures(t) for i, t in enumerate(texts)} and all(r.repeated_words == 6 for r in rows)
+
+
+@pytest.mark.parametrize("distance", [1, 2, 3, 5])
+def test_crowded_entries_at_any_distance(spark, distance):
+    r = random.Random(distance)
+    prints = set()
+    for base in (r.getrandbits(63), r.getrandbits(63)):
+        for _ in range(40):
+            value = base
+            for _ in range(r.randint(0, 4)):
+                value ^= 1 << r.randrange(12)
+            prints.add(value)
+    df = spark.createDataFrame([(p,) for p in prints], "fingerprint long")
+    links = simhash.fingerprint_links(df, distance, segments=4, crowded=2)
+    found = {x.id: x.component_id for x in connected(links, "a", "b").collect()}
+    want = groups_of({p: p for p in prints}, distance)
+    assert {p: found.get(p, p) for p in prints} == want
+
+
+def test_ids_of_any_type(spark):
+    rows = [("/in/b.mp4", "same words here now"), ("/in/a.mp4", "same words here now"), (None, "same words here now"), ("/in/c.mp4", None)]
+    found = simhash.near_transcripts(spark.createDataFrame(rows, "file_id string, text string")).collect()
+    assert sorted((r.file_id or "", r.component_id) for r in found) == [("", "/in/a.mp4"), ("/in/a.mp4", "/in/a.mp4"), ("/in/b.mp4", "/in/a.mp4"), ("/in/c.mp4", "/in/c.mp4")]
+
+
+def test_fitting_that_does_not_converge_says_so(spark):
+    rows = [("a", "x", 10), ("b", "y", 10)]
+    cells = spark.createDataFrame(rows, "folder string, language string, tokens long")
+    off = raking.rake(cells, {"folder": {"a": 1, "b": 3}, "language": {"x": 3, "y": 1}}, sweeps=4).first().margin_error
+    fits = raking.rake(cells, {"folder": {"a": 1, "b": 3}, "language": {"x": 1, "y": 3}}).first().margin_error
+    assert off > 0.1 and fits <= 1e-6

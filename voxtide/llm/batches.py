@@ -10,9 +10,12 @@ import pyarrow.compute as pc
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """The rows in order, in batches whose ``column`` (string or binary) holds ``most`` bytes at most, or one row."""
+    """The rows in order, in batches whose ``column`` (string, binary or a list of ints) holds ``most`` bytes at most, or
+    one row."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        values = batch.column(column)
+        lengths = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+        sizes = pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         at, before = 0, 0
         while at < batch.num_rows:

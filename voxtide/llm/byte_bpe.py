@@ -15,8 +15,11 @@ from tokenizers import Regex, Tokenizer
 from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
-# Encoded words that a worker remembers (some 200 bytes each), and the longest of them in characters.
-REMEMBERED, LONGEST = 400_000, 48
+from voxtide.llm.batches import by_bytes, list_column
+
+# Encoded words that a worker remembers (some 200 bytes each), the longest of them in characters, and the bytes of
+# texts or ids worked on at once.
+REMEMBERED, LONGEST, BATCH_BYTES = 400_000, 48, 1 << 20
 
 
 def byte_characters() -> list[str]:
@@ -121,19 +124,6 @@ def character_starts(lengths: np.ndarray, text: bytes) -> np.ndarray:
     return character[np.cumsum(lengths) - lengths] if len(lengths) else np.empty(0, np.int32)
 
 
-def _list_of(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(arrays) + 1, dtype=np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    values = np.concatenate(arrays) if arrays else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32, copy=False), pa.int32()))
-
-
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def encode_transcripts(transcripts: DataFrame, path: str, pattern: str) -> DataFrame:
     """All columns of the transcripts, and ``token_ids``, ``char_starts`` (array<int>) of the whole ``text``.
 
@@ -151,11 +141,11 @@ def encode_transcripts(transcripts: DataFrame, path: str, pattern: str) -> DataF
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
         lengths = np.array([len(token) for token in token_bytes(path)], dtype=np.int64)
-        for batch in _parts(batches):
+        for batch in by_bytes(batches, at, BATCH_BYTES):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             ids = [encoder.encode(t) for t in texts]
             starts = [character_starts(lengths[i], t.encode()) for i, t in zip(ids, texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _list_of(ids), _list_of(starts)], [*names, "token_ids", "char_starts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, list_column(ids), list_column(starts)], [*names, "token_ids", "char_starts"])
 
     ints = ArrayType(IntegerType(), False)
     return rows.mapInArrow(encode, StructType([*rows.schema.fields, StructField("token_ids", ints), StructField("char_starts", ints)]))
@@ -165,7 +155,8 @@ def decode_tokens(tokens: DataFrame, path: str) -> DataFrame:
     """All columns, and what ``token_ids`` stand for: ``content`` (binary) and ``decoded`` (string).
 
     The bytes are exact for any ids. In ``decoded``, bytes that are no whole character, as at the edges of a
-    slice of ids that splits one, become U+FFFD. Null ids stay null; an id that the vocabulary lacks is an error.
+    slice of ids that splits one, become U+FFFD. Null ids stay null; an id that the vocabulary lacks is an error. Columns
+    named ``content`` or ``decoded`` are replaced; an empty table gives no rows.
     """
     rows = tokens.drop("content", "decoded")
     names = rows.columns
@@ -173,7 +164,7 @@ def decode_tokens(tokens: DataFrame, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
-        for batch in _parts(batches):
+        for batch in by_bytes(batches, at, BATCH_BYTES):
             column = batch.column(at)
             ids = [None if x is None else x.tolist() for x in (v.values.to_numpy() if v.is_valid else None for v in column)]
             if any(min(x) < 0 for x in ids if x):

@@ -12,7 +12,7 @@ from voxtide.session import cut_lineage
 # ASCII white space; everything else belongs to words.
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-# Of a packed window: enough for texts of 16 million words.
+# Of a packed window: texts of over 16 million windows are sorted by their whole hashes instead.
 PLACE_BITS = 24
 MEASURES = ("words", "word_chars", "symbols", "repeated_lines", "repeated_words")
 
@@ -43,7 +43,7 @@ def measured(transcripts: DataFrame, keep: list[str]) -> DataFrame:
     A word is in a repeated window when a window of three words that holds it occurs twice or more. Windows are
     hashed; the upper bits of each hash, with the window's position in the lower ones, are sorted as plain numbers, equal
     neighbours keep their positions, and the union of their windows is measured. Where neighbours agree in the upper
-    bits alone, that text sorts the whole hashes instead.
+    bits alone, or positions need more bits than there are, that text sorts the whole hashes instead.
     """
     rows = transcripts.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     rows = rows.select(*keep, "_text", _words(F.col("_text")).alias("_w"))
@@ -68,7 +68,7 @@ def measured(transcripts: DataFrame, keep: list[str]) -> DataFrame:
         lambda x: F.coalesce(x, F.lit(False)),
     )
     whole = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = rows.select(*keep, *MEASURES[:4], "_t", F.when(clash, whole).alias("_f"))
+    rows = rows.select(*keep, *MEASURES[:4], "_t", F.when((F.size("_h") > 1 << PLACE_BITS) | clash, whole).alias("_f"))
     places = F.when(
         F.col("_f").isNotNull(), F.transform(_twins("_f", lambda x, y: x["h"] == y["h"]), lambda x: x["i"])
     ).otherwise(F.transform("_t", place))

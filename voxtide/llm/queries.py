@@ -74,17 +74,39 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def near_vectors_altered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors beside altered ones, as the given ones are far from each other: every other vector again three times
+    as long, without its first component, and without its first four."""
+    given = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    every = given
+    for cut in (1, 4):
+        altered = F.expr(f"transform(embedding, (x, i) -> IF(i < {cut}, 0.0D, x * 3.0D))")
+        every = every.union(given.filter("vec_id % 2 = 0").select((F.col("vec_id") + F.lit(cut * 1_000_000_000).cast("bigint")).alias("vec_id"), altered.alias("embedding")))
+    return vector_dedup.near_vectors(every)
+
+
 def op5_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as sessions: what a user or the system says is a call, needing the one before, and the
-    assistant's turn is the result of the call one turn earlier."""
+    assistant's turn is the result of the call one turn earlier.
+
+    Logs are never in order: some calls are logged early or late, so before or together with what they need; some need
+    each other, or calls that the session lacks; some have arguments that are no JSON or break the schema, or an unknown tool.
+    """
     turns = _table(spark, sf_dir, "conversations").withColumn("id", F.concat(F.lit("turn-"), F.col("turn").cast("string")))
+    size = F.length(F.coalesce("text", F.lit("")))
+    early, late = (F.col("conv_id") + F.col("turn")) % 4 == 1, (F.col("conv_id") + F.col("turn")) % 6 == 2
+    needs = F.array(
+        F.when(F.col("turn") >= 2, F.concat(F.lit("turn-"), (F.col("turn") - 2).cast("string"))),
+        F.when((F.col("conv_id") % 5 == 3) & (F.col("turn") % 4 < 2), F.concat(F.lit("turn-"), (F.col("turn") + 2).cast("string"))),
+        F.when(size % 7 == 0, F.concat(F.lit("lost-"), size.cast("string"))),
+    )
     asked = turns.filter("role <> 'assistant'").select(
         F.col("conv_id").alias("session_id"),
-        F.col("turn").alias("seq"),
+        F.when(early, F.greatest(F.col("turn") - 5, F.lit(0))).when(late, F.col("turn") + 4).otherwise(F.col("turn")).cast("bigint").alias("seq"),
         F.col("id").alias("call_id"),
-        F.when(F.col("role") == "system", "configure").otherwise("answer").alias("tool"),
-        F.to_json(F.struct("turn", "text")).alias("arguments"),
-        F.when(F.col("turn") >= 2, F.array(F.concat(F.lit("turn-"), (F.col("turn") - 2).cast("string")))).alias("after"),
+        F.when(F.col("role") == "system", "configure").when(size % 13 == 0, "unlisted").otherwise("answer").alias("tool"),
+        F.when(size % 11 == 0, '{"text":').when(size % 17 == 0, '{"turn":-1}').otherwise(F.to_json(F.struct("turn", "text"))).alias("arguments"),
+        needs.alias("after"),
     )
     answered = turns.filter("role = 'assistant'").select(
         F.col("conv_id").alias("session_id"),
@@ -93,9 +115,8 @@ def op5_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"),
     )
     linked = tool_links.link_calls(asked, answered, CALL_SCHEMAS)
-    return linked.select(
-        F.col("session_id").alias("conv_id"), "call_id", "seq", "result_seq", "status", "rank", "level", "dangling", "valid", "message"
-    )
+    names = ("call_id", "seq", "result_seq", "status", "rank", "level", "cyclic", "dangling", "valid", "message")
+    return linked.select(F.col("session_id").alias("conv_id"), *names, F.array_join("errors", "; ").alias("errors"))
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,4 +251,4 @@ _ALL = (
     op12_periodic_runs,
     op13_token_alignment,
 )
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*_ALL, near_vectors_altered)}

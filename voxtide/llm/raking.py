@@ -47,7 +47,9 @@ def rake(cells: DataFrame, targets: Mapping[str, Targets], sweeps: int = 50, tol
 
     ``cells`` has one row, with its sum of ``tokens``, for each combination of the margins (the keys of ``targets``)
     that occurs. A sweep scales to each margin in turn; sweeps go on until no margin is off by over ``tolerance`` of
-    all tokens, at most ``sweeps`` times where the targets contradict each other. Returns the cells with ``factor``.
+    all tokens, at most ``sweeps`` times where the targets contradict each other. Returns the cells with ``factor`` and
+    ``margin_error``, how far the worst margin was off in the last sweep, as a share of all tokens: over ``tolerance`` it
+    says that the fitting did not converge.
 
     All of it works on the cell table, which has a row for each combination and not for each document.
     """
@@ -57,7 +59,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Targets], sweeps: int = 50, tol
     for margin, wanted in targets.items():
         want = margin_targets(now, margin, wanted, total)
         now = now.join(want, now[margin].eqNullSafe(want["_value"]), "left").drop("_value")
-    now = cut_lineage(now.withColumn("factor", F.lit(1.0)))
+    now, error = cut_lineage(now.withColumn("factor", F.lit(1.0))), 0.0
     for _ in range(sweeps):
         off = []
         for margin in margins:
@@ -68,9 +70,10 @@ def rake(cells: DataFrame, targets: Mapping[str, Targets], sweeps: int = 50, tol
         now = cut_lineage(now.drop("_has"))
         worst = now.agg(*[F.max(c) for c in off]).first()
         now = now.drop(*off)
-        if max((x or 0.0 for x in worst), default=0.0) <= tolerance * total:
+        error = max((x or 0.0 for x in worst), default=0.0) / total if total else 0.0
+        if error <= tolerance:
             break
-    return now.select(*margins, "tokens", "factor")
+    return now.select(*margins, "tokens", "factor", F.lit(error).alias("margin_error"))
 
 
 def calibrated_scale(raked: DataFrame, share: float) -> float:
@@ -105,24 +108,25 @@ def mix_transcripts(
     sweeps: int = 50,
     tolerance: float = 1e-6,
 ) -> DataFrame:
-    """All columns of the transcripts with ``weight``, ``probability`` and ``sampled``.
+    """All columns of the transcripts with ``weight``, ``probability``, ``sampled`` and ``margin_error``.
 
     Input columns are ``file_id``, ``tokens`` and the margins that ``targets`` names, as ``folder``, ``language`` and
     ``topic``; for each margin the wanted weights of its values, or a power of their own tokens (1 leaves the mix,
     0 evens it out). Token weights are raked to the margins; a transcript's ``probability`` is its weight times the
     scale at which ``share`` of all tokens are expected, at most 1. Where no cell reaches 1, the expected tokens of
     every margin are in the wanted proportion; a smaller share leaves more room. ``sampled`` compares the probability with a
-    number drawn from a hash of ``seed`` and ``file_id``: the same in every run and partition.
+    number drawn from a hash of ``seed`` and ``file_id``: the same in every run and partition. ``margin_error`` is how far the
+    worst margin is from its target, as a share of all tokens: over ``tolerance`` where ``sweeps`` did not suffice.
 
     A null value of a margin is a value. Null or negative tokens count as 0, but such rows are drawn with their
     cell; a cell without tokens keeps the factor of its margins. Repeated ids have the same draw, null ids as well.
-    Columns named like the three new ones are replaced, others pass through; an empty table gives no rows.
+    Columns named like the four new ones are replaced, others pass through; an empty table gives no rows.
     """
-    rows = transcripts.drop("weight", "probability", "sampled")
+    rows = transcripts.drop("weight", "probability", "sampled", "margin_error")
     counted = rows.groupBy(*targets).agg(F.sum(F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0))).alias("tokens"))
     raked = rake(cut_lineage(counted), targets, sweeps, tolerance)
     scale = calibrated_scale(raked, share)
-    factors = cut_lineage(raked.select(*[F.col(m).alias(f"_m{i}") for i, m in enumerate(targets)], F.col("factor").alias("weight")))
+    factors = cut_lineage(raked.select(*[F.col(m).alias(f"_m{i}") for i, m in enumerate(targets)], F.col("factor").alias("weight"), "margin_error"))
     if factors.count() <= BROADCAST_CELLS:
         factors = F.broadcast(factors)
     same = reduce(Column.__and__, [rows[m].eqNullSafe(F.col(f"_m{i}")) for i, m in enumerate(targets)])
@@ -133,5 +137,5 @@ def mix_transcripts(
         rows.join(factors, same, "left")
         .withColumn("probability", F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.col("weight") * F.lit(scale))).otherwise(0.0))
         .withColumn("sampled", draw < F.col("probability"))
-        .select(*rows.columns, "weight", "probability", "sampled")
+        .select(*rows.columns, "weight", "probability", "sampled", "margin_error")
     )

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from voxtide.llm.components import connected
 from voxtide.session import cut_lineage
@@ -41,7 +42,7 @@ def fingerprint_of(text: bytes, width: int, seed: int) -> int:
 
 
 def transcript_fingerprints(transcripts: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """``file_id, text`` to ``file_id, fingerprint`` (bigint); null and wordless texts have fingerprint 0."""
+    """``file_id, text`` to ``file_id, fingerprint`` (bigint); null and wordless texts have fingerprint 0. Ids of any type."""
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,8 +50,8 @@ def transcript_fingerprints(transcripts: DataFrame, width: int = 4, seed: int =
             prints = [fingerprint_of(t.as_py() or b"", width, seed) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["file_id", "fingerprint"])
 
-    rows = transcripts.select(F.col("file_id").cast("bigint").alias("file_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(fingerprints, "file_id bigint, fingerprint bigint")
+    rows = transcripts.select("file_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(fingerprints, StructType([rows.schema["file_id"], StructField("fingerprint", LongType())]))
 
 
 def _signed(value: int) -> int:
@@ -93,14 +94,23 @@ def _entries(prints: DataFrame, plan: list[tuple[int, int]], probe: bool) -> Dat
     return rows.select("fingerprint", "t", F.col("s").bitwiseXOR(F.col("f")).alias("v"))
 
 
-def _centres(prints: DataFrame) -> DataFrame:
-    """Links, without pairs, between fingerprints at most 4 bits apart: those have a value within 2 bits of both."""
-    bit = lambda i: f"IF({i} < 64, shiftleft(1L, {i}), 0L)"
-    near = prints.select("fingerprint", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
-    near = near.select("fingerprint", "i", F.explode(F.expr("IF(i < 64, sequence(i + 1, 64), array(64))")).alias("j"))
-    near = near.select("fingerprint", F.expr(f"fingerprint ^ {bit('i')} ^ {bit('j')}").alias("centre"))
-    first = near.groupBy("centre").agg(F.min("fingerprint").alias("b"))
-    return near.join(first, "centre").filter("fingerprint > b").select(F.col("fingerprint").alias("a"), "b").distinct()
+def _around(prints: DataFrame, radius: int) -> DataFrame:
+    """All values ``centre`` within ``radius`` bits of each fingerprint, once each: bits are flipped in rising order, and 64
+    stands for no further flip."""
+    near = prints.select("fingerprint", F.lit(-1).alias("i"), F.col("fingerprint").alias("centre"))
+    for _ in range(radius):
+        near = near.select("fingerprint", "centre", F.explode(F.expr("IF(i < 64, sequence(i + 1, 64), array(64))")).alias("i"))
+        near = near.withColumn("centre", F.expr("centre ^ IF(i < 64, shiftleft(1L, i), 0L)"))
+    return near.select("fingerprint", "centre")
+
+
+def _centres(prints: DataFrame, distance: int) -> DataFrame:
+    """Links, without pairs, between fingerprints at most ``distance`` bits apart: those have a value within half of it
+    (rounded up) of one and half of it (rounded down) of the other, and what shares one so is no further apart."""
+    near = _around(prints, (distance + 1) // 2)
+    closest = near if distance % 2 == 0 else _around(prints, distance // 2)
+    first = closest.groupBy("centre").agg(F.min("fingerprint").alias("b"))
+    return near.join(first, "centre").filter("fingerprint <> b").select(F.col("fingerprint").alias("a"), "b").distinct()
 
 
 def fingerprint_links(prints: DataFrame, distance: int = 4, segments: int = 3, crowded: int = 2_000) -> DataFrame:
@@ -110,8 +120,8 @@ def fingerprint_links(prints: DataFrame, distance: int = 4, segments: int = 3, c
     its own segment and the whole distance of what it meets is verified. Every pair within ``distance`` meets.
 
     A table entry with over ``crowded`` fingerprints (many variants of one text) is not paired: what meets in it is
-    linked through common centres, which costs a fixed 2,081 rows for each fingerprint however many there are. That
-    holds for distances up to 4; the centres link nothing else. Segments should have about as many bits as
+    linked through common centres, which costs a fixed number of rows for each fingerprint however many there are (2,081
+    at a distance of 4, 65 at 2, 43,745 at 6); the centres link nothing else. Segments should have about as many bits as
     the number of fingerprints: 3 up to some hundred million, 2 above.
     """
     plan = segment_plan(segments, distance)
@@ -119,9 +129,7 @@ def fingerprint_links(prints: DataFrame, distance: int = 4, segments: int = 3, c
     full = cut_lineage(table.groupBy("t", "v").count().filter(F.col("count") > crowded).select("t", "v"))
     hubs = None
     if not full.isEmpty():
-        if distance != 4:
-            raise ValueError("crowded table entries are linked at a distance of 4 only")
-        hubs = _centres(probes.join(full, ["t", "v"]).select("fingerprint").distinct())
+        hubs = _centres(probes.join(full, ["t", "v"]).select("fingerprint").distinct(), distance)
         table = table.join(full, ["t", "v"], "left_anti")
     met = probes.withColumnRenamed("fingerprint", "a").join(table.withColumnRenamed("fingerprint", "b"), ["t", "v"])
     links = met.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
@@ -133,7 +141,8 @@ def near_transcripts(
 ) -> DataFrame:
     """Groups of transcripts whose SimHash fingerprints lie within ``distance`` bits, directly or through others.
 
-    ``file_id, text`` to ``file_id, fingerprint`` (bigint) and ``component_id``, the smallest ``file_id`` reachable.
+    ``file_id, text`` to ``file_id, fingerprint`` (bigint) and ``component_id``, the smallest ``file_id`` reachable; ids
+    are of any type that has an order, such as the paths of bulk transcription.
     Further columns of the input are ignored. Shingles are ``width`` words in lower case (A-Z only), counted as often
     as they occur. Null, empty and wordless texts have fingerprint 0 and form a group like any other. Repeated
     ``file_id`` values keep one row each; a null ``file_id`` gives a row that belongs to its fingerprint's group

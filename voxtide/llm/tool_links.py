@@ -93,25 +93,27 @@ def call_order(calls: DataFrame) -> DataFrame:
     Sorted by ``rank, level, seq, call_id``, every call comes after those in ``after``. Logs are mostly in order: then rank
     is ``seq`` and level 0, found by one join. A call before one that it needs takes that one's rank, and so on;
     calls that share a rank and need each other get levels, a layer a round. What no round frees lies on a
-    cycle or behind one. ``dangling`` counts needed calls that the session lacks.
+    cycle or behind one, and has no level. A call without ``seq`` has the greatest rank of what it needs, if any.
+    ``dangling`` counts needed calls that the session lacks.
     """
     heads = calls.select("session_id", "call_id", "seq")
     needs = calls.select("session_id", "call_id", F.explode(F.array_distinct("after")).alias("need")).filter("need IS NOT NULL")
-    there = heads.select("session_id", F.col("call_id").alias("need"), F.col("seq").alias("need_seq"))
+    there = heads.select("session_id", F.col("call_id").alias("need"), F.lit(True).alias("known"))
     edges = cut_lineage(needs.join(there, ["session_id", "need"], "left"))
-    missing = edges.filter("need_seq IS NULL").groupBy("session_id", "call_id").agg(F.count(F.lit(1)).alias("dangling"))
-    edges = edges.filter("need_seq IS NOT NULL").select("session_id", "call_id", "need")
+    missing = edges.filter("known IS NULL").groupBy("session_id", "call_id").agg(F.count(F.lit(1)).alias("dangling"))
+    edges = edges.filter("known").select("session_id", "call_id", "need")
     ranks = cut_lineage(heads.withColumn("rank", F.col("seq")))
     while True:
         need = ranks.select("session_id", F.col("call_id").alias("need"), F.col("rank").alias("need_rank"))
         raised = edges.join(need, ["session_id", "need"]).groupBy("session_id", "call_id").agg(F.max("need_rank").alias("least"))
-        new = ranks.join(raised, ["session_id", "call_id"], "left").withColumn("up", F.coalesce(F.col("least") > F.col("rank"), F.lit(False)))
+        higher = F.col("least").isNotNull() & (F.col("rank").isNull() | (F.col("least") > F.col("rank")))
+        new = ranks.join(raised, ["session_id", "call_id"], "left").withColumn("up", higher)
         new = cut_lineage(new.select("session_id", "call_id", "seq", F.when(F.col("up"), F.col("least")).otherwise(F.col("rank")).alias("rank"), "up"))
         ranks = new.drop("up")
         if new.filter("up").isEmpty():
             break
     own, other = (ranks.select("session_id", F.col("call_id").alias(c), F.col("rank").alias(r)) for c, r in (("call_id", "r1"), ("need", "r2")))
-    left = cut_lineage(edges.join(own, ["session_id", "call_id"]).join(other, ["session_id", "need"]).filter("r1 = r2").select("session_id", "call_id", "need"))
+    left = cut_lineage(edges.join(own, ["session_id", "call_id"]).join(other, ["session_id", "need"]).filter("r1 <=> r2").select("session_id", "call_id", "need"))
     levels, level = None, 0
     while not left.isEmpty():
         waiting = left.select("session_id", "call_id").distinct()
@@ -121,7 +123,7 @@ def call_order(calls: DataFrame) -> DataFrame:
         level += 1
         ready = cut_lineage(ready.withColumn("level", F.lit(level)))
         if ready.isEmpty():
-            stuck = waiting.withColumn("level", F.lit(level)).withColumn("cyclic", F.lit(True))
+            stuck = waiting.withColumn("level", F.lit(None).cast("int")).withColumn("cyclic", F.lit(True))
             levels = stuck if levels is None else levels.union(stuck)
             break
         done = ready.withColumn("cyclic", F.lit(False))
@@ -134,7 +136,7 @@ def call_order(calls: DataFrame) -> DataFrame:
         "session_id",
         "call_id",
         "rank",
-        F.coalesce("level", F.lit(0)).alias("level"),
+        F.when(F.coalesce("cyclic", F.lit(False)), F.lit(None)).otherwise(F.coalesce("level", F.lit(0))).alias("level"),
         F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
         F.coalesce("dangling", F.lit(0)).cast("bigint").alias("dangling"),
     )
@@ -153,7 +155,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mappi
     tool without schema is one of them. ``message`` has the keys arguments, call_id, name and result, sorted.
 
     Joined by session and call id, so calls of one long session are spread. Null ids of session or call link with
-    nothing: such calls are pending, such results orphans. Null or empty arguments are no JSON; a null content is a
+    nothing: such calls are pending, such results orphans. A call without ``seq`` or ``tool`` is a call all the same; its
+    tool is unknown, and it sorts by what it needs or has as a result. Null or empty arguments are no JSON; a null content is a
     JSON null. Equal results are returned one by one. Further columns are ignored, empty tables give no rows of
     their side.
     """
@@ -162,11 +165,11 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mappi
     order = ["seq", "tool", "arguments", "after"]
     first = rows.filter(named).groupBy("session_id", "call_id").agg(F.min(F.struct(*order)).alias("c"), F.count(F.lit(1)).alias("n"))
     first = cut_lineage(first.select("session_id", "call_id", "c.*", "n"))
-    heads = first.drop("n").join(call_order(first), ["session_id", "call_id"])
+    heads = first.drop("n").join(call_order(first), ["session_id", "call_id"]).withColumn("called", F.lit(True))
     given = results.select("session_id", "call_id", F.col("seq").alias("result_seq"), "content").withColumn("has", F.lit(True))
     linked = heads.drop("after").hint("shuffle_hash").join(given, ["session_id", "call_id"], "full_outer")
-    status = F.when(F.col("rank").isNull() & F.col("tool").isNull() & F.col("seq").isNull(), "orphan").when(F.col("has"), "linked").otherwise("pending")
-    linked = linked.withColumn("status", status)
+    status = F.when(F.col("called").isNull(), "orphan").when(F.col("has"), "linked").otherwise("pending")
+    linked = linked.withColumn("status", status).drop("called")
     # Further calls of a used id: all rows of it but one that equals the first.
     again = first.filter("n > 1").select("session_id", "call_id", F.struct(*order).alias("f"))
     further = rows.filter(named).join(again, ["session_id", "call_id"]).groupBy("session_id", "call_id", *order, "f").count()

@@ -342,15 +342,13 @@ def decode_tokens(tokens: DataFrame, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _names(path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                texts = []
-                for ids in part.column(at):
-                    found = ids.values.to_numpy().tolist() if ids.is_valid else None
-                    if found and min(found) < 0:
-                        raise ValueError("token ids start at 0")
-                    texts.append(None if found is None else " ".join([names[i] for i in found]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*columns, "decoded"])
+        for batch in by_bytes(batches, at, BATCH_BYTES):
+            texts = []
+            for ids in batch.column(at):
+                found = ids.values.to_numpy().tolist() if ids.is_valid else None
+                if found and min(found) < 0:
+                    raise ValueError("token ids start at 0")
+                texts.append(None if found is None else " ".join([names[i] for i in found]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*columns, "decoded"])
 
     return rows.mapInArrow(decode, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
