@@ -46,18 +46,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; of rows that share it, the first by text.
+    """One document of each group of near copies, that with the smallest id; of its rows with one text, one.
 
+    Rows are judged by id and text: those that share an id but are no copies of each other stay beside each other.
     Rows without an id name no group and stay.
     """
     rows = docs.select(*COLUMNS)
-    known = rows.filter("doc_id IS NOT NULL")
-    groups = simhash.near_transcripts(known.select(F.col("doc_id").alias("file_id"), "text"))
-    first = groups.filter("file_id = component_id").select(F.col("file_id").alias("doc_id")).distinct()
-    kept = known.join(first, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    kept = kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-    return kept.union(rows.filter("doc_id IS NULL"))
+    known = rows.filter("doc_id IS NOT NULL").withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("h")))
+    groups = simhash.near_transcripts(known.select(F.col("_row").alias("file_id"), "text"))
+    first = groups.filter("file_id = component_id").groupBy(F.col("file_id").alias("_row")).agg(F.count(F.lit(1)).alias("_copies"))
+    kept = known.join(first, "_row")
+    # Only rows that are there more than once are ordered.
+    order = Window.partitionBy("_row").orderBy("lang", "source", "n_chars")
+    more = kept.filter("_copies > 1").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return kept.filter("_copies = 1").select(*COLUMNS).union(more.select(*COLUMNS)).union(rows.filter("doc_id IS NULL"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
