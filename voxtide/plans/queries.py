@@ -938,7 +938,7 @@ def stream_detect(spark, sf):
     rows = views.frames(spark, sf)
     ends = rows.groupBy("file_id").agg(F.max("frame_idx").alias("_last"))
     rows = rows.join(ends, "file_id").select("file_id", "start_sample", "end_sample", "dbfs", (F.col("frame_idx") == F.col("_last")).alias("is_last"))
-    stream = runs.land(rows, "frames")
+    stream = runs.land(rows, "frames", ["file_id", "start_sample"])
     found = runs.drain(stateful.stream_detect(stream, views.ADAPTIVE), "detected")
     return found.filter("error IS NULL").drop("error")
 
@@ -948,7 +948,9 @@ def stream_transcripts(spark, sf):
     rows = views.responses(spark, sf)
     ends = rows.groupBy("session_id").agg(F.max("seq").alias("_last"))
     rows = rows.join(ends, "session_id").select("session_id", "seq", "text", (F.col("seq") == F.col("_last")).alias("is_last"))
-    return runs.drain(stateful.stream_transcripts(runs.land(rows, "responses")), "transcripts")
+    parts = runs.drain(stateful.stream_transcripts(runs.land(rows, "responses", ["session_id", "seq"])), "transcripts")
+    ordered = F.array_sort(F.collect_list(F.struct("part_no", "text")))
+    return parts.groupBy("session_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("transcript"))
 
 
 def _positions(spark, sf, key):
@@ -961,20 +963,20 @@ def stream_throttle(spark, sf):
     rows = _positions(spark, sf, "batch_id").select(
         "batch_id", "position", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), (F.col("seq") % 11 == 0).alias("forced")
     )
-    return runs.drain(stateful.stream_throttle(runs.land(rows, "events"), 600_000), "published")
+    return runs.drain(stateful.stream_throttle(runs.land(rows, "events", ["batch_id", "position"]), 600_000), "published")
 
 
 @query
 def stream_transitions(spark, sf):
     rows = _positions(spark, sf, "job_id").select("job_id", "position", "seq", "state")
-    verdicts = runs.drain(stateful.stream_transitions(runs.land(rows, "states")), "verdicts")
+    verdicts = runs.drain(stateful.stream_transitions(runs.land(rows, "states", ["job_id", "position"])), "verdicts")
     return verdicts.filter("verdict <> 'ok'")
 
 
 @query
 def stream_stage_reports(spark, sf):
     rows = _positions(spark, sf, "job_id").select("job_id", "position", "seq", "stage", "forced")
-    return runs.drain(stateful.stream_stage_reports(runs.land(rows, "reports")), "in-stage")
+    return runs.drain(stateful.stream_stage_reports(runs.land(rows, "reports", ["job_id", "position"])), "in-stage")
 
 
 @query

@@ -17,12 +17,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def land(df: DataFrame, name: str) -> DataFrame:
-    """Writes a batch as files and opens them as a stream."""
+def land(df: DataFrame, name: str, order: list[str] | None = None, batches: int = 3) -> DataFrame:
+    """Writes a batch as files and opens them as a stream of one file per micro-batch.
+
+    Rows are dealt to the ``batches`` files by a hash of ``order``, so that the stream meets them far out of order.
+    """
     spark = df.sparkSession
     folder = new_folder(spark, name)
-    df.write.parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 64).parquet(folder)
+    # Fixed numbers of files and of files per trigger: the stream is the same on any cluster.
+    dealt = df.repartition(batches, *order) if order else df.coalesce(1)
+    dealt.write.parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,18 +37,27 @@ def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Runs an append stream over all available input into a table and reads it."""
+    """Runs an append stream over all available input into a table and reads it.
+
+    Only batches with data are run: state that waits for the clock would ask for empty ones without end.
+    """
     spark = stream.sparkSession
     out = new_folder(spark, name)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("checkpointLocation", out + "-state")
-        .option("path", out)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("checkpointLocation", out + "-state")
+            .option("path", out)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(out)
 
 

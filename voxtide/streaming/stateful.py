@@ -1,145 +1,346 @@
-"""Ordered per-key processing on streams.
+"""Ordered per-key processing on streams, with typed state.
 
-Rows of a key may arrive out of order across micro-batches: each key keeps the position it expects next and holds back
-rows that are ahead of it. What is held is what is missing, so state stays small on an orderly stream.
+Rows of a key may arrive out of order across micro-batches: each key keeps the position it expects next, and rows
+ahead of it wait in a map by position. What waits is what is missing, so state stays small on an orderly stream.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from voxtide.operators.jobs import PENDING, TERMINAL, TRANSCRIBING
 from voxtide.operators.scanner import FrameScan, Merger
-from voxtide.operators.transcripts import fold_text
 from voxtide.options import DetectorOptions
 
-# consume(rows in order, state) -> (output tuples, new state, whether the key is finished)
-Consume = Callable[[list[tuple], Any], tuple[list[tuple], Any, bool]]
-_STATE = StructType([StructField("state", StringType())])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# How long a key that ended is remembered, so that late repeats of its rows are known for what they are.
+REMEMBER_MS = 24 * 3_600_000
+# Waiting rows that are taken out of the map at once.
+TAKEN = 1_024
+# Characters of a transcript in one value of the state and one row of the result.
+PART_CHARS = 4_096
 
 
-def ordered_stream(
-    rows: DataFrame, key: str, position: str, columns: Sequence[str], output: str, following: Callable[[tuple], int], consume: Consume
-) -> DataFrame:
-    """Applies ``consume`` to each key's rows in the order of ``position``, starting at 0.
+class Ordered(StatefulProcessor):
+    """A key's rows in the order of ``position``, from 0 on: subclasses say what they keep and what they emit.
 
-    ``following(row)`` is the position that comes after a row. Output rows begin with the key.
+    ``idle_ms`` ends a key of which no row came for that long (processing time); without it only the rows do.
     """
-    kind = rows.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, {output}"
-    names = [field.split()[0] for field in schema.split(", ")]
-    fields = [position, *columns]
-
-    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        upto, held, inner, done = json.loads(state.get[0]) if state.exists else [0, [], None, False]
-        waiting = {r[0]: tuple(r) for r in held}
-        for batch in batches:
-            if done:
+
+    output = ""
+    columns: tuple[str, ...] = ()
+
+    def __init__(self, key: str, position: str, row_schema: str, idle_ms: int | None, remember_ms: int):
+        self.key, self.position_name, self.row_schema = key, position, row_schema
+        self.idle_ms, self.remember_ms = idle_ms, remember_ms
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        """Creates the subclass's own state."""
+
+    def following(self, row: tuple) -> int:
+        return row[0] + 1
+
+    def take(self, rows: list[tuple]) -> Iterator[tuple]:
+        """Output of rows that are due; sets ``self.done`` when the key ended."""
+        raise NotImplementedError
+
+    def finish(self, waiting: int) -> Iterator[tuple]:
+        """Output of a key that is ended from outside while ``waiting`` rows never became due."""
+        return iter(())
+
+    def forget(self) -> None:
+        """Clears the subclass's own state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "upto bigint, waiting bigint")
+        self.early = handle.getMapState("early", "position bigint", self.row_schema)
+        self.ended = handle.getValueState("ended", "ended boolean", ttlDurationMs=self.remember_ms)
+        self.open(handle)
+
+    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        names = [self.key, *(field.split()[0] for field in self.output.split(", "))]
+        return pd.DataFrame([(key[0], *row) for row in rows], columns=names, dtype=object)
+
+    def _due(self, here: dict[int, tuple], upto: int, waiting: int) -> tuple[list[tuple], int, int]:
+        ready = []
+        while len(ready) < TAKEN:
+            if upto in here:
+                row = here.pop(upto)
+            elif waiting and self.early.containsKey((upto,)):
+                row = tuple(self.early.getValue((upto,)))
+                self.early.removeKey((upto,))
+                waiting -= 1
+            else:
+                break
+            ready.append(row)
+            after = self.following(row)
+            if after <= upto:
+                break
+            upto = after
+        return ready, upto, waiting
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        self.done = self.ended.exists()
+        upto, waiting = self.place.get() or (0, 0)
+        for batch in rows:
+            if self.done:
                 continue
-            for row in zip(*(batch[c].tolist() for c in fields)):
-                if row[0] >= upto:
-                    waiting[row[0]] = row
-            # Rows that are due go on with each batch of a trigger: only early ones are held.
-            ready = []
-            while upto in waiting:
-                row = waiting.pop(upto)
-                ready.append(row)
-                upto = following(row)
-            if ready:
-                emitted, inner, done = consume(ready, inner)
-                yield pd.DataFrame([(keys[0], *row) for row in emitted], columns=names)
-        state.update((json.dumps([upto, [] if done else list(waiting.values()), inner, done]),))
-
-    return (
-        rows.select(key, *fields)
-        .groupBy(key)
-        .applyInPandasWithState(run, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
-    )
-
-
-def stream_detect(frames: DataFrame, options: DetectorOptions | None = None) -> DataFrame:
-    """Speech intervals from a stream of frames ``file_id, start_sample, end_sample, dbfs, is_last``.
+            here = {r[0]: r for r in zip(*(batch[c].tolist() for c in (self.position_name, *self.columns))) if r[0] >= upto}
+            while not self.done:
+                ready, upto, waiting = self._due(here, upto, waiting)
+                if not ready:
+                    break
+                out = []
+                for row in self.take(ready):
+                    out.append(row)
+                    if len(out) >= TAKEN:
+                        yield self._frame(key, out)
+                        out = []
+                if out:
+                    yield self._frame(key, out)
+            if not self.done:
+                for position, row in here.items():
+                    waiting += not self.early.containsKey((position,))
+                    self.early.updateValue((position,), row)
+        if self.done:
+            self._end()
+        else:
+            self.place.update((upto, waiting))
+            if self.idle_ms is not None:
+                self._clear_timers()
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def _clear_timers(self) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
+    def _end(self) -> None:
+        if not self.ended.exists():
+            self._clear_timers()
+            self.place.clear()
+            self.early.clear()
+            self.forget()
+            self.ended.update((True,))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if not self.ended.exists():
+            _, waiting = self.place.get() or (0, 0)
+            out = list(self.finish(waiting))
+            self._end()
+            if out:
+                yield self._frame(key, out)
+
+    def close(self) -> None:
+        pass
 
-    The frame marked ``is_last`` ends the recording and closes open speech. An interval is emitted once nothing can
-    merge into it any more, so the result is that of the batch detector. A recording that fails ends with a row that
-    has the ``error`` and no interval; what was emitted before stays, and other recordings go on.
-    """
-    options = options or DetectorOptions()
 
-    def consume(rows: list[tuple], state: Any):
-        scan_state, previous = state if state else [None, None]
-        scan, merger = FrameScan(options, scan_state), Merger(options, previous)
+def ordered_stream(
+    rows: DataFrame, processor: type[Ordered], key: str, position: str, *args: Any, idle_ms: int | None = None, remember_ms: int = REMEMBER_MS
+) -> DataFrame:
+    """The stream's rows through one processor per key; output rows begin with the key. State is kept by RocksDB."""
+    fields = [position, *processor.columns]
+    schema = StructType([rows.schema[name] for name in fields])
+    made = processor(key, position, schema, idle_ms, remember_ms, *args)
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    kind = rows.schema[key].dataType.simpleString()
+    grouped = rows.select(key, *fields).groupBy(key)
+    return grouped.transformWithStateInPandas(made, f"{key} {kind}, {processor.output}", "append", "ProcessingTime")
+
+
+class Detection(Ordered):
+    output = "start_sample bigint, end_sample bigint, error string"
+    columns = ("end_sample", "dbfs", "is_last")
+
+    def __init__(self, key: str, position: str, row_schema: Any, idle_ms: int | None, remember_ms: int, options: DetectorOptions):
+        super().__init__(key, position, row_schema, idle_ms, remember_ms)
+        self.options = options
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.scan = handle.getValueState(
+            "scan",
+            "floor double, above_run bigint, below_run bigint, onset bigint, speech array<bigint>, starts array<bigint>, "
+            "levels array<double>, held array<bigint>, upto bigint",
+        )
+
+    def forget(self) -> None:
+        self.scan.clear()
+
+    def following(self, row: tuple) -> int:
+        return row[1]
+
+    def _loaded(self) -> tuple[FrameScan, Merger]:
+        state = self.scan.get()
+        if state is None:
+            return FrameScan(self.options), Merger(self.options)
+        *scan, held, upto = state
+        scan = [list(x) if i >= 4 and x is not None else x for i, x in enumerate(scan)]
+        found = FrameScan(self.options, scan)
+        found.end = upto
+        return found, Merger(self.options, list(held) if held is not None else None)
+
+    def _ended(self, scan: FrameScan, merger: Merger) -> Iterator[tuple]:
+        for _, _, start, end, kind in scan.pieces:
+            merger.add(start, end, kind)
+        if merger.failed:
+            return iter([(None, None, "a maximum-length split produced an empty interval")])
+        merger.flush()
+        return ((*found, None) for found in merger.done)
+
+    def take(self, rows: list[tuple]) -> Iterator[tuple]:
+        if any(row[1] <= row[0] for row in rows):
+            self.done = True
+            return iter([(None, None, "a frame does not end behind its start")])
+        scan, merger = self._loaded()
         scan.feed([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
-        last = bool(rows[-1][3])
-        if last:
+        if rows[-1][3]:
+            self.done = True
             scan.finish()
+            return self._ended(scan, merger)
         for _, _, start, end, kind in scan.pieces:
             merger.add(start, end, kind)
         if merger.failed:
-            return [(None, None, "a maximum-length split produced an empty interval")], None, True
-        held = merger.previous
-        if last:
-            merger.flush()
-            return [(*found, None) for found in merger.done], None, True
-        return [(*found, None) for found in merger.done], [scan.state(), held], False
-
-    return ordered_stream(
-        frames,
-        "file_id",
-        "start_sample",
-        ["end_sample", "dbfs", "is_last"],
-        "start_sample bigint, end_sample bigint, error string",
-        lambda row: row[1],
-        consume,
-    )
-
-
-def stream_transcripts(responses: DataFrame) -> DataFrame:
-    """Transcripts from a stream of emissions ``session_id, seq, text, is_last``, each once its session ends."""
-
-    def consume(rows: list[tuple], state: Any):
-        text = state or ""
-        for _, emission, last in rows:
-            if emission and emission.strip():
-                text = fold_text(text, emission)
+            self.done = True
+            return iter([(None, None, "a maximum-length split produced an empty interval")])
+        floor, above, below, onset, speech, starts, levels = scan.state()
+        whole = lambda values: None if values is None else [int(v) for v in values]
+        state = (float(floor), above, below, int(onset), whole(speech), whole(starts), [float(v) for v in levels], whole(merger.previous), int(scan.end))
+        self.scan.update(state)
+        return ((*found, None) for found in merger.done)
+
+    def finish(self, waiting: int) -> Iterator[tuple]:
+        if waiting:
+            return iter([(None, None, "frames are missing")])
+        scan, merger = self._loaded()
+        scan.finish()
+        return self._ended(scan, merger)
+
+
+def stream_detect(frames: DataFrame, options: DetectorOptions | None = None, idle_ms: int | None = None, remember_ms: int = REMEMBER_MS) -> DataFrame:
+    """Speech intervals from a stream of frames ``file_id, start_sample, end_sample, dbfs, is_last``.
+
+    The frame marked ``is_last`` ends the recording and closes open speech; so does ``idle_ms`` without a frame, where
+    given. An interval is emitted once nothing can merge into it any more, so the result is that of the batch detector.
+    A recording that fails, has a frame that does not go forward, or is ended while frames before others are missing, ends with
+    a row that has the ``error`` and no interval; what was emitted before stays, and other recordings go on. Rows of a
+    recording that ended are dropped for ``remember_ms``; after that nothing of it is left in the state.
+    """
+    return ordered_stream(frames, Detection, "file_id", "start_sample", options or DetectorOptions(), idle_ms=idle_ms, remember_ms=remember_ms)
+
+
+class Accumulation(Ordered):
+    """The text lies in the state part by part, and an emission is compared with as many parts as it has itself:
+    every comparison is exact, and no more of a transcript is in memory than the longer of a part and an emission."""
+
+    output = "part_no bigint, text string"
+    columns = ("text", "is_last")
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.parts = handle.getMapState("parts", "part_no bigint", "text string")
+        # Characters so far, and those behind the last full part.
+        self.end = handle.getValueState("end", "length bigint, tail string")
+
+    def forget(self) -> None:
+        self.parts.clear()
+        self.end.clear()
+
+    def _begins(self, text: str, length: int, tail: str) -> bool:
+        """Whether the transcript, ``length`` long, and the text are equal as far as both go."""
+        upto = min(len(text), length)
+        for at in range(0, upto, PART_CHARS):
+            part = tail if at + PART_CHARS > length else self._part(at // PART_CHARS)
+            if text[at : min(at + PART_CHARS, upto)] != part[: upto - at]:
+                return False
+        return True
+
+    def _part(self, number: int) -> str:
+        return self.parts.getValue((number,))[0]
+
+    def take(self, rows: list[tuple]) -> Iterator[tuple]:
+        length, tail = self.end.get() or (0, "")
+        for _, text, last in rows:
+            if text and text.strip():
+                known = self._begins(text, length, tail)
+                more = (text[length:] if len(text) > length else "") if known else text
+                length += len(more)
+                tail += more
+                full = length // PART_CHARS - (length - len(tail)) // PART_CHARS
+                first = (length - len(tail)) // PART_CHARS
+                for k in range(full):
+                    self.parts.updateValue((first + k,), (tail[k * PART_CHARS : (k + 1) * PART_CHARS],))
+                tail = tail[full * PART_CHARS :]
             if last:
-                return [(text,)], None, True
-        return [], text, False
+                self.done = True
+                yield from self._all(length, tail)
+                return
+        self.end.update((length, tail))
 
-    return ordered_stream(
-        responses, "session_id", "seq", ["text", "is_last"], "transcript string", lambda row: row[0] + 1, consume
-    )
+    def _all(self, length: int, tail: str) -> Iterator[tuple]:
+        full = length // PART_CHARS
+        for number in range(full):
+            yield (number, self._part(number))
+        if tail or not full:
+            yield (full, tail)
 
+    def finish(self, waiting: int) -> Iterator[tuple]:
+        return self._all(*(self.end.get() or (0, "")))
 
-def stream_throttle(events: DataFrame, interval_ms: int) -> DataFrame:
-    """Published events of a stream ``batch_id, position, seq, at_us, forced`` with dense positions per batch."""
 
-    def consume(rows: list[tuple], state: Any):
-        published, kept = state, []
+def stream_transcripts(responses: DataFrame, idle_ms: int | None = None, remember_ms: int = REMEMBER_MS) -> DataFrame:
+    """Transcripts from a stream of emissions ``session_id, seq, text, is_last``, each once its session ends, in parts:
+    ``session_id, part_no, text``. Without text there is one empty part. A session also ends after ``idle_ms`` without an emission,
+    where given, with the text that had come in order."""
+    return ordered_stream(responses, Accumulation, "session_id", "seq", idle_ms=idle_ms, remember_ms=remember_ms)
+
+
+class Throttle(Ordered):
+    output = "seq bigint"
+    columns = ("seq", "at_us", "forced")
+
+    def __init__(self, key: str, position: str, row_schema: Any, idle_ms: int | None, remember_ms: int, interval_ms: int):
+        super().__init__(key, position, row_schema, idle_ms, remember_ms)
+        self.interval = interval_ms * 1_000
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.published = handle.getValueState("published", "at_us bigint")
+
+    def forget(self) -> None:
+        self.published.clear()
+
+    def take(self, rows: list[tuple]) -> Iterator[tuple]:
+        last = (self.published.get() or (None,))[0]
         for _, seq, at, forced in rows:
-            if forced or published is None or at - published >= interval_ms * 1_000:
-                published = at
-                kept.append((seq,))
-        return kept, published, False
+            if forced or last is None or at - last >= self.interval:
+                last = at
+                yield (seq,)
+        if last is not None:
+            self.published.update((last,))
 
-    return ordered_stream(
-        events, "batch_id", "position", ["seq", "at_us", "forced"], "seq bigint", lambda row: row[0] + 1, consume
-    )
 
+def stream_throttle(events: DataFrame, interval_ms: int, idle_ms: int | None = None) -> DataFrame:
+    """Published events of a stream ``batch_id, position, seq, at_us, forced`` with dense positions per batch."""
+    return ordered_stream(events, Throttle, "batch_id", "position", interval_ms, idle_ms=idle_ms)
 
-def stream_transitions(events: DataFrame) -> DataFrame:
-    """Every event of a stream ``job_id, position, seq, state`` with a verdict: ``ok`` or why it is not allowed."""
-    rank = {PENDING: 0, TRANSCRIBING: 1, **dict.fromkeys(TERMINAL, 2)}
 
-    def consume(rows: list[tuple], state: Any):
-        reached, out = -1 if state is None else state, []
+class Transitions(Ordered):
+    output = "seq bigint, state string, verdict string"
+    columns = ("seq", "state")
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.reached = handle.getValueState("reached", "rank int")
+
+    def forget(self) -> None:
+        self.reached.clear()
+
+    def take(self, rows: list[tuple]) -> Iterator[tuple]:
+        rank = {PENDING: 0, TRANSCRIBING: 1, **dict.fromkeys(TERMINAL, 2)}
+        reached = (self.reached.get() or (-1,))[0]
         for _, seq, name in rows:
             at = rank.get(name)
             if at is None:
@@ -149,30 +350,40 @@ def stream_transitions(events: DataFrame) -> DataFrame:
             else:
                 verdict = "backwards" if at < reached else "ok"
                 reached = max(reached, at)
-            out.append((seq, name, verdict))
-        return out, reached, False
+            yield (seq, name, verdict)
+        self.reached.update((reached,))
 
-    return ordered_stream(
-        events, "job_id", "position", ["seq", "state"], "seq bigint, state string, verdict string", lambda row: row[0] + 1, consume
-    )
 
+def stream_transitions(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Every event of a stream ``job_id, position, seq, state`` with a verdict: ``ok`` or why it is not allowed."""
+    return ordered_stream(events, Transitions, "job_id", "position", idle_ms=idle_ms)
 
-def stream_stage_reports(events: DataFrame) -> DataFrame:
-    """Progress reports of the stage in force from a stream ``job_id, position, seq, stage, forced``.
 
-    Lateness here is a matter of stages, not of time: a forced row changes the stage, and a report of any other stage
-    comes too late and is dropped.
-    """
+class StageReports(Ordered):
+    output = "seq bigint, stage string"
+    columns = ("seq", "stage", "forced")
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.stage = handle.getValueState("stage", "stage string")
 
-    def consume(rows: list[tuple], state: Any):
-        stage, kept = state, []
+    def forget(self) -> None:
+        self.stage.clear()
+
+    def take(self, rows: list[tuple]) -> Iterator[tuple]:
+        stage = (self.stage.get() or (None,))[0]
         for _, seq, name, forced in rows:
             if forced:
                 stage = name
             elif name == stage:
-                kept.append((seq, name))
-        return kept, stage, False
+                yield (seq, name)
+        if stage is not None:
+            self.stage.update((stage,))
+
 
-    return ordered_stream(
-        events, "job_id", "position", ["seq", "stage", "forced"], "seq bigint, stage string", lambda row: row[0] + 1, consume
-    )
+def stream_stage_reports(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Progress reports of the stage in force from a stream ``job_id, position, seq, stage, forced``.
+
+    Lateness here is a matter of stages, not of time: a forced row changes the stage, and a report of any other stage
+    comes too late and is dropped.
+    """
+    return ordered_stream(events, StageReports, "job_id", "position", idle_ms=idle_ms)
