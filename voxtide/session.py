@@ -48,7 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that Python operators run from any folder."""
+    """Sends this package to the executors once per application, so that Python operators run from any folder.
+
+    Stateful streams also start a worker beside the driver, which looks for modules on its path alone.
+    """
     context = spark.sparkContext
     if _SHIPPED.get("application") == context.applicationId:
         return
@@ -62,6 +65,9 @@ def ship_package(spark: SparkSession) -> None:
                     path = os.path.join(folder, file)
                     out.write(path, os.path.relpath(path, root))
     context.addPyFile(bundle)
+    known = context.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
     _SHIPPED["application"] = context.applicationId
 
 

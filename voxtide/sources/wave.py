@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from voxtide.operators.frames import FRAME_SCHEMA, score_pcm
+from voxtide.session import ship_package
 from voxtide.sources.ranges import BadWave, Decoder, Opener, Recording, file_system, frames_per_read, problem_of, read_layout, read_range
 
 _LAYOUT = (
@@ -49,6 +50,8 @@ def scan_wave(files: DataFrame, decoder: Decoder | None = None) -> DataFrame:
     failure of the decoder is the reason. Null paths are dropped; a repeated path gives a row each time.
     """
 
+    ship_package(files.sparkSession)
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opener = Opener(decoder)
         for batch in batches:
@@ -253,5 +256,6 @@ class PcmSource(DataSource):
 
 def read_pcm(spark: SparkSession, folder: str, **options: object) -> DataFrame:
     """The folder's PCM blocks, with the data source registered in the session."""
+    ship_package(spark)
     spark.dataSource.register(PcmSource)
     return spark.read.format("wave-pcm").options(**options).load(folder)

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from voxtide.operators.jobs import PENDING, TERMINAL, TRANSCRIBING
 from voxtide.operators.scanner import FrameScan, Merger
 from voxtide.options import DetectorOptions
+from voxtide.session import ship_package
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # How long a key that ended is remembered, so that late repeats of its rows are known for what they are.
@@ -148,6 +149,7 @@ def ordered_stream(
     fields = [position, *processor.columns]
     schema = StructType([rows.schema[name] for name in fields])
     made = processor(key, position, schema, idle_ms, remember_ms, *args)
+    ship_package(rows.sparkSession)
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = rows.schema[key].dataType.simpleString()
     grouped = rows.select(key, *fields).groupBy(key)
