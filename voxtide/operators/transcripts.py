@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from voxtide.functions.scalars import safe_percent
-from voxtide.functions.text import is_blank, normalize_text, tokenize
+from voxtide.functions.text import is_blank, normalize_text
 from voxtide.functions.timecode import samples_to_ms
+from voxtide.operators.edits import BLOCK_WORDS, tiled_edits, word_blocks
 from voxtide.operators.intervals import BUCKET, overlap_pairs
 from voxtide.operators.ordered import BLOCK, block_of, blocked_by, row_index, rows_to_here
 
@@ -60,46 +61,27 @@ def word_edits(expected: Column, actual: Column) -> Column:
     return _word_edits(expected, actual)
 
 
-def recording_words(texts: DataFrame, name: str, normalized: bool = False) -> DataFrame:
-    """Tokens of each recording's texts in order, and their number: ``file_id, idx, text`` to one row per recording.
-
-    The distance needs both whole transcripts in one row, as a transcript is one value of the result.
-    """
-    tokens = texts.select("file_id", F.struct("idx", tokenize(F.col("text"), normalized).alias("t")).alias("r"))
-    ordered = F.array_sort(F.collect_list("r"))
-    return tokens.groupBy("file_id").agg(
-        F.flatten(F.transform(ordered, lambda r: r["t"])).alias(name), F.count(F.lit(1)).alias(f"{name}_rows")
-    )
-
-
 def transcript_diagnostics(
-    expected: DataFrame, produced: DataFrame, normalized: bool = False, width: int = BUCKET
+    expected: DataFrame, produced: DataFrame, normalized: bool = False, width: int = BUCKET, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """Per recording: words, word edits and cues or utterances that meet nothing on the other side.
 
-    Both inputs have ``file_id, idx, start_sample, end_sample, text``. Recordings are those of ``expected``.
+    Both inputs have ``file_id, idx, start_sample, end_sample, text``. Recordings are those of ``expected``. Edits are
+    counted in tiles of ``block_words``, so a transcript may have any length.
     """
-    words = recording_words(expected, "_e", normalized).join(recording_words(produced, "_a", normalized), "file_id", "left")
-    words = words.withColumn("_a", F.coalesce("_a", F.array().cast("array<string>")))
+    edits = tiled_edits(word_blocks(expected, normalized, block_words), word_blocks(produced, normalized, block_words))
+    rows = expected.groupBy("file_id").agg(F.count(F.lit(1)).alias("_e_rows"))
+    rows = rows.join(produced.groupBy("file_id").agg(F.count(F.lit(1)).alias("_a_rows")), "file_id", "left").join(edits, "file_id", "left")
     # One join finds the overlaps of both sides; what is not among them overlaps nothing.
     met = overlap_pairs(expected, produced, width).groupBy("file_id").agg(
         F.count_distinct("a_idx").alias("_met_e"), F.count_distinct("b_idx").alias("_met_a")
     )
-    alone = lambda side: F.coalesce(f"_{side}_rows", F.lit(0)) - F.coalesce(f"_met_{side}", F.lit(0))
-    per_file = words.select(
-        "file_id",
-        F.size("_e").cast("bigint").alias("expected_words"),
-        F.size("_a").cast("bigint").alias("actual_words"),
-        word_edits(F.col("_e"), F.col("_a")).alias("word_edits"),
-        "_e_rows",
-        "_a_rows",
-    ).join(met, "file_id", "left")
-    return per_file.select(
+    counted = lambda name: F.coalesce(name, F.lit(0)).cast("bigint")
+    alone = lambda side: counted(f"_{side}_rows") - counted(f"_met_{side}")
+    return rows.join(met, "file_id", "left").select(
         "file_id",
-        "expected_words",
-        "actual_words",
-        "word_edits",
-        safe_percent(F.col("word_edits"), F.col("expected_words")).alias("word_edit_percent"),
+        *[counted(name).alias(name) for name in ("expected_words", "actual_words", "word_edits")],
+        safe_percent(counted("word_edits"), counted("expected_words")).alias("word_edit_percent"),
         alone("a").alias("produced_without_overlap"),
         alone("e").alias("expected_without_overlap"),
     )
