@@ -560,6 +560,21 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT file_id, sum({_words('text')})::BIGINT AS n FROM utt GROUP BY file_id)""",
         "utt",
     )
+    sql["evaluate_files"] = _with(
+        f""", f AS (
+              SELECT file_id, sum({_words('text')})::BIGINT AS n, count(*) FILTER (file_id % 4 = 1 AND idx % 2 = 0) AS d,
+                     CASE WHEN file_id % 7 = 2 THEN 'the document is missing' WHEN file_id % 5 = 0 THEN 'no WEBVTT header' END AS error
+              FROM utt GROUP BY file_id),
+            g AS (SELECT *, d * 100.0::DOUBLE / n AS p FROM f WHERE error IS NULL)
+            SELECT 'recording' AS part, file_id, NULL::BIGINT AS idx, error AS note, CASE WHEN error IS NULL THEN n END AS expected_words,
+                   CASE WHEN error IS NULL THEN n + d END AS actual_words, CASE WHEN error IS NULL THEN d END AS word_edits,
+                   CASE WHEN error IS NULL THEN d * 100.0::DOUBLE / n END AS word_edit_percent FROM f
+            UNION ALL SELECT 'cue', u.file_id, u.idx, 'text', NULL, NULL, NULL, NULL FROM utt u JOIN g USING (file_id)
+                      WHERE u.file_id % 4 = 1 AND u.idx % 2 = 0
+            UNION ALL SELECT 'corpus', (list(file_id ORDER BY p DESC, file_id))[1], count(*), NULL, sum(n)::BIGINT, sum(n + d)::BIGINT, sum(d)::BIGINT,
+                      sum(d) * 100.0::DOUBLE / sum(n) FROM g""",
+        "utt",
+    )
     sql["transcript_rollup"] = f"""{diagnosed}
         SELECT count(*) AS recordings, sum(expected_words)::BIGINT AS expected_words, sum(actual_words)::BIGINT AS actual_words,
                sum(word_edits)::BIGINT AS word_edits, sum(produced_without_overlap)::BIGINT AS produced_without_overlap,

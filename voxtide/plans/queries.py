@@ -488,6 +488,30 @@ def document_diagnostics(spark, sf):
     return evaluate.evaluate_documents(spoken, cue_ops.parse_documents(documents))
 
 
+@query
+def evaluate_files(spark, sf):
+    """Caption files on storage against what was said: some lack their header, some are missing, some cues have a word more."""
+    from voxtide.sources import sinks
+    from voxtide.streaming.runs import new_folder
+
+    folder = new_folder(spark, "produced")
+    spoken = views.utterances(spark, sf)
+    text = F.when((F.col("file_id") % 4 == 1) & (F.col("idx") % 2 == 0), F.concat("text", F.lit(" indeed"))).otherwise(F.col("text"))
+    cues = spoken.select("file_id", F.col("idx").alias("cue_idx"), "start_sample", "end_sample", text.alias("text"))
+    documents = cue_ops.assemble_documents(cue_ops.clamp_cues(cues), part_cues=2)
+    headless = (F.col("file_id") % 5 == 0) & (F.col("part_no") == 0)
+    documents = documents.withColumn("text", F.when(headless, F.concat(F.lit("no "), "text")).otherwise(F.col("text")))
+    path = F.format_string("to/%d.vtt", "file_id")
+    sinks.write_vtt_files(documents.filter("file_id % 7 <> 2").withColumn("output_path", path), folder).count()
+    names = spoken.select("file_id").distinct().withColumn("relative_path", path)
+    report = evaluate.evaluate_files(folder, names, spoken)
+    figures = ("expected_words", "actual_words", "word_edits", "word_edit_percent")
+    rows = report.recordings.select(F.lit("recording").alias("part"), "file_id", F.lit(None).cast("bigint").alias("idx"), F.col("error").alias("note"), *figures)
+    differ = report.disagreements.select(F.lit("cue").alias("part"), "file_id", F.col("idx").cast("bigint").alias("idx"), F.col("rule").alias("note"))
+    corpus = report.corpus.select(F.lit("corpus").alias("part"), F.col("worst_file_id").alias("file_id"), F.col("recordings").alias("idx"), *figures)
+    return rows.unionByName(differ, allowMissingColumns=True).unionByName(corpus, allowMissingColumns=True)
+
+
 @query
 def vtt_errors(spark, sf):
     """Documents broken in known ways."""
