@@ -70,19 +70,45 @@ def repeatability(current: DataFrame, baseline: DataFrame) -> DataFrame:
     )
 
 
+def folder_digests(outputs: DataFrame) -> DataFrame:
+    """Every folder of ``outputs(relative_path, sha256)`` with the number of files below it, at any depth, and two sums of
+    hashes over their paths and contents, which do not depend on order: ``folder, files, d1, d2`` (the root is ``''``).
+
+    A file adds a row for each folder above it, which partial sums reduce to the folders of a task at once.
+    """
+    parts = F.split("relative_path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    hashed = lambda *c: F.xxhash64(*c, "relative_path", "sha256").cast("decimal(38,0)")
+    rows = outputs.select(hashed().alias("_a"), hashed(F.lit(1)).alias("_b"), F.explode(above).alias("folder"))
+    return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.sum("_a").alias("d1"), F.sum("_b").alias("d2"))
+
+
+def compare_folders(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Folders of either run: ``folder, files_current, files_baseline, same``."""
+    left, right = (folder_digests(run).select("folder", *[F.col(c).alias(f"{c}_{side}") for c in ("files", "d1", "d2")]) for run, side in ((current, "c"), (baseline, "b")))
+    count = lambda side: F.coalesce(f"files_{side}", F.lit(0)).cast("bigint")
+    same = (F.col("files_c") == F.col("files_b")) & (F.col("d1_c") == F.col("d1_b")) & (F.col("d2_c") == F.col("d2_b"))
+    return left.join(right, "folder", "full").select(
+        "folder", count("c").alias("files_current"), count("b").alias("files_baseline"), F.coalesce(same, F.lit(False)).alias("same")
+    )
+
+
 def provenance(listing: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files against their manifest entries: unknown, ambiguous, or with another hash.
+    """Files against their manifest entries: unknown, ambiguous, or with another hash; and entries without a file.
 
     ``listing(path, sha256)`` and ``manifest(path, sha256)``; paths are compared ignoring case. Entries are counted per
-    path before the join, so a path with many entries adds one row, not many.
+    path before the join, so a path with many entries adds one row, not many. An entry that no file has is a row with
+    its own path (the first in order, of several).
     """
     entries = manifest.groupBy(F.lower("path").alias("_key")).agg(
-        F.count(F.lit(1)).alias("matches"), F.min(F.upper("sha256")).alias("_want")
+        F.count(F.lit(1)).alias("matches"), F.min(F.upper("sha256")).alias("_want"), F.min("path").alias("_entry")
     )
-    rows = listing.withColumn("_key", F.lower("path")).join(entries, "_key", "left")
+    rows = listing.withColumns({"_key": F.lower("path"), "_file": F.lit(True)}).join(entries, "_key", "full")
+    rows = rows.withColumn("path", F.coalesce("path", "_entry"))
     matches = F.coalesce("matches", F.lit(0)).cast("bigint")
     verdict = (
-        F.when(matches == 0, "not in manifest")
+        F.when(F.col("_file").isNull(), "no file")
+        .when(matches == 0, "not in manifest")
         .when(matches > 1, "ambiguous")
         .when(F.upper("sha256") != F.col("_want"), "hash differs")
         .otherwise("ok")

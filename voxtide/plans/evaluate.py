@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtide.functions.timecode import ms_to_samples
-from voxtide.operators.audit import audit_runs
+from voxtide.operators.audit import audit_runs, compare_folders, repeatability
 from voxtide.operators.cues import document_errors, parse_documents
 from voxtide.operators.intervals import check_sequence, detection_metrics
 from voxtide.operators.transcripts import cue_agreement, transcript_diagnostics, transcript_rollup
@@ -91,5 +91,27 @@ def evaluate_files(folder: str, names: DataFrame, expected: DataFrame, normalize
     return TranscriptReport(recordings, cue_agreement(there.join(ids, "file_id", "left_semi"), cues, normalized), transcript_rollup(good))
 
 
+@dataclass(frozen=True)
+class RunComparison:
+    """Two runs: folders with their digests' verdict, and the files that differ."""
+
+    folders: DataFrame
+    differences: DataFrame
+
+
+def compare_runs(current: DataFrame, baseline: DataFrame) -> RunComparison:
+    """What two runs' outputs ``relative_path, has_header, sha256`` have in common, as a tree of folder digests.
+
+    Only files in folders whose digests differ are held against each other; runs that agree end with the folders.
+    ``differences`` are the files that are not in both with the same bytes.
+    """
+    folders = cut_lineage(compare_folders(current, baseline))
+    differing = folders.filter("NOT same").select(F.col("folder").alias("_folder"))
+    own = F.regexp_extract("relative_path", r"^(.*)/[^/]*$", 1)
+    inside = lambda run: run.join(differing, own == F.col("_folder"), "left_semi")
+    rows = repeatability(inside(current), inside(baseline))
+    return RunComparison(folders, rows.filter("NOT byte_identical"))
+
+
 def audit_run(runs: DataFrame, evidence: DataFrame) -> DataFrame:
     return audit_runs(runs, evidence)

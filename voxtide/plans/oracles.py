@@ -720,12 +720,32 @@ def oracle_sql() -> dict[str, str]:
            FROM run_a a LEFT JOIN run_b b USING (doc_id)""",
         "run_a", "run_b",
     )
+    parts = """, p AS (
+             SELECT a.relative_path, b.doc_id IS NOT NULL AS c, coalesce(a.text = b.text, false) AS same,
+                    unnest([string_split(a.relative_path, '/')[1] || '/' || string_split(a.relative_path, '/')[2], string_split(a.relative_path, '/')[1], '']) AS folder
+             FROM run_a a LEFT JOIN run_b b USING (doc_id))"""
+    sql["compare_runs"] = _with(
+        parts + """
+           SELECT 'folder' AS part, folder AS path, count(*) FILTER (c) AS files_current, count(*) AS files_baseline,
+                  CASE WHEN bool_and(same) THEN 'same' ELSE 'differs' END AS verdict FROM p GROUP BY folder
+           UNION ALL SELECT 'file', relative_path, c::BIGINT, 1,
+                  CASE WHEN NOT c THEN 'no current output' WHEN NOT (SELECT has_header FROM run_a a WHERE a.relative_path = p.relative_path) THEN 'baseline without header'
+                       ELSE 'bytes differ' END FROM p WHERE folder = '' AND NOT same""",
+        "run_a", "run_b",
+    )
+    sql["compare_equal_runs"] = _with(
+        parts + """
+           SELECT folder, count(*) AS files_current, count(*) AS files_baseline, true AS same FROM p GROUP BY folder""",
+        "run_a", "run_b",
+    )
     sql["provenance"] = _with(
         """SELECT upper(b.relative_path) AS path,
                   CASE WHEN doc_id % 11 = 0 THEN 0 WHEN doc_id % 12 = 0 THEN 2 ELSE 1 END AS matches,
                   CASE WHEN doc_id % 11 = 0 THEN 'not in manifest' WHEN doc_id % 12 = 0 THEN 'ambiguous'
                        WHEN a.text <> b.text THEN 'hash differs' ELSE 'ok' END AS verdict
-           FROM run_b b JOIN run_a a USING (doc_id)""",
+           FROM run_b b JOIN run_a a USING (doc_id)
+           UNION ALL SELECT a.relative_path, CASE WHEN doc_id % 12 = 0 THEN 2 ELSE 1 END, 'no file'
+           FROM run_a a ANTI JOIN run_b b USING (doc_id) WHERE doc_id % 11 <> 0""",
         "run_a", "run_b",
     )
     sql["output_evidence"] = _with(
@@ -864,7 +884,7 @@ def oracle_sql() -> dict[str, str]:
     sql["stream_detect"] = sql["detect_adaptive"]
     sql["split_pieces"] = _scan(views.CAPPED) + """
         SELECT p.file_id, p.island, p.k, p.s AS start_sample, p.e AS end_sample, p.kind FROM numbered p WHERE kind <> 'natural'"""
-    sql["failed_recordings"] = _scan(views.CAPPED) + """
+    sql["failed_recordings"] = _scan(views.BREAKING) + """
         SELECT DISTINCT file_id, 'a maximum-length split produced an empty interval' AS error FROM (
           SELECT *, max(e) OVER (PARTITION BY file_id ORDER BY pos, kind <> 'forced' ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe
           FROM numbered) WHERE kind = 'forced' AND e <= pe"""

@@ -349,8 +349,9 @@ def split_pieces(spark, sf):
 
 @query
 def failed_recordings(spark, sf):
-    pieces = speech.speech_pieces(views.frames(spark, sf), views.CAPPED, adaptive=False)
-    return speech.failed_files(pieces, views.CAPPED)
+    """Timings under which the pre-roll reaches back over the interval before, so that a forced piece can vanish."""
+    pieces = speech.speech_pieces(views.frames(spark, sf), views.BREAKING, adaptive=False)
+    return speech.failed_files(pieces, views.BREAKING)
 
 
 # --- intervals --------------------------------------------------------------------------------------------------
@@ -766,6 +767,24 @@ def repeatability(spark, sf):
     return audit.repeatability(_with_header(views.run_outputs(spark, sf, "b")), _with_header(views.run_outputs(spark, sf, "a")))
 
 
+@query
+def compare_runs(spark, sf):
+    """Folders of two runs, and the files that differ."""
+    found = evaluate.compare_runs(_with_header(views.run_outputs(spark, sf, "b")), _with_header(views.run_outputs(spark, sf, "a")))
+    folders = found.folders.select(F.lit("folder").alias("part"), F.col("folder").alias("path"), "files_current", "files_baseline", F.when(F.col("same"), "same").otherwise("differs").alias("verdict"))
+    files = found.differences.select(F.lit("file").alias("part"), F.col("relative_path").alias("path"), F.col("in_current").cast("bigint").alias("files_current"), F.col("in_baseline").cast("bigint").alias("files_baseline"), "verdict")
+    return folders.unionByName(files)
+
+
+@query
+def compare_equal_runs(spark, sf):
+    """A run and its repetition: every folder agrees, so that no file is looked at."""
+    run = _with_header(views.run_outputs(spark, sf, "a"))
+    found = evaluate.compare_runs(run, run)
+    differing = found.differences.select(F.col("relative_path").alias("folder"), F.lit(1).alias("files_current"), F.lit(1).alias("files_baseline"), F.lit(False).alias("same"))
+    return found.folders.unionByName(differing)
+
+
 @query
 def provenance(spark, sf):
     files = views.run_outputs(spark, sf, "b").select(F.upper("relative_path").alias("path"), "sha256")

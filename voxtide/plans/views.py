@@ -20,6 +20,9 @@ FIXED = DetectorOptions(FRAME, -30.0, -90.0, -20.0, 0.0, 10.0, 4.0, -90.0, -90.0
 CAPPED = DetectorOptions(
     FRAME, -30.0, -90.0, -20.0, 0.0, 10.0, 4.0, -90.0, -90.0, SegmenterOptions(2, 3, 320, 320, 640, 320, 3_200, 1_600)
 )
+BREAKING = DetectorOptions(
+    FRAME, -30.0, -90.0, -20.0, 0.0, 10.0, 4.0, -90.0, -90.0, SegmenterOptions(2, 3, 3_200, 0, 320, 320, 1_600, 1_600)
+)
 ADAPTIVE = DetectorOptions(
     FRAME, -40.0, -90.0, -20.0, 0.05, 12.0, 7.0, -45.0, -50.0, SegmenterOptions(2, 3, 320, 320, 640, 320, 3_200, 1_600)
 )
