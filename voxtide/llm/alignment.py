@@ -22,10 +22,10 @@ from voxtide.llm.batches import by_bytes, list_column
 from voxtide.llm.byte_bpe import byte_characters
 from voxtide.session import cut_lineage, shared_dir
 
-# Words that a worker remembers for each tokenizer, and the longest of them in characters.
-REMEMBERED, LONGEST = 200_000, 48
+# Words that a worker remembers before it keeps only those it meets again, and the longest of them in characters.
+REMEMBERED, LONGEST = 120_000, 48
 # Text bytes aligned together, and pairs of ids expanded at once.
-BATCH_BYTES, PAIRS = 1 << 20, 1 << 21
+BATCH_BYTES, PAIRS = 1 << 19, 1 << 20
 # Most frequent pairs that are sent to every task; the others are joined by a shuffle.
 HEAD = 200_000
 SPACE = "▁"
@@ -118,22 +118,28 @@ class PieceSide(Side):
 
 
 class Encoder:
-    """Both sides of texts. Words between single blanks and line feeds are encoded once and remembered, up to a fixed
-    number; other texts are encoded as a whole. A text that the tokens of a side do not spell has none."""
+    """Both sides of texts. Words between single blanks and line feeds are encoded once and remembered, up to twice a fixed
+    number: a full store becomes the past, from which words move to the next one as they are met again. Other texts
+    are encoded as a whole. A text that the tokens of a side do not spell has none."""
 
     def __init__(self, a: Side, b: Side):
         self.sides, self.apart = (a, b), a.apart and b.apart
         # Of each side: ids of words behind a blank, and of words behind a line feed.
-        self.known: tuple[tuple[dict[str, bytes], ...], ...] = (({}, {}), ({}, {}))
+        self.known: tuple[list[dict[str, bytes]], ...] = ([{}, {}], [{}, {}])
+        self.past: tuple[list[dict[str, bytes]], ...] = ([{}, {}], [{}, {}])
         self.misspelt: set[str] = set()
 
     def _learn(self, kind: int, words: set[str]) -> None:
         known = self.known[0][kind]
         new = [word for word in words if word not in known]
         if len(known) + len(new) > REMEMBERED:
-            for side in self.known:
-                side[kind].clear()
+            for side, past in zip(self.known, self.past):
+                past[kind], side[kind] = side[kind], {}
             new = list(words)
+        for side, past in zip(self.known, self.past):
+            before = past[kind]
+            side[kind].update([(word, before[word]) for word in new if word in before])
+        new = [word for word in new if word not in self.past[0][kind]]
         if not new:
             return
         whole = b"".join([(" " + word if kind == 0 else word).encode() for word in new])
