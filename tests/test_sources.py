@@ -394,3 +394,12 @@ def test_nested_report(spark):
     details = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "file_id long, idx int, text string")
     found = {r.file_id: r for r in sinks.nested_report(corpus, recordings, details).collect()}
     assert [d.text for d in found[1].details] == ["a", "b"] and found[2].details is None and found[2].corpus.recordings == 2
+
+
+def test_reports_of_an_empty_corpus_and_in_parts(spark):
+    corpus = spark.createDataFrame([], "recordings long, percent double")
+    recordings = spark.createDataFrame([(1,), (2,)], "file_id long")
+    details = spark.createDataFrame([(1, k, f"t{k}") for k in range(5)], "file_id long, idx int, text string")
+    found = {(r.file_id, r.part_no): r for r in sinks.nested_report(corpus, recordings, details, part_rows=2).collect()}
+    assert found.keys() == {(1, 0), (1, 1), (1, 2), (2, 0)} and all(r.corpus is None for r in found.values())
+    assert [d.text for d in found[1, 2].details] == ["t4"] and found[2, 0].details is None

@@ -223,6 +223,7 @@ def _run_rules() -> dict[str, dict[str, Column]]:
     }
 
 
+# The names of the scenarios, which evidence of other runs uses as well.
 SCENARIOS = (
     "success",
     "cancellation",

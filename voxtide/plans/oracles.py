@@ -575,6 +575,13 @@ def oracle_sql() -> dict[str, str]:
                       sum(d) * 100.0::DOUBLE / sum(n) FROM g""",
         "utt",
     )
+    sql["nested_reports"] = _with(
+        """SELECT file_id, idx // 3 AS part_no, any_value(n) AS utterances, any_value(r) AS recordings, any_value(t) AS corpus_utterances,
+                  string_agg(idx || ':' || text, '|' ORDER BY idx) AS texts
+           FROM (SELECT *, count(*) OVER (PARTITION BY file_id) AS n FROM utt), (SELECT count(DISTINCT file_id) AS r, count(*) AS t FROM utt)
+           GROUP BY file_id, idx // 3""",
+        "utt",
+    )
     sql["transcript_rollup"] = f"""{diagnosed}
         SELECT count(*) AS recordings, sum(expected_words)::BIGINT AS expected_words, sum(actual_words)::BIGINT AS actual_words,
                sum(word_edits)::BIGINT AS word_edits, sum(produced_without_overlap)::BIGINT AS produced_without_overlap,

@@ -513,6 +513,23 @@ def evaluate_files(spark, sf):
     return rows.unionByName(differ, allowMissingColumns=True).unionByName(corpus, allowMissingColumns=True)
 
 
+@query
+def nested_reports(spark, sf):
+    """A report written and read back: utterances nested in their recordings, three to a document."""
+    from voxtide.sources import sinks
+    from voxtide.streaming.runs import new_folder
+
+    folder = new_folder(spark, "report")
+    spoken = views.utterances(spark, sf)
+    recordings = spoken.groupBy("file_id").agg(F.count(F.lit(1)).alias("utterances"))
+    corpus = recordings.agg(F.count(F.lit(1)).alias("recordings"), F.sum("utterances").alias("utterances"))
+    sinks.write_report(sinks.nested_report(corpus, recordings, spoken.select("file_id", "idx", "text"), part_rows=3), folder)
+    texts = F.transform("details", lambda d: F.concat(d["idx"].cast("string"), F.lit(":"), d["text"]))
+    return spark.read.json(folder).select(
+        "file_id", "part_no", "utterances", F.col("corpus.recordings").alias("recordings"), F.col("corpus.utterances").alias("corpus_utterances"), F.array_join(texts, "|").alias("texts")
+    )
+
+
 @query
 def vtt_errors(spark, sf):
     """Documents broken in known ways."""
