@@ -76,10 +76,10 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_vectors_altered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors beside altered ones, as the given ones are far from each other: every other vector again three times
-    as long, without its first component, and without its first four."""
+    as long, without its first component, and without its first two."""
     given = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     every = given
-    for cut in (1, 4):
+    for cut in (1, 2):
         altered = F.expr(f"transform(embedding, (x, i) -> IF(i < {cut}, 0.0D, x * 3.0D))")
         every = every.union(given.filter("vec_id % 2 = 0").select((F.col("vec_id") + F.lit(cut * 1_000_000_000).cast("bigint")).alias("vec_id"), altered.alias("embedding")))
     return vector_dedup.near_vectors(every)
